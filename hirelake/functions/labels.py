@@ -49,25 +49,17 @@ def education_of_tags(tags: Column) -> Column:
     return F.when(found != "", found).otherwise(V.UNKNOWN)
 
 
-def _any_of(text: Column, words: list[str]) -> Column:
-    condition = text.contains(words[0])
-    for word in words[1:]:
-        condition = condition | text.contains(word)
-    return condition
-
-
 def family_of_title(title: Column) -> Column:
     """Job family of a title.
 
     Search keywords decide first, in family order; then the wide terms in match order. The test is lower-case
-    containment against constants, so it costs no join and no shuffle.
+    containment, one literal alternation per family, so it costs no join and no shuffle.
     """
     low = F.lower(F.coalesce(title, F.lit("")))
     label = F.when(F.lit(False), "")
-    for family_id, _name, keywords, _weight in V.FAMILIES:
-        label = label.when(_any_of(low, [k.lower() for k in keywords]), family_id)
-    for family_id in V.FAMILY_MATCH_ORDER:
-        label = label.when(_any_of(low, V.FAMILY_TERMS[family_id]), family_id)
+    for family_id, words in [*[(f, keywords) for f, _n, keywords, _w in V.FAMILIES],
+                             *[(f, V.FAMILY_TERMS[f]) for f in V.FAMILY_MATCH_ORDER]]:
+        label = label.when(low.rlike("|".join(f"\\Q{w.lower()}\\E" for w in words)), family_id)
     return label.otherwise(V.OTHER_FAMILY)
 
 

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hirelake import fixed_values as V
-from hirelake.functions.text import strip
+from hirelake.functions.text import strip, unpacked
 
 LINE_BREAK = r"[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
-_TEMP = ["__raw", "__page", "__all", "__text", "__lines", "__trimmed", "__safety_at", "__card", "__kept", "__body"]
+_TEMP = ["__raw", "__page", "__all", "__text", "__lines", "__trimmed", "__safety_at", "__card", "__kept", "__body",
+         "__reason"]
 
 
 def _card(end: Column) -> Column:
@@ -67,7 +68,12 @@ def extract_descriptions(df: DataFrame, jd: str = "jd", page: str = "page_text",
         .when(navigation, "navigation")
         .when(F.length("__body") < min_length, "too_short")
     )
-    usable = F.col("reject_reason").isNull()
+    usable = F.col("__reason").isNull()
+    result = F.struct(
+        F.when(usable, F.col("__body")).alias("description"),
+        F.when(usable, F.coalesce(F.col("__card.status"), F.lit(""))).alias("activity"),
+        F.col("__reason").alias("reject_reason"),
+    )
     return (
         df.withColumn("__raw", F.coalesce(F.col(jd), F.lit("")))
         .withColumn("__page", F.coalesce(F.col(page), F.lit("")))
@@ -79,10 +85,10 @@ def extract_descriptions(df: DataFrame, jd: str = "jd", page: str = "page_text",
         .withColumn("__card", card)
         .withColumn("__kept", kept)
         .withColumn("__body", body)
-        .withColumn("reject_reason", reason)
-        .withColumn("description", F.when(usable, F.col("__body")))
-        .withColumn("activity", F.when(usable, F.coalesce(F.col("__card.status"), F.lit(""))))
+        .withColumn("__reason", reason)
+        .withColumn("__result", result)
         .drop(*_TEMP)
+        .transform(unpacked("__result", "description", "activity", "reject_reason"))
     )
 
 

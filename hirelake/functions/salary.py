@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hirelake import fixed_values as V
-from hirelake.functions.text import strip
+from hirelake.functions.text import strip, unpacked
 
 NUMBER = r"\d+(?:\.\d+)?"
+BONUS_MONTHS = r"[·•]\s*\d+\s*薪"
 _TEMP = ["__salary_text", "__salary_numbers", "__salary_factor", "__salary_a", "__salary_b"]
 
 
@@ -18,6 +19,10 @@ def _number(numbers: Column, i: int) -> Column:
     return F.get(numbers, F.lit(i)).cast("double")
 
 
+def _range(a: Column, b: Column) -> Column:
+    return F.struct(F.least(a, b).alias("low"), F.greatest(a, b).alias("high"))
+
+
 def single_salary(c: Column) -> Column:
     """First number of a salary cell, times 1000 when the text has ``k`` or ``千``. Null when there is no number."""
     text = F.lower(c)
@@ -58,14 +63,27 @@ def salary_pair(low: str = "salary_low", high: str = "salary_high",
         b = F.coalesce(F.col("__salary_b"), F.col("__salary_a"), second, first)
         return (
             staged.withColumn("__salary_a", a).withColumn("__salary_b", b)
-            .withColumn(low, F.least("__salary_a", "__salary_b"))
-            .withColumn(high, F.greatest("__salary_a", "__salary_b"))
-            .drop(*_TEMP)
+            .withColumn("__salary_range", _range(F.col("__salary_a"), F.col("__salary_b")))
+            .drop(low, high, *_TEMP)
+            .transform(unpacked("__salary_range", low, high))
         )
 
     return apply
 
 
+def has_salary(c: Column) -> Column:
+    """Whether :func:`monthly_salary` finds a range. A test on the text alone, so that Spark can run it at the scan
+    instead of repeating the whole parser there."""
+    return F.regexp_replace(F.coalesce(c, F.lit("")), BONUS_MONTHS, "").rlike(r"\d")
+
+
+def has_pair(low: str = "salary_low", high: str = "salary_high", text: str = "salary",
+             columns: list[str] = ()) -> Column:
+    """Whether :func:`salary_pair` finds a range: any of the cells has a digit."""
+    present = [c for c in (low, high, text) if c in columns]
+    return F.concat_ws(" ", *[F.col(c).cast("string") for c in present]).rlike(r"\d")
+
+
 def monthly_salary(source: str = "salary", low: str = "salary_low",
                    high: str = "salary_high") -> Callable[[DataFrame], DataFrame]:
     """Parse a posting's salary text into a monthly range in yuan.
@@ -77,7 +95,7 @@ def monthly_salary(source: str = "salary", low: str = "salary_low",
     def apply(df: DataFrame) -> DataFrame:
         raw = strip(F.col(source))
         cleaned = F.regexp_replace(F.translate(raw, "，～~", ",--"), "至", "-")
-        cleaned = F.regexp_replace(cleaned, r"[·•]\s*\d+\s*薪", "")
+        cleaned = F.regexp_replace(cleaned, BONUS_MONTHS, "")
         text = F.col("__salary_text")
         unit = (
             F.when(text.contains("万"), 10000.0)
@@ -97,9 +115,9 @@ def monthly_salary(source: str = "salary", low: str = "salary_low",
             .withColumn("__salary_factor", unit * period)
             .withColumn("__salary_a", _number(numbers, 0) * F.col("__salary_factor"))
             .withColumn("__salary_b", F.coalesce(_number(numbers, 1), _number(numbers, 0)) * F.col("__salary_factor"))
-            .withColumn(low, F.round(F.least(a, b), 2))
-            .withColumn(high, F.round(F.greatest(a, b), 2))
+            .withColumn("__salary_range", _range(F.round(a, 2), F.round(b, 2)))
             .drop(*_TEMP)
+            .transform(unpacked("__salary_range", low, high))
         )
 
     return apply

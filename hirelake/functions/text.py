@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hirelake import fixed_values as V
@@ -11,6 +13,20 @@ from hirelake import fixed_values as V
 SPACE_CLASS = r"\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+def unpacked(packed: str, *names: str) -> Callable[[DataFrame], DataFrame]:
+    """Replace a struct column by its fields.
+
+    Goes through a one-element ``inline``: a plain projection lets the optimizer copy a long parser expression into
+    every filter on its result, once per mention, until the code no longer compiles.
+    """
+
+    def apply(df: DataFrame) -> DataFrame:
+        kept = [c for c in df.columns if c != packed]
+        return df.select(*[F.col(f"`{c}`") for c in kept], F.inline(F.array(packed)).alias(*names))
+
+    return apply
+
+
 def strip(c: Column) -> Column:
     """Trim Unicode white space on both ends (plain ``trim`` leaves U+3000 and U+00A0)."""
     return F.btrim(c, F.lit(V.WHITESPACE))

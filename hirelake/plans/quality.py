@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hirelake import fixed_values as V
 from hirelake.functions.text import city_of, text_of
-from hirelake.functions.salary import monthly_salary
+from hirelake.functions.salary import has_salary
 from hirelake.operators.dedupe import dedupe_business
 from hirelake.operators.merge import best_snapshots, with_id
 from hirelake.operators.ranking import top_per_group, value_counts
@@ -211,8 +211,8 @@ def batch_quality(listings: DataFrame) -> DataFrame:
 
 def unpriced(listings: DataFrame) -> DataFrame:
     """One row: postings with and without a parsable salary."""
-    priced = listings.transform(monthly_salary())
-    return priced.agg(F.count("salary_low").alias("priced"), F.count_if(F.col("salary_low").isNull()).alias("unpriced"))
+    priced = F.count_if(has_salary(F.col("salary")))
+    return listings.agg(priced.alias("priced"), (N - priced).alias("unpriced"))
 
 
 def cities_met(listings: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hirelake import fixed_values as V
 from hirelake.functions import labels as L
 from hirelake.functions import text as X
-from hirelake.functions.salary import monthly_salary, salary_pair
+from hirelake.functions.salary import has_pair, has_salary, monthly_salary, salary_pair
 from hirelake.operators.dedupe import dedupe_business, dedupe_greedy
 from hirelake.operators.merge import best_snapshots, join_details, longest_descriptions, provenance
 from hirelake.operators.ranking import number_rows
@@ -31,7 +31,7 @@ def standardize(raw: DataFrame, company: Column | None = None, fallback_city: Co
         "skills": X.skills_text(F.col("skills")),
         "description": F.lit("") if description is None else X.flat_text(description),
     }
-    priced = raw.transform(monthly_salary()).filter(F.col("salary_low").isNotNull())
+    priced = raw.filter(has_salary(F.col("salary"))).transform(monthly_salary())
     return priced.select(*keep, *[c.alias(n) for n, c in columns.items()])
 
 
@@ -143,13 +143,13 @@ def alias_headers(df: DataFrame) -> DataFrame:
 
 def clean_unnumbered(raw: DataFrame) -> DataFrame:
     """Served rows without ``job_id``: aliases, salary numbers, safe texts, first row per business key."""
-    rows = alias_headers(raw).transform(salary_pair())
+    rows = alias_headers(raw)
+    usable = has_pair(columns=rows.columns) & (X.safe_text(F.col("job_name"), "") != "")
+    rows = rows.filter(usable).transform(salary_pair())
     empty = {"job_name", "skills", "description"}
     texts = [c for c in V.STANDARD_COLUMNS if not c.startswith("salary_")]
     safe = {c: X.safe_text(F.col(c), "" if c in empty else V.UNKNOWN) for c in texts}
-    kept = rows.select("pos", *[F.col(c) if c not in safe else safe[c].alias(c) for c in V.STANDARD_COLUMNS]).filter(
-        (F.col("job_name") != "") & F.col("salary_low").isNotNull()
-    )
+    kept = rows.select("pos", *[F.col(c) if c not in safe else safe[c].alias(c) for c in V.STANDARD_COLUMNS])
     return dedupe_business(kept).withColumns({
         "avg_salary": (F.col("salary_low") + F.col("salary_high")) / 2,
         "experience": L.experience_label(F.col("work_years")),

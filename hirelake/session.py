@@ -35,3 +35,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         context.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def tuned(spark: SparkSession) -> SparkSession:
+    """Session settings that long parser expressions want.
+
+    The Java compiler does not compile methods above 8000 bytecodes to machine code. With this limit Spark leaves
+    such stages to its split-up code instead of running one huge method in the interpreter.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    return spark
