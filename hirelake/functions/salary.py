@@ -62,7 +62,7 @@ def salary_pair(low: str = "salary_low", high: str = "salary_high",
         a = F.coalesce(F.col("__salary_a"), F.col("__salary_b"), first)
         b = F.coalesce(F.col("__salary_b"), F.col("__salary_a"), second, first)
         return (
-            staged.withColumn("__salary_a", a).withColumn("__salary_b", b)
+            staged.withColumns({"__salary_a": a, "__salary_b": b})
             .withColumn("__salary_range", _range(F.col("__salary_a"), F.col("__salary_b")))
             .drop(low, high, *_TEMP)
             .transform(unpacked("__salary_range", low, high))
