@@ -32,6 +32,7 @@ def salted_left_join(left: DataFrame, right: DataFrame, keys: list[str], spread_
     is_hot = F.xxhash64(*keys).isin(hot)
     spread = F.pmod(F.xxhash64(*spread_by), F.lit(salts))
     salted = left.withColumn("__salt", F.when(is_hot, spread).otherwise(0))
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    copied = right.withColumn("__salt", F.explode(copies).cast("long"))
+    salt_list = F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")
+    copies = F.when(is_hot, salt_list).otherwise(F.array(F.lit(0).cast("bigint")))
+    copied = right.withColumn("__salt", F.explode(copies))
     return salted.join(copied, [*keys, "__salt"], "left").drop("__salt")

@@ -13,8 +13,6 @@ from hirelake.operators.merge import best_snapshots, with_id
 from hirelake.operators.ranking import top_per_group, value_counts
 from hirelake.operators.skew import HOT_ROWS, hot_key_hashes, salted_left_join
 
-N = F.count(F.lit(1))
-
 
 def percent(part: Column, whole: Column, digits: int = 1) -> Column:
     """Share in percent; a zero whole counts as one."""
@@ -23,8 +21,8 @@ def percent(part: Column, whole: Column, digits: int = 1) -> Column:
 
 def import_stats(listings: DataFrame, rows: DataFrame, batch_table: DataFrame) -> DataFrame:
     """Per batch: raw and converted postings, those skipped for lack of a salary, those with a description."""
-    raw = listings.groupBy("batch_path").agg(N.alias("raw"))
-    done = rows.groupBy("batch_path").agg(N.alias("converted"), F.count_if(F.col("description") != "").alias("with_jd"))
+    raw = listings.groupBy("batch_path").agg(F.count(F.lit(1)).alias("raw"))
+    done = rows.groupBy("batch_path").agg(F.count(F.lit(1)).alias("converted"), F.count_if(F.col("description") != "").alias("with_jd"))
     zero = {c: F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("raw", "converted", "with_jd")}
     return (
         batch_table.join(raw, "batch_path", "left").join(done, "batch_path", "left")
@@ -37,7 +35,7 @@ def import_stats(listings: DataFrame, rows: DataFrame, batch_table: DataFrame) -
 def import_overview(rows: DataFrame) -> DataFrame:
     """``section, name, value``: rows and mean salaries, top cities, industries and education, all experience labels."""
     sections = {"city": 8, "category": 5, "education": 6, "work_years": None}
-    means = rows.agg(N.alias("rows"), F.round(F.avg("salary_low"), 2).alias("mean_low"),
+    means = rows.agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg("salary_low"), 2).alias("mean_low"),
                      F.round(F.avg("salary_high"), 2).alias("mean_high"))
     parts = [means.select(F.inline(F.array(*[
         F.struct(F.lit("total").alias("section"), F.lit(c).alias("name"), F.col(c).cast("double").alias("value"))
@@ -61,11 +59,11 @@ def merge_overview(listings: DataFrame) -> DataFrame:
         F.count_distinct(F.coalesce(F.nullif("keyword", F.lit("")), F.lit("?"))).alias("keywords"),
         F.count_distinct(F.coalesce(F.nullif("batch_city", F.lit("")), F.lit("?"))).alias("cities"),
     )
-    totals = named.groupBy("job_id").agg(N.alias("n")).agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("raw_with_id"), N.alias("unique_ids"))
+    totals = named.groupBy("job_id").agg(F.count(F.lit(1)).alias("n")).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("raw_with_id"), F.count(F.lit(1)).alias("unique_ids"))
     merged = standardize(best_snapshots(listings))
-    valid = merged.agg(N.alias("valid"))
-    final = dedupe_business(merged).agg(N.alias("final"), F.count_if(F.col("skills") != "").alias("with_skills"))
+    valid = merged.agg(F.count(F.lit(1)).alias("valid"))
+    final = dedupe_business(merged).agg(F.count(F.lit(1)).alias("final"), F.count_if(F.col("skills") != "").alias("with_skills"))
     row = totals.select(
         scope.select("keywords").scalar().alias("keywords"),
         scope.select("cities").scalar().alias("cities"),
@@ -87,10 +85,10 @@ def consolidation_manifest(source_files: int, listings: DataFrame, records: Data
                            final: DataFrame) -> DataFrame:
     """One row: files, raw rows with id, distinct ids, standard rows after the key pass, ids with a description, and
     priced rows with a description before the key pass."""
-    raw = with_id(listings).agg(N.alias("raw_records"))
-    merged = records.agg(N.alias("unique_jobs"), F.count_if(F.col("jd") != "").alias("jobs_with_jd"))
+    raw = with_id(listings).agg(F.count(F.lit(1)).alias("raw_records"))
+    merged = records.agg(F.count(F.lit(1)).alias("unique_jobs"), F.count_if(F.col("jd") != "").alias("jobs_with_jd"))
     priced = standard.agg(F.count_if(F.col("jd") != "").alias("rows_with_jd"))
-    rows = final.agg(N.alias("valid_rows"))
+    rows = final.agg(F.count(F.lit(1)).alias("valid_rows"))
     return raw.select(
         F.lit(source_files).cast("bigint").alias("source_files"), "raw_records",
         merged.select("unique_jobs").scalar().alias("unique_jobs"),
@@ -106,7 +104,7 @@ def duplicate_profile(listings: DataFrame) -> DataFrame:
     key = F.struct(text_of(F.col("title")), text_of(F.col("boss_name")),
                    text_of(F.substring_index("location", "·", 1)), text_of(F.col("salary")))
     return listings.agg(
-        N.alias("total"),
+        F.count(F.lit(1)).alias("total"),
         F.count_if(job_id == "").alias("without_id"),
         F.count_distinct(F.nullif(job_id, F.lit(""))).alias("distinct_ids"),
         F.count_distinct(key).alias("distinct_keys"),
@@ -116,20 +114,20 @@ def duplicate_profile(listings: DataFrame) -> DataFrame:
 
 def repeats(listings: DataFrame) -> DataFrame:
     """``job_id, n, pos``: occurrences of each id and its first place."""
-    return with_id(listings).groupBy("job_id").agg(N.alias("n"), F.min("pos").alias("pos"))
+    return with_id(listings).groupBy("job_id").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos"))
 
 
 def repeat_histogram(listings: DataFrame, limit: int = 12) -> DataFrame:
     """Ids by number of occurrences, fewest first."""
-    per_id = with_id(listings).groupBy("job_id").agg(N.alias("times"))
-    return per_id.groupBy("times").agg(N.alias("ids")).orderBy("times").limit(limit)
+    per_id = with_id(listings).groupBy("job_id").agg(F.count(F.lit(1)).alias("times"))
+    return per_id.groupBy("times").agg(F.count(F.lit(1)).alias("ids")).orderBy("times").limit(limit)
 
 
 def field_drift(listings: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``field, rows``: rows of repeated ids whose value differs from the id's first snapshot."""
     rows = with_id(listings).select("job_id", "pos", *[text_of(F.col(c)).alias(c) for c in V.DRIFT_FIELDS])
     first = rows.groupBy("job_id").agg(
-        F.min_by(F.struct(*V.DRIFT_FIELDS), F.col("pos")).alias("first"), N.alias("n")
+        F.min_by(F.struct(*V.DRIFT_FIELDS), F.col("pos")).alias("first"), F.count(F.lit(1)).alias("n")
     ).filter(F.col("n") > 1).drop("n")
     compared = salted_left_join(rows, first, ["job_id"], ["pos"], hot_key_hashes(rows, ["job_id"], hot_rows))
     totals = compared.agg(*[F.count_if(F.col(c) != F.col(f"first.{c}")).alias(c) for c in V.DRIFT_FIELDS])
@@ -164,7 +162,7 @@ def batch_dimensions(batch_table: DataFrame, cities: int = 10, keywords: int = 2
 
 def yield_total(listings: DataFrame) -> DataFrame:
     """One row: rows with id, distinct ids, their share in percent."""
-    totals = with_id(listings).agg(N.alias("records"), F.count_distinct("job_id").alias("distinct_ids"))
+    totals = with_id(listings).agg(F.count(F.lit(1)).alias("records"), F.count_distinct("job_id").alias("distinct_ids"))
     return totals.select("*", percent(F.col("distinct_ids"), F.col("records")).alias("yield_pct"))
 
 
@@ -174,7 +172,7 @@ def yield_by(listings: DataFrame, dimension: str) -> DataFrame:
     The rows are reduced to (value, id) counts on the map side first, so a hot value is spread over its ids.
     """
     name = F.coalesce(F.col(dimension), F.lit("?"))
-    pairs = listings.groupBy(name.alias("name"), text_of(F.col("job_id")).alias("id")).agg(N.alias("n"))
+    pairs = listings.groupBy(name.alias("name"), text_of(F.col("job_id")).alias("id")).agg(F.count(F.lit(1)).alias("n"))
     per_value = pairs.groupBy("name").agg(
         F.sum("n").alias("records"), F.count_if(F.col("id") != "").alias("distinct_ids"))
     return per_value.filter(F.col("distinct_ids") > 0).withColumn(
@@ -188,7 +186,7 @@ def yield_overlap(listings: DataFrame) -> DataFrame:
     pairs = with_id(listings).select("job_id", F.inline(marks)).distinct()
     per_id = pairs.groupBy("job_id").agg(
         F.count_if(F.col("dim") == "keyword").alias("keywords"), F.count_if(F.col("dim") == "city").alias("cities"))
-    totals = per_id.agg(N.alias("ids"), F.sum("keywords").alias("k"), F.sum("cities").alias("c"),
+    totals = per_id.agg(F.count(F.lit(1)).alias("ids"), F.sum("keywords").alias("k"), F.sum("cities").alias("c"),
                         F.count_if(F.col("keywords") > 1).alias("multi_keyword_ids"))
     return totals.select(
         "ids",
@@ -212,7 +210,7 @@ def batch_quality(listings: DataFrame) -> DataFrame:
 def unpriced(listings: DataFrame) -> DataFrame:
     """One row: postings with and without a parsable salary."""
     priced = F.count_if(has_salary(F.col("salary")))
-    return listings.agg(priced.alias("priced"), (N - priced).alias("unpriced"))
+    return listings.agg(priced.alias("priced"), (F.count(F.lit(1)) - priced).alias("unpriced"))
 
 
 def cities_met(listings: DataFrame) -> DataFrame:

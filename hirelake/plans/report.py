@@ -11,8 +11,6 @@ from hirelake.functions.pages import extract_descriptions
 from hirelake.functions.tokens import term_rows
 from hirelake.operators.ranking import value_counts
 
-N = F.count(F.lit(1))
-
 
 def _tags(listings: DataFrame) -> DataFrame:
     return listings.select(F.explode(F.split(F.coalesce("tags", F.lit("")), r" \| ")).alias("tag"))
@@ -82,7 +80,7 @@ def term_document_counts(details: DataFrame, keyword: str = "", limit: int | Non
     body = F.lower(F.coalesce("jd", F.lit("")))
     hits = details.select(body.alias("b")).select(
         F.explode(F.filter(listed, lambda t: F.contains(F.col("b"), t["low"]))["name"]).alias("name"))
-    total = details.agg(N.alias("n")).scalar()
+    total = details.agg(F.count(F.lit(1)).alias("n")).scalar()
     counted = value_counts(hits, F.col("name"), limit)
     return counted.select("name", "value", F.round(F.col("value") * 100.0 / total, 0).alias("pct"))
 

@@ -2,7 +2,7 @@
 
 The given tables hold no postings. These expressions derive them, in SQL that Spark and the checking database both
 read: a raw posting per ``lineitem`` row, a detail record and a captured page per ``documents`` row, a search ledger from
-``orders``, and the city table from ``nation``. Every row of a table is used, and every text is used whole.
+``orders``, and the city table from ``customer``. Every row of a table is used, and every text is used whole.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ TITLES = [
 ]
 CITIES = [
     "北京", "上海", "广州", "深圳", "成都", "杭州", "重庆", "西安", "苏州", "武汉", "惠州", "温州", "盐城",
-    "厦门", "兰州", "香港", "澳门", "台湾", "三沙", "丽江", "北海", "大同", "天水", "吉林", "全国",
+    "厦门", "兰州", "香港", "澳门", "台湾", "三沙", "丽江", "北海", "大同", "天水", "吉林", V.NATIONWIDE,
 ]
 SKILLS = [
     "Java", "Python", "SQL", "Excel", "C++", "Vue", "机器学习", "沟通", "Spark", "Kafka", "MySQL", "运营", "React",
@@ -47,7 +47,16 @@ def every(n: int, value: str, otherwise: str, key: str = "l_orderkey") -> str:
 
 Q = "(CAST(l_quantity AS INT) % 12 + 1)"
 YEAR = "year(l_shipdate)"
-CITY = pick("n_nationkey", CITIES)
+
+
+def city_name(key: str, names: list[str] = CITIES) -> str:
+    """Known names for the first keys, a made name for every other key."""
+    return f"CASE WHEN {key} < {len(names)} THEN {pick(f'least({key}, {len(names) - 1})', names)} " \
+           f"ELSE concat('城市', {text(key)}) END"
+
+
+# The nationwide pseudo-city is a place to search, never the place of a posting.
+SEEN_CITY = city_name("l_suppkey", CITIES[:-1])
 # Salary texts by kind: lead, first number (factor, summand), middle, second number, tail.
 SALARY_KINDS = [
     ("", 1, 0, "-", 1, 10, "K"),
@@ -85,7 +94,7 @@ BATCH_FOLDER = f"concat('archive/', {text(YEAR)})"
 STAMP = f"concat({text(YEAR)}, '0101_', lpad({text('l_linenumber')}, 4, '0'))"
 TITLE = pick("l_partkey % 24", TITLES)
 
-# Raw posting columns; all read ``lineitem``, and ``location`` also the city of the supplier's ``nation``.
+# Raw posting columns, all of ``lineitem``.
 RAW = {
     "batch_no": f"CAST({YEAR} * 10 + l_linenumber AS INT)",
     "batch_path": f"concat({BATCH_FOLDER}, '/boss_jobs_', {STAMP}, '.json')",
@@ -97,7 +106,7 @@ RAW = {
     "title": f"concat({every(31, "'  '", "''")}, {TITLE}, {every(31, "' '", "''")})",
     "salary": SALARY,
     "salary_source": "CASE l_orderkey % 13 WHEN 9 THEN 'api_empty' ELSE 'api' END",
-    "location": "CASE WHEN l_orderkey % 37 = 0 THEN '' ELSE concat(city_name, "
+    "location": f"CASE WHEN l_orderkey % 37 = 0 THEN '' ELSE concat({SEEN_CITY}, "
                 + every(41, "''", "concat('·', " + pick("l_orderkey % 5", ["东城", "西湖", "", "高新", "滨江"])
                         + ", '·', l_returnflag)") + ") END",
     "tags": every(14, "''", f"concat({pick('l_partkey % 11', EXPERIENCE)}, "
@@ -176,7 +185,7 @@ PAGES = {
 }
 
 COMBO_KEYS = {
-    "city": pick("o_custkey % 25", CITIES),
+    "city": city_name("o_custkey % 25"),
     "family_id": pick("o_orderkey % 21", LEDGER_FAMILIES),
     "slice_id": pick("o_orderkey % 5", ["", "", "exp103", "exp104", "deg202"]),
 }
@@ -239,12 +248,9 @@ def spread(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def raw_postings(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
-    """Raw postings; only the columns asked for are computed, and ``nation`` is joined only for the place."""
+    """Raw postings; only the columns asked for are computed."""
     wanted = list(RAW) if columns is None else columns
     rows = spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey")
-    if "location" in wanted:
-        nation = table(spark, sf_dir, "nation").selectExpr("n_nationkey", f"{CITY} AS city_name")
-        rows = rows.join(nation, F.col("n_nationkey") == F.col("l_suppkey") % 22)
     place = ", ".join(RAW["batch_no"] if p == "batch_no" else p for p in PLACE)
     return rows.selectExpr(*[f"{RAW[c]} AS {c}" for c in wanted], f"struct({place}) AS pos")
 
@@ -271,10 +277,15 @@ def combos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.withColumn("keyword", F.concat(F.lit("k-"), F.col("family_id")))
 
 
+CITY_COLUMNS = {
+    "city": city_name("c_custkey"),
+    "code": text("100000000 + c_custkey"),
+    "city_no": "c_custkey",
+}
+
+
 def cities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation = table(spark, sf_dir, "nation")
-    return nation.selectExpr(f"{CITY} AS city", f"{text('101010000 + n_nationkey * 10000')} AS code",
-                             "n_nationkey AS city_no")
+    return table(spark, sf_dir, "customer").selectExpr(*[f"{e} AS {c}" for c, e in CITY_COLUMNS.items()])
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,14 +22,12 @@ def columns(table: dict[str, str]) -> str:
 
 PLACE = ", ".join(I.RAW["batch_no"] if p == "batch_no" else p for p in I.PLACE)
 CTES = {
-    "nation_city": f"SELECT n_nationkey, {I.CITY} AS city_name FROM nation",
     "raw": f"SELECT {columns(I.RAW)}, row_number() OVER (ORDER BY {PLACE}) AS pos, l_orderkey "
-           "FROM lineitem JOIN nation_city ON n_nationkey = l_suppkey % 22",
+           "FROM lineitem",
     "details": "SELECT *, row_number() OVER (ORDER BY detail_path, snapshot, doc_id) AS pos FROM ("
                + " UNION ALL ".join(f"SELECT {columns(I.detail_columns(i))} FROM documents" for i in range(3)) + ")",
     "pages_": f"SELECT {columns(I.PAGES)} FROM documents",
-    "cities": f"SELECT {I.CITY} AS city, {I.text('101010000 + n_nationkey * 10000')} AS code, n_nationkey AS city_no "
-              "FROM nation",
+    "cities": f"SELECT {columns(I.CITY_COLUMNS)} FROM customer",
     "combos": f"SELECT *, concat('k-', family_id) AS keyword FROM (SELECT city, family_id, slice_id, "
               f"{columns(I.COMBO_FACTS)} FROM (SELECT {columns(I.COMBO_KEYS)}, o_orderstatus, o_orderdate FROM orders) "
               "GROUP BY city, family_id, slice_id)",
@@ -95,8 +93,6 @@ def oracle(name: str, sql: str, *ctes: str) -> None:
     """Register a statement with the views it uses; extra CTE texts contain `` AS ``."""
     parts = []
     for c in ctes:
-        if c == "raw":
-            parts.append(f"nation_city AS ({CTES['nation_city']})")
         parts.append(c if " AS " in c else f"{c} AS ({CTES[c]})")
     ORACLE[name] = (f"WITH {', '.join(parts)} " if parts else "") + sql
 
@@ -518,7 +514,7 @@ COVERAGE = [
 ]
 oracle("coverage_counts", "SELECT 'city' AS kind, city, NULL AS family_id, n FROM cc UNION ALL "
        "SELECT 'family', NULL, family_id, n FROM fc UNION ALL SELECT 'cell', city, family_id, n FROM cells_", *COVERAGE)
-oracle("report_city_coverage", f"""SELECT CAST(row_number() OVER (ORDER BY coalesce(n, 0), cities.city) AS INTEGER) AS rank,
+oracle("report_city_coverage", f"""SELECT row_number() OVER (ORDER BY coalesce(n, 0), cities.city) AS rank,
     cities.city, {display('cities.city')} AS display_city, coalesce(n, 0) AS n, CASE WHEN coalesce(n, 0) = 0 THEN '空白'
     WHEN n < 20 THEN '薄弱' ELSE '已覆盖' END AS state FROM cities LEFT JOIN cc ON cc.city = cities.city""", "cities", *COVERAGE)
 FAMILY_ROWS = "fam AS (SELECT * FROM (VALUES " + ", ".join(
@@ -570,10 +566,10 @@ SCORES = f"""facts AS (SELECT quota.city, quota.weight, quota.quota, fam.family_
         * CASE WHEN have IS NULL THEN 3.0 ELSE 1.0 END END::DOUBLE, 6) AS score,
         coalesce(status IN ('done', 'saturated'), false) AS skip_base FROM judged)"""
 SCORED_GRID = ["cities", "combos", *COVERAGE, FAMILY_ROWS, SLICES_DONE, OPEN, QUOTAS.replace("25000", "200000"), SCORES]
-oracle("coverage_scores", "SELECT city, family_id, score, block_reason, skip_base, slices_done FROM scores", *SCORED_GRID)
-oracle("coverage_top", "SELECT city, family_id, score FROM scores WHERE score > 0 ORDER BY score DESC, weight DESC, city, "
+oracle("coverage_scores", "SELECT city, family_id, round(score, 4) AS score, block_reason, skip_base, slices_done FROM scores", *SCORED_GRID)
+oracle("coverage_top", "SELECT city, family_id, round(score, 4) AS score FROM scores s WHERE s.score > 0 ORDER BY s.score DESC, weight DESC, city, "
        "family_id LIMIT 60", *SCORED_GRID)
-oracle("coverage_capped", """SELECT city, family_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY city
+oracle("coverage_capped", """SELECT city, family_id, round(score, 4) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY city
     ORDER BY score DESC, family_id) AS rank FROM scores WHERE score > 0)
     WHERE rank <= CASE WHEN city = '全国' THEN 20 ELSE 14 - open END""", *SCORED_GRID)
 oracle("keyword_rotation", f"""SELECT city, family_id, words[(rank - 1) % len(words) + 1] AS keyword FROM (
@@ -591,17 +587,17 @@ oracle("scope_cities", "SELECT city, code FROM cities WHERE city NOT IN ('三沙
 oracle("scope_unknown", "SELECT * FROM (VALUES ('北京'), ('火星'), ('杭州'), ('月球')) AS v(city) WHERE city NOT IN "
        "(SELECT city FROM cities)", "cities")
 oracle("scope_depth", "SELECT city FROM cities WHERE city IN (SELECT city FROM cc)", "cities", *COVERAGE)
-GRID = "grid AS (SELECT keyword, city, ((city_no - k + 25) % 25) * 18 + k + 1 AS place FROM cities CROSS JOIN (VALUES " + \
+GRID = "grid AS (SELECT keyword, city, ((city_no - k + (SELECT count(*) FROM cities)) % (SELECT count(*) FROM cities)) * 18 + k + 1 AS place FROM cities CROSS JOIN (VALUES " + \
        ", ".join(f"({i}, '{t}')" for i, t in enumerate(V.BASE_TERMS)) + ") AS v(k, keyword))"
 oracle("combo_grid", "SELECT keyword, city, CAST(place AS BIGINT) AS place FROM grid", "cities", GRID)
-COMBO_NAMES = f"{I.pick('o_custkey % 18', V.BASE_TERMS)} AS keyword, {I.pick('o_custkey % 25', I.CITIES)} AS city"
+COMBO_NAMES = f"{I.pick('o_orderkey % 18', V.BASE_TERMS)} AS keyword, {I.city_name('o_custkey')} AS city"
 oracle("pending_combos", f"""SELECT keyword, city, CAST(place AS BIGINT) AS place FROM grid WHERE (keyword, city) NOT IN (
     SELECT (keyword, city) FROM (SELECT {COMBO_NAMES} FROM orders WHERE o_orderstatus = 'F')) ORDER BY place LIMIT 100""",
        "cities", GRID)
 oracle("progress_stats", f"""SELECT keyword, city, count(*) AS rows FROM (SELECT {COMBO_NAMES} FROM orders
     WHERE o_orderstatus = 'F') GROUP BY 1, 2""")
-INPUTS = (f"inputs AS (SELECT CASE c_custkey % 5 WHEN 0 THEN {I.pick('c_nationkey', I.CITIES)} WHEN 1 THEN "
-          f"{I.text('101010000 + c_nationkey * 10000')} WHEN 2 THEN {I.text('200000000 + c_custkey')} WHEN 3 THEN c_name "
+INPUTS = (f"inputs AS (SELECT CASE c_custkey % 5 WHEN 0 THEN {I.city_name('c_custkey')} WHEN 1 THEN "
+          f"{I.text('100000000 + c_custkey')} WHEN 2 THEN {I.text('200000000 + c_custkey')} WHEN 3 THEN c_name "
           "ELSE '' END AS input FROM customer)")
 oracle("city_resolve", """SELECT input, CASE WHEN n.city IS NOT NULL THEN input WHEN c.city IS NOT NULL THEN c.city
     WHEN bare THEN input END AS city, CASE WHEN n.city IS NOT NULL THEN n.code WHEN c.city IS NOT NULL OR bare THEN input END AS code,

@@ -29,7 +29,6 @@ from hirelake.streaming import ingest as G
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-N = F.count(F.lit(1))
 
 
 def query(name: str) -> Callable[[Query], Query]:
@@ -42,7 +41,7 @@ def query(name: str) -> Callable[[Query], Query]:
 
 def counted(df: DataFrame, **columns: Column) -> DataFrame:
     """Distinct combinations of inputs and results, with their number of rows."""
-    return df.select(*[c.alias(n) for n, c in columns.items()]).groupBy(*columns).agg(N.alias("n"))
+    return df.select(*[c.alias(n) for n, c in columns.items()]).groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
 
 
 def raw(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
@@ -151,10 +150,10 @@ def flatten_response(spark, sf):
 
 @query("dim_cities")
 def dim_cities(spark, sf):
-    path = shared_path(spark, "city_codes")
-    pairs = F.map_from_entries(F.collect_list(F.struct("city", "code")))  # one entry per nation
-    I.cities(spark, sf).agg(F.to_json(pairs).alias("value")).write.text(path)
-    return T.city_codes(spark, path)
+    pairs = F.map_from_entries(F.collect_list(F.struct("city", "code")))  # a thousand keys at most
+    thousand = F.col("city_no") - F.col("city_no") % 1000
+    texts = I.cities(spark, sf).groupBy(thousand.alias("t")).agg(F.to_json(pairs).alias("value"))
+    return T.codes_of(texts)
 
 
 # --- projections --------------------------------------------------------------------------------------------------
@@ -301,7 +300,7 @@ def jd_extract(spark, sf):
 @query("jd_reject_counts")
 def jd_reject_counts(spark, sf):
     rows = P.extract_descriptions(I.captured_pages(spark, sf).select("jd", "page_text"))
-    return rows.groupBy(F.coalesce("reject_reason", F.lit("accepted")).alias("reason")).agg(N.alias("n"))
+    return rows.groupBy(F.coalesce("reject_reason", F.lit("accepted")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("response_status")
@@ -414,6 +413,13 @@ def new_ids(spark, sf):
     return C.new_ids(rows.filter("batch_dir = '2001'"), rows.filter("batch_dir < '2001'"))
 
 
+def searches(spark: SparkSession, sf: str) -> DataFrame:
+    """``keyword, city, status, rows`` of searches, one per order."""
+    return I.table(spark, sf, "orders").selectExpr(
+        f"{I.pick('o_orderkey % 18', V.BASE_TERMS)} AS keyword", f"{I.city_name('o_custkey')} AS city",
+        "CASE o_orderstatus WHEN 'F' THEN 'done' ELSE 'failed' END AS status", "1L AS rows")
+
+
 def grid(spark: SparkSession, sf: str) -> DataFrame:
     return C.combo_grid(I.cities(spark, sf), V.BASE_TERMS)
 
@@ -425,17 +431,14 @@ def combo_grid(spark, sf):
 
 @query("pending_combos")
 def pending_combos(spark, sf):
-    orders = I.table(spark, sf, "orders").filter("o_orderstatus = 'F'")
-    keyword = I.pick("o_custkey % 18", V.BASE_TERMS)
-    done = orders.selectExpr(f"{keyword} AS keyword", f"{I.pick('o_custkey % 25', I.CITIES)} AS city")
-    return C.pending_combos(grid(spark, sf), done, 100)
+    return C.pending_combos(grid(spark, sf), searches(spark, sf).filter("status = 'done'"), 100)
 
 
 @query("city_resolve")
 def city_resolve(spark, sf):
     inputs = I.table(spark, sf, "customer").selectExpr(
-        f"CASE c_custkey % 5 WHEN 0 THEN {I.pick('c_nationkey', I.CITIES)} "
-        f"WHEN 1 THEN {I.text('101010000 + c_nationkey * 10000')} WHEN 2 THEN {I.text('200000000 + c_custkey')} "
+        f"CASE c_custkey % 5 WHEN 0 THEN {I.city_name('c_custkey')} "
+        f"WHEN 1 THEN {I.text('100000000 + c_custkey')} WHEN 2 THEN {I.text('200000000 + c_custkey')} "
         f"WHEN 3 THEN c_name ELSE '' END AS input")
     return C.resolve_cities(inputs, I.cities(spark, sf))
 
@@ -588,6 +591,11 @@ def scores(spark: SparkSession, sf: str) -> DataFrame:
                              total_target=200000, max_families=14)
 
 
+def shown_score() -> Column:
+    """Four places: the engines under comparison add the weights in different orders."""
+    return F.round("score", 4).alias("score")
+
+
 @query("coverage_counts")
 def coverage_counts(spark, sf):
     return C.coverage_counts(raw(spark, sf, "job_id", "location", "title"))
@@ -662,18 +670,18 @@ def quotas(spark, sf):
 
 @query("coverage_scores")
 def coverage_scores(spark, sf):
-    return scores(spark, sf).select("city", "family_id", "score", "block_reason", "skip_base",
+    return scores(spark, sf).select("city", "family_id", shown_score(), "block_reason", "skip_base",
                                     F.col("slices_done").cast("bigint").alias("slices_done"))
 
 
 @query("coverage_top")
 def coverage_top(spark, sf):
-    return C.best_gaps(scores(spark, sf), 60).select("city", "family_id", "score")
+    return C.best_gaps(scores(spark, sf), 60).select("city", "family_id", shown_score())
 
 
 @query("coverage_capped")
 def coverage_capped(spark, sf):
-    return C.capped_gaps(scores(spark, sf), 14).select("city", "family_id", "score", F.col("rank").cast("bigint").alias("rank"))
+    return C.capped_gaps(scores(spark, sf), 14).select("city", "family_id", shown_score(), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("keyword_rotation")
@@ -688,11 +696,7 @@ def next_slices(spark, sf):
 
 @query("progress_stats")
 def progress_stats(spark, sf):
-    orders = I.table(spark, sf, "orders")
-    rows = orders.selectExpr(f"{I.pick('o_custkey % 18', V.BASE_TERMS)} AS keyword",
-                             f"{I.pick('o_custkey % 25', I.CITIES)} AS city",
-                             "CASE o_orderstatus WHEN 'F' THEN 'done' ELSE 'failed' END AS status", "1L AS rows")
-    return C.progress_stats(rows)
+    return C.progress_stats(searches(spark, sf))
 
 
 # --- report -------------------------------------------------------------------------------------------------------
@@ -817,7 +821,7 @@ def event_stream(spark: SparkSession, sf: str) -> DataFrame:
 def stream_ingest(spark, sf):
     target, state = shared_path(spark, "stream_rows"), shared_path(spark, "stream_state")
     G.append_all(event_stream(spark, sf), target, state).awaitTermination()
-    return spark.read.parquet(target).groupBy("event_type").agg(N.alias("n"), F.sum("event_id").alias("ids"))
+    return spark.read.parquet(target).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
 
 
 @query("stream_dedup")

@@ -78,14 +78,18 @@ def export_details(rows: DataFrame) -> DataFrame:
     ])
 
 
-def city_codes(spark: SparkSession, path: str, include_nationwide: bool = False) -> DataFrame:
-    """``city, code`` from a JSON object of name to code."""
-    text = spark.read.text(path, wholetext=True)
-    pairs = text.select(F.explode(F.from_json("value", "map<string,string>")).alias("city", "code"))
+def codes_of(texts: DataFrame, include_nationwide: bool = False) -> DataFrame:
+    """``city, code`` of texts ``value`` that hold a JSON object of name to code."""
+    pairs = texts.select(F.explode(F.from_json("value", "map<string,string>")).alias("city", "code"))
     usable = pairs.filter((F.col("city") != "") & F.col("code").isNotNull())
     return usable if include_nationwide else usable.filter(F.col("city") != V.NATIONWIDE)
 
 
+def city_codes(spark: SparkSession, path: str, include_nationwide: bool = False) -> DataFrame:
+    """``city, code`` from a code file."""
+    return codes_of(spark.read.text(path, wholetext=True), include_nationwide)
+
+
 def filter_codes(spark: SparkSession) -> DataFrame:
     """``domain, domain_name, label, code`` of all search filters."""
     rows = [
