@@ -94,30 +94,36 @@ def extract_descriptions(df: DataFrame, jd: str = "jd", page: str = "page_text",
 
 def response_status(http_status: Column, body: Column) -> Column:
     """Class of a captured search response: available, unauthenticated, restricted, empty or response_error."""
-    data = F.try_parse_json(body)
-    is_object = F.try_variant_get(data, "$", "map<string,variant>").isNotNull()
-    code = F.try_variant_get(data, "$.code", "int")
-    message = F.coalesce(
-        F.nullif(F.try_variant_get(data, "$.message", "string"), F.lit("")),
-        F.try_variant_get(data, "$.msg", "string"),
-        F.lit(""),
-    )
-    jobs = F.try_variant_get(data, "$.zpData.jobList", "array<variant>")
-    with_salary = F.exists(
-        jobs, lambda job: F.coalesce(strip(F.try_variant_get(job, "$.salaryDesc", "string")), F.lit("")) != ""
-    )
+
+    def classify(data: Column) -> Column:
+        is_object = F.try_variant_get(data, "$", "map<string,variant>").isNotNull()
+        code = F.try_variant_get(data, "$.code", "int")
+        failed = code.isNull() | (code != 0)
+        message = F.coalesce(
+            F.nullif(F.try_variant_get(data, "$.message", "string"), F.lit("")),
+            F.try_variant_get(data, "$.msg", "string"),
+            F.lit(""),
+        )
+        jobs = F.try_variant_get(data, "$.zpData.jobList", "array<variant>")
+        with_salary = F.exists(
+            jobs, lambda job: F.coalesce(strip(F.try_variant_get(job, "$.salaryDesc", "string")), F.lit("")) != ""
+        )
+        return (
+            F.when(~F.coalesce(is_object, F.lit(False)), "response_error")
+            .when(code.isin(V.RESTRICTED_CODES), "restricted")
+            .when(failed & message.rlike("|".join(V.RESTRICTED_WORDS)), "restricted")
+            .when(failed, "response_error")
+            .when(jobs.isNull(), "response_error")
+            .when(F.size(jobs) == 0, "empty")
+            .when(with_salary, "available")
+            .otherwise("unauthenticated")
+        )
+
+    # The one-element array names the parsed body, so that it is parsed once.
+    of_body = F.transform(F.array(F.try_parse_json(body)), classify)
     return (
         F.when(http_status == 401, "unauthenticated")
         .when(http_status.isin(403, 429), "restricted")
         .when(http_status != 200, "response_error")
-        .when(~F.coalesce(is_object, F.lit(False)), "response_error")
-        .when(code.isin(V.RESTRICTED_CODES), "restricted")
-        .when((code.isNull() | (code != 0)) & message.rlike("|".join(V.RESTRICTED_WORDS)), "restricted")
-        .when(code.isNull() | (code != 0), "response_error")
-        .when(jobs.isNull(), "response_error")
-        .when(F.size(jobs) == 0, "empty")
-        .when(with_salary, "available")
-        .otherwise("unauthenticated")
+        .otherwise(F.get(of_body, F.lit(0)))
     )
-
-

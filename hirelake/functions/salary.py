@@ -1,4 +1,4 @@
-"""Salary parsing. Multi-step parsers are DataFrame transforms, so each regex runs once per row."""
+"""Salary parsing. Parsers that give a range are DataFrame transforms."""
 
 from __future__ import annotations
 
@@ -8,11 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hirelake import fixed_values as V
-from hirelake.functions.text import strip, unpacked
+from hirelake.functions.text import strip
 
 NUMBER = r"\d+(?:\.\d+)?"
 BONUS_MONTHS = r"[·•]\s*\d+\s*薪"
-_TEMP = ["__salary_text", "__salary_numbers", "__salary_factor", "__salary_a", "__salary_b"]
 
 
 def _number(numbers: Column, i: int) -> Column:
@@ -41,32 +40,36 @@ def parse_bound(value: str | float | None) -> float | None:
     return float(found.group(0)) * (1000 if "k" in text or "千" in text else 1)
 
 
+def _unpacked(df: DataFrame, ranges: Column, low: str, high: str) -> DataFrame:
+    """Add the two fields of a one-element array of ranges, in place of columns of the same names.
+
+    ``inline`` instead of plain projections: the optimizer would copy a parser that stands in a projection into every
+    filter on its result. The one-element array gives each intermediate value a name, so it is computed once.
+    """
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in (low, high)]
+    return df.select(*kept, F.inline(ranges).alias(low, high))
+
+
 def salary_pair(low: str = "salary_low", high: str = "salary_high",
                 text: str = "salary") -> Callable[[DataFrame], DataFrame]:
     """Replace the two salary cells by ordered numbers; fall back to the free-text column when both are missing."""
 
     def apply(df: DataFrame) -> DataFrame:
-        source = F.lower(F.col(text)) if text in df.columns else F.lit(None).cast("string")
-        factor = F.when(source.contains("k") | source.contains("千"), 1000.0).otherwise(1.0)
-        staged = (
-            df.withColumn("__salary_a", single_salary(F.col(low).cast("string")))
-            .withColumn("__salary_b", single_salary(F.col(high).cast("string")))
-            .withColumn("__salary_numbers",
-                        F.when(F.col("__salary_a").isNull() & F.col("__salary_b").isNull(),
-                               F.regexp_extract_all(source, F.lit(NUMBER), F.lit(0))))
-            .withColumn("__salary_factor", factor)
-        )
-        numbers = F.col("__salary_numbers")
-        first = _number(numbers, 0) * F.col("__salary_factor")
-        second = _number(numbers, 1) * F.col("__salary_factor")
-        a = F.coalesce(F.col("__salary_a"), F.col("__salary_b"), first)
-        b = F.coalesce(F.col("__salary_b"), F.col("__salary_a"), second, first)
-        return (
-            staged.withColumns({"__salary_a": a, "__salary_b": b})
-            .withColumn("__salary_range", _range(F.col("__salary_a"), F.col("__salary_b")))
-            .drop(low, high, *_TEMP)
-            .transform(unpacked("__salary_range", low, high))
-        )
+        free = F.lower(F.col(text)) if text in df.columns else F.lit(None).cast("string")
+        cells = F.array(F.struct(single_salary(F.col(low).cast("string")).alias("a"),
+                                 single_salary(F.col(high).cast("string")).alias("b"), free.alias("t")))
+
+        def with_free(x: Column) -> Column:
+            missing = x["a"].isNull() & x["b"].isNull()
+            factor = F.when(x["t"].contains("k") | x["t"].contains("千"), 1000.0).otherwise(1.0)
+            numbers = F.when(missing, F.regexp_extract_all(x["t"], F.lit(NUMBER), F.lit(0)))
+            return F.struct(x["a"].alias("a"), x["b"].alias("b"), factor.alias("f"), numbers.alias("n"))
+
+        def ends(x: Column) -> Column:
+            first, second = _number(x["n"], 0) * x["f"], _number(x["n"], 1) * x["f"]
+            return _range(F.coalesce(x["a"], x["b"], first), F.coalesce(x["b"], x["a"], second, first))
+
+        return _unpacked(df, F.transform(F.transform(cells, with_free), ends), low, high)
 
     return apply
 
@@ -95,30 +98,22 @@ def monthly_salary(source: str = "salary", low: str = "salary_low",
     def apply(df: DataFrame) -> DataFrame:
         raw = strip(F.col(source))
         cleaned = F.regexp_replace(F.translate(raw, "，～~", ",--"), "至", "-")
-        cleaned = F.regexp_replace(cleaned, BONUS_MONTHS, "")
-        text = F.col("__salary_text")
-        unit = (
-            F.when(text.contains("万"), 10000.0)
-            .when(text.rlike("[kK千]"), 1000.0)
-            .otherwise(1.0)
-        )
-        period = (
-            F.when(text.rlike(r"[天日]结|/\s*[天日]"), V.WORK_DAYS_PER_MONTH)
-            .when(text.rlike(r"/\s*(?:小时|时)"), V.WORK_HOURS_PER_DAY * V.WORK_DAYS_PER_MONTH)
-            .otherwise(1.0)
-        )
-        numbers = F.col("__salary_numbers")
-        a, b = F.col("__salary_a"), F.col("__salary_b")
-        return (
-            df.withColumn("__salary_text", F.when(~F.lower(raw).isin(V.NO_SALARY_WORDS), cleaned))
-            .withColumn("__salary_numbers", F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)))
-            .withColumn("__salary_factor", unit * period)
-            .withColumn("__salary_a", _number(numbers, 0) * F.col("__salary_factor"))
-            .withColumn("__salary_b", F.coalesce(_number(numbers, 1), _number(numbers, 0)) * F.col("__salary_factor"))
-            .withColumn("__salary_range", _range(F.round(a, 2), F.round(b, 2)))
-            .drop(*_TEMP)
-            .transform(unpacked("__salary_range", low, high))
-        )
+        text = F.when(~F.lower(raw).isin(V.NO_SALARY_WORDS), F.regexp_replace(cleaned, BONUS_MONTHS, ""))
+
+        def parts(t: Column) -> Column:
+            unit = F.when(t.contains("万"), 10000.0).when(t.rlike("[kK千]"), 1000.0).otherwise(1.0)
+            period = (
+                F.when(t.rlike(r"[天日]结|/\s*[天日]"), V.WORK_DAYS_PER_MONTH)
+                .when(t.rlike(r"/\s*(?:小时|时)"), V.WORK_HOURS_PER_DAY * V.WORK_DAYS_PER_MONTH)
+                .otherwise(1.0)
+            )
+            return F.struct(F.regexp_extract_all(t, F.lit(NUMBER), F.lit(0)).alias("n"), (unit * period).alias("f"))
+
+        def ends(x: Column) -> Column:
+            first, second = _number(x["n"], 0), F.coalesce(_number(x["n"], 1), _number(x["n"], 0))
+            return _range(F.round(first * x["f"], 2), F.round(second * x["f"], 2))
+
+        return _unpacked(df, F.transform(F.transform(F.array(text), parts), ends), low, high)
 
     return apply
 

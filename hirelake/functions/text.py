@@ -16,8 +16,8 @@ SPACE_CLASS = r"\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f
 def unpacked(packed: str, *names: str) -> Callable[[DataFrame], DataFrame]:
     """Replace a struct column by its fields.
 
-    Goes through a one-element ``inline``: a plain projection lets the optimizer copy a long parser expression into
-    every filter on its result, once per mention, until the code no longer compiles.
+    Goes through a one-element ``inline``: a plain projection lets the optimizer copy a long expression into every
+    filter on its result, once per mention, until the code no longer compiles.
     """
 
     def apply(df: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hirelake import fixed_values as V
 from hirelake.operators.skew import HOT_ROWS, hot_key_hashes, salted_left_join
-from hirelake.session import checkpointed
+from hirelake.session import stored
 
 MAX_ROUNDS = 200
 
@@ -49,7 +49,7 @@ def dedupe_greedy(df: DataFrame, row_id: str = "job_id", keys: list[str] = V.BUS
     """
     named = F.nullif(F.col(row_id), F.lit(""))
     narrow = df.select(named.alias("__id"), F.struct(*keys).alias("__key"), F.col(pos).alias("__pos"))
-    undecided = checkpointed(narrow.groupBy("__id", "__key").agg(F.min("__pos").alias("__pos")))
+    undecided = stored(narrow.groupBy("__id", "__key").agg(F.min("__pos").alias("__pos")), "undecided")
     # Groups only shrink from round to round, so the heavy ones are looked up once.
     hot_ids = hot_key_hashes(undecided, ["__id"], hot_rows)
     hot_keys = hot_key_hashes(undecided, ["__key"], hot_rows)
@@ -64,19 +64,21 @@ def dedupe_greedy(df: DataFrame, row_id: str = "job_id", keys: list[str] = V.BUS
         id_first = undecided.filter(F.col("__id").isNotNull()).groupBy("__id").agg(F.min("__pos").alias("__id_first"))
         key_first = undecided.groupBy("__key").agg(F.min("__pos").alias("__key_first"))
         first_of_id = F.col("__id").isNull() | (F.col("__pos") == F.col("__id_first"))
-        judged = checkpointed(
+        judged = stored(
             attach(undecided, id_first, key_first)
-            .select("__id", "__key", "__pos", (first_of_id & (F.col("__pos") == F.col("__key_first"))).alias("__keep"))
+            .select("__id", "__key", "__pos", (first_of_id & (F.col("__pos") == F.col("__key_first"))).alias("__keep")),
+            "judged",
         )
         winners = judged.filter("__keep").select("__id", "__key", "__pos")
         kept = winners if kept is None else kept.unionByName(winners)
 
         taken_ids = winners.filter(F.col("__id").isNotNull()).select("__id", F.lit(True).alias("__id_taken"))
         taken_keys = winners.select("__key", F.lit(True).alias("__key_taken"))
-        undecided = checkpointed(
+        undecided = stored(
             attach(judged.filter(~F.col("__keep")), taken_ids, taken_keys)
             .filter(F.col("__id_taken").isNull() & F.col("__key_taken").isNull())
-            .select("__id", "__key", "__pos")
+            .select("__id", "__key", "__pos"),
+            "undecided",
         )
         if undecided.isEmpty():
             break

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hirelake.session import checkpointed
+from hirelake.session import stored
 
 
 def value_counts(df: DataFrame, c: Column, limit: int | None = None) -> DataFrame:
@@ -16,6 +16,23 @@ def value_counts(df: DataFrame, c: Column, limit: int | None = None) -> DataFram
     return counts if limit is None else counts.limit(limit)
 
 
+def counts_by_dimension(df: DataFrame, dimensions: dict[str, Column], limits: dict[str, int]) -> DataFrame:
+    """``dim, name, value`` of several dimensions in one scan; those with a limit are cut to their most frequent names.
+
+    Each row is expanded once per dimension and combined on the map side. The ranking keeps only the best names of each
+    task before its shuffle; a dimension without a limit is ranked name by name, that is, not at all.
+    """
+    pairs = F.array(*[F.struct(F.lit(d).alias("dim"), c.alias("name")) for d, c in dimensions.items()])
+    counts = df.select(F.inline(pairs)).groupBy("dim", "name").agg(F.count(F.lit(1)).alias("value"))
+    limited = F.col("dim").isin(list(limits))
+    alone = counts.withColumn("__group", F.when(~limited, F.coalesce("name", F.lit(""))))
+    best = top_per_group(alone, ["dim", "__group"], [F.desc("value"), F.asc("name")], max(limits.values()))
+    cut = ~limited
+    for dim, n in limits.items():
+        cut = cut | ((F.col("dim") == dim) & (F.col("rank") <= n))
+    return best.filter(cut).select("dim", "name", "value")
+
+
 def fixed_order_counts(df: DataFrame, c: Column, labels: list[str], keep_empty: bool) -> DataFrame:
     """``ord, name, value`` for a fixed list of labels; other values are ignored.
 
@@ -42,10 +59,9 @@ def number_rows(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Global numbers 1..n in the given order, without pulling the rows into one task.
 
     Rows are range-partitioned and sorted, and each partition's numbers start after the sizes of those before it. The
-    sorted rows are checkpointed first, so that a recomputed task cannot meet other partition bounds.
+    sorted rows are written first, so that a recomputed task cannot meet other partition bounds.
     """
-    slot = F.bitwise_not(F.lit(0).cast("long"))
-    slot = F.shiftrightunsigned(slot, 31)  # the 33 low bits of monotonically_increasing_id count inside a partition
+    slot = F.lit((1 << 33) - 1)  # the 33 low bits of monotonically_increasing_id count inside a partition
     ranged = (
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
@@ -53,12 +69,12 @@ def number_rows(df: DataFrame, order: list[str], name: str) -> DataFrame:
         .withColumn("__part", F.shiftright("__id", 33))
         .withColumn("__slot", F.col("__id").bitwiseAND(slot))
     )
-    placed = checkpointed(ranged)
+    placed = stored(ranged.drop("__id"), "numbered")
     sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     starts = sizes.select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
     return (
         placed.join(F.broadcast(starts), "__part")  # as many rows as there are partitions
         .withColumn(name, F.col("__start") + F.col("__slot") + 1)
-        .drop("__id", "__part", "__slot", "__start")
+        .drop("__part", "__slot", "__start")
     )

@@ -10,6 +10,8 @@ HOT_ROWS = 1_000_000
 # At most this many keys are treated as hot; any other key has at most 1/MAX_HOT_KEYS of all rows.
 MAX_HOT_KEYS = 1000
 SALTS = 64
+# A reference table of up to this many short rows is broadcast.
+SMALL_ROWS = 100_000
 
 
 def hot_key_hashes(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> list[int]:
@@ -20,6 +22,11 @@ def hot_key_hashes(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) ->
     return [row["h"] for row in heavy.collect()]
 
 
+def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
+    """The side marked for broadcast when it is counted to be small, else unmarked for a shuffled join."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def salted_left_join(left: DataFrame, right: DataFrame, keys: list[str], spread_by: list[str],
                      hot: list[int], salts: int = SALTS) -> DataFrame:
     """Left join against a side that is unique per key; ``hot`` comes from :func:`hot_key_hashes`.

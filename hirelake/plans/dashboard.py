@@ -11,7 +11,7 @@ from hirelake import fixed_values as V
 from hirelake.functions.salary import parse_bound, salary_bucket
 from hirelake.functions.text import contains_ignoring_case, safe_text, skill_list
 from hirelake.functions.tokens import keyword_rows
-from hirelake.operators.ranking import fixed_order_counts, top_per_group, value_counts
+from hirelake.operators.ranking import counts_by_dimension, fixed_order_counts, value_counts
 from hirelake.sources.tables import write_csv
 
 DIMENSIONS = ("city", "education", "experience", "category")
@@ -82,29 +82,16 @@ def summary(df: DataFrame) -> DataFrame:
 
 
 def distributions(df: DataFrame) -> DataFrame:
-    """``dim, name, value`` of city, category, company, education, experience and salary bucket in one scan.
-
-    Each row is expanded once per dimension and combined on the map side; the ranking keeps only the best names of each
-    task before its shuffle.
-    """
-    entries = {
+    """``dim, name, value`` of city, category, company, education, experience and salary bucket in one scan."""
+    counts = counts_by_dimension(df, {
         "city": safe_text(F.col("city")),
         "category": safe_text(F.col("category")),
         "company": safe_text(F.col("company")),
         "education": safe_text(F.col("education")),
         "experience": F.col("experience"),
         "salary": salary_bucket(F.col("avg_salary")),
-    }
-    pairs = F.array(*[F.struct(F.lit(d).alias("dim"), c.alias("name")) for d, c in entries.items()])
-    counts = df.select(F.inline(pairs)).groupBy("dim", "name").agg(F.count(F.lit(1)).alias("value"))
-    listed = (F.col("dim") != "experience") | F.col("name").isin(V.EXPERIENCE_ORDER)
-    whole = counts.filter(~F.col("dim").isin(list(TOP)) & listed)
-    best = top_per_group(counts.filter(F.col("dim").isin(list(TOP))), ["dim"],
-                         [F.desc("value"), F.asc("name")], max(TOP.values()))
-    cut = F.lit(False)
-    for dim, n in TOP.items():
-        cut = cut | ((F.col("dim") == dim) & (F.col("rank") <= n))
-    return best.filter(cut).select("dim", "name", "value").unionByName(whole)
+    }, TOP)
+    return counts.filter((F.col("dim") != "experience") | F.col("name").isin(V.EXPERIENCE_ORDER))
 
 
 def options(df: DataFrame) -> DataFrame:

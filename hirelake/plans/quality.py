@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from hirelake import fixed_values as V
 from hirelake.functions.text import city_of, text_of
 from hirelake.functions.salary import has_salary
-from hirelake.operators.dedupe import dedupe_business
 from hirelake.operators.merge import best_snapshots, with_id
-from hirelake.operators.ranking import top_per_group, value_counts
+from hirelake.operators.ranking import counts_by_dimension, top_per_group, value_counts
 from hirelake.operators.skew import HOT_ROWS, hot_key_hashes, salted_left_join
 
 
@@ -34,20 +33,15 @@ def import_stats(listings: DataFrame, rows: DataFrame, batch_table: DataFrame) -
 
 def import_overview(rows: DataFrame) -> DataFrame:
     """``section, name, value``: rows and mean salaries, top cities, industries and education, all experience labels."""
-    sections = {"city": 8, "category": 5, "education": 6, "work_years": None}
     means = rows.agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg("salary_low"), 2).alias("mean_low"),
                      F.round(F.avg("salary_high"), 2).alias("mean_high"))
-    parts = [means.select(F.inline(F.array(*[
+    totals = means.select(F.inline(F.array(*[
         F.struct(F.lit("total").alias("section"), F.lit(c).alias("name"), F.col(c).cast("double").alias("value"))
         for c in ("rows", "mean_low", "mean_high")
-    ])))]
-    for column, limit in sections.items():
-        counts = value_counts(rows, F.col(column), limit)
-        parts.append(counts.select(F.lit(column).alias("section"), "name", F.col("value").cast("double").alias("value")))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    ])))
+    counts = counts_by_dimension(rows, {c: F.col(c) for c in ("city", "category", "education", "work_years")},
+                                 {"city": 8, "category": 5, "education": 6})
+    return totals.unionByName(counts.select(F.col("dim").alias("section"), "name", F.col("value").cast("double").alias("value")))
 
 
 def merge_overview(listings: DataFrame) -> DataFrame:
@@ -62,16 +56,13 @@ def merge_overview(listings: DataFrame) -> DataFrame:
     totals = named.groupBy("job_id").agg(F.count(F.lit(1)).alias("n")).agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("raw_with_id"), F.count(F.lit(1)).alias("unique_ids"))
     merged = standardize(best_snapshots(listings))
-    valid = merged.agg(F.count(F.lit(1)).alias("valid"))
-    final = dedupe_business(merged).agg(F.count(F.lit(1)).alias("final"), F.count_if(F.col("skills") != "").alias("with_skills"))
-    row = totals.select(
-        scope.select("keywords").scalar().alias("keywords"),
-        scope.select("cities").scalar().alias("cities"),
-        "*",
-        valid.scalar().alias("valid"),
-        final.select("final").scalar().alias("final"),
-        final.select("with_skills").scalar().alias("with_skills"),
-    )
+    per_key = merged.groupBy(*V.BUSINESS_KEY).agg(F.count(F.lit(1)).alias("n"), F.min_by("skills", "pos").alias("skills"))
+    final = per_key.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("valid"), F.count(F.lit(1)).alias("final"),
+                        F.count_if(F.col("skills") != "").alias("with_skills"))
+    packed = final.select(F.struct("*")).scalar()  # one pass for three figures
+    both = scope.select(F.struct("*")).scalar()
+    row = totals.select(both["keywords"].alias("keywords"), both["cities"].alias("cities"), "*",
+                        *[packed[c].alias(c) for c in ("valid", "final", "with_skills")])
     return row.select(
         "keywords", "cities", "raw_with_id", "unique_ids",
         F.round(F.col("raw_with_id") / F.greatest("unique_ids", F.lit(1)), 1).alias("mean_repeats"),
@@ -87,13 +78,14 @@ def consolidation_manifest(source_files: int, listings: DataFrame, records: Data
     priced rows with a description before the key pass."""
     raw = with_id(listings).agg(F.count(F.lit(1)).alias("raw_records"))
     merged = records.agg(F.count(F.lit(1)).alias("unique_jobs"), F.count_if(F.col("jd") != "").alias("jobs_with_jd"))
+    figures = merged.select(F.struct("*")).scalar()
     priced = standard.agg(F.count_if(F.col("jd") != "").alias("rows_with_jd"))
     rows = final.agg(F.count(F.lit(1)).alias("valid_rows"))
     return raw.select(
         F.lit(source_files).cast("bigint").alias("source_files"), "raw_records",
-        merged.select("unique_jobs").scalar().alias("unique_jobs"),
+        figures["unique_jobs"].alias("unique_jobs"),
         rows.scalar().alias("valid_rows"),
-        merged.select("jobs_with_jd").scalar().alias("jobs_with_jd"),
+        figures["jobs_with_jd"].alias("jobs_with_jd"),
         priced.scalar().alias("rows_with_jd"),
     )
 

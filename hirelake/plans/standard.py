@@ -12,6 +12,7 @@ from hirelake.functions.salary import has_pair, has_salary, monthly_salary, sala
 from hirelake.operators.dedupe import dedupe_business, dedupe_greedy
 from hirelake.operators.merge import best_snapshots, join_details, longest_descriptions, provenance
 from hirelake.operators.ranking import number_rows
+from hirelake.operators.skew import HOT_ROWS, hot_key_hashes, salted_left_join
 from hirelake.sources import archive, tables
 
 
@@ -54,6 +55,11 @@ def import_rows(listings: DataFrame, details: DataFrame | None = None,
     )
 
 
+def with_detail_path(listings: DataFrame, pairs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Listings with the detail file of their batch; postings of a large batch are spread."""
+    return salted_left_join(listings, pairs, ["batch_path"], ["pos"], hot_key_hashes(listings, ["batch_path"], hot_rows))
+
+
 def import_filter(rows: DataFrame, city: str | None = None, keyword: str | None = None) -> DataFrame:
     """Keep one city, and titles that contain a keyword (case matters)."""
     if city:
@@ -74,8 +80,7 @@ def import_archive(spark: SparkSession, path: str, city: str | None = None,
     pairs = archive.pair_details(files.select("path"), detail_files.select("path"))
     latest = archive.latest_details(archive.details(detail_files), ["detail_path", "job_id"]).select(
         "detail_path", "job_id", F.col("company").alias("detail_company"), "jd")
-    paired = listings.join(pairs, "batch_path", "left")
-    rows = import_rows(paired, latest, keys=["detail_path", "job_id"])
+    rows = import_rows(with_detail_path(listings, pairs), latest, keys=["detail_path", "job_id"])
     # From the batch table, so that a batch without a single posting has its row, too.
     per_batch = import_stats(listings, rows, archive.batches(files).select("batch_path", "keyword", "batch_city"))
     return dedupe_greedy(import_filter(rows, city, keyword)), per_batch

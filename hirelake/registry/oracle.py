@@ -22,8 +22,8 @@ def columns(table: dict[str, str]) -> str:
 
 PLACE = ", ".join(I.RAW["batch_no"] if p == "batch_no" else p for p in I.PLACE)
 CTES = {
-    "raw": f"SELECT {columns(I.RAW)}, row_number() OVER (ORDER BY {PLACE}) AS pos, l_orderkey "
-           "FROM lineitem",
+    "raw": f"SELECT {columns(I.RAW)}, row_number() OVER (ORDER BY {PLACE}) AS pos, l_orderkey, l_partkey, "
+           f"l_suppkey, {I.PLACE[-1]} AS cents FROM lineitem",
     "details": "SELECT *, row_number() OVER (ORDER BY detail_path, snapshot, doc_id) AS pos FROM ("
                + " UNION ALL ".join(f"SELECT {columns(I.detail_columns(i))} FROM documents" for i in range(3)) + ")",
     "pages_": f"SELECT {columns(I.PAGES)} FROM documents",
@@ -106,13 +106,14 @@ STD_ROWS = ["raw", priced("raw"), standard("std", "priced_", fallback="batch_cit
 
 # --- sources and sinks --------------------------------------------------------------------------------------------
 BATCH_KIND = "l_orderkey % 50"
-BATCHES = ("b AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY pos) - 1 AS idx, "
-           "min(keyword) OVER (PARTITION BY l_orderkey) AS kw, min(batch_city) OVER (PARTITION BY l_orderkey) AS ct, "
-           "concat('archive/boss_jobs_', lpad(CAST(l_orderkey AS STRING), 12, '0'), '.json') AS path FROM raw)")
-oracle("archive_read", f"""SELECT path AS batch_path, CAST(idx AS INTEGER) AS idx,
-    CASE WHEN {BATCH_KIND} = 5 THEN NULL ELSE kw END AS keyword, CASE WHEN {BATCH_KIND} = 5 THEN NULL ELSE ct END AS batch_city,
-    job_id, title, salary, location FROM b WHERE {BATCH_KIND} NOT IN (1, 2, 3, 4)""", "raw", BATCHES)
-oracle("archive_validate", f"""SELECT DISTINCT path, CASE {BATCH_KIND} WHEN 1 THEN 'unreadable' WHEN 2 THEN 'jobs is not a list'
+BATCHES = ("b AS (SELECT *, concat('archive/boss_jobs_', concat_ws('_', batch_no, l_orderkey, l_partkey, l_suppkey, cents), "
+           "'.json') AS path FROM raw)")
+oracle("archive_read", " UNION ALL ".join(
+    f"""SELECT path AS batch_path, {i} AS idx, CASE WHEN {BATCH_KIND} = 5 THEN NULL ELSE keyword END AS keyword,
+    CASE WHEN {BATCH_KIND} = 5 THEN NULL ELSE batch_city END AS batch_city, {job_id} AS job_id, {title} AS title, salary, location
+    FROM b WHERE {BATCH_KIND} NOT IN (1, 2, 3, 4)"""
+    for i, (job_id, title) in enumerate([("job_id", "title"), ("concat(job_id, 'x')", "'二'")])), "raw", BATCHES)
+oracle("archive_validate", f"""SELECT path, CASE {BATCH_KIND} WHEN 1 THEN 'unreadable' WHEN 2 THEN 'jobs is not a list'
     WHEN 3 THEN 'jobs has an entry that is not an object' ELSE 'top level is neither object nor list' END AS reason
     FROM b WHERE {BATCH_KIND} IN (1, 2, 3, 4)""", "raw", BATCHES)
 LATEST = ("latest AS (SELECT * FROM details QUALIFY row_number() OVER (PARTITION BY detail_path, job_id "

@@ -22,7 +22,7 @@ from hirelake.plans import quality as Q
 from hirelake.plans import report as R
 from hirelake.plans import standard as S
 from hirelake.registry import bindings as I
-from hirelake.session import checkpointed, shared_path, tuned
+from hirelake.session import shared_path, stored, tuned
 from hirelake.sources import archive as A
 from hirelake.sources import tables as T
 from hirelake.streaming import ingest as G
@@ -56,24 +56,19 @@ def served(spark: SparkSession, sf: str) -> DataFrame:
 # --- sources and sinks --------------------------------------------------------------------------------------------
 
 def batch_texts(spark: SparkSession, sf: str) -> DataFrame:
-    """``path, content`` of JSON batches: the postings of one order form a batch, every 50th batch is broken."""
-    names = ["job_id", "title", "salary", "location", "keyword", "batch_city"]
-    rows = raw(spark, sf, *names)
-    entry = F.struct("pos", "job_id", "title", "salary", "location")
-    order = F.col("l_orderkey")
-    grouped = rows.groupBy(F.col("pos.l_orderkey").alias("l_orderkey")).agg(  # an order has a handful of lines
-        F.sort_array(F.collect_list(entry)).alias("jobs"), F.min("keyword").alias("keyword"),
-        F.min("batch_city").alias("city"))
-    jobs = F.transform("jobs", lambda j: F.struct(j["job_id"].alias("job_id"), j["title"].alias("title"),
-                                                  j["salary"].alias("salary"), j["location"].alias("location")))
-    whole = F.to_json(F.struct("keyword", "city", jobs.alias("jobs")))
+    """``path, content`` of JSON batches: two postings per row of the table; some batches are broken or bare lists."""
+    rows = raw(spark, sf, "job_id", "title", "salary", "location", "keyword", "batch_city")
+    order = F.col("pos.l_orderkey")
+    second = F.struct(F.concat("job_id", F.lit("x")).alias("job_id"), F.lit("二").alias("title"), "salary", "location")
+    jobs = F.array(F.struct("job_id", "title", "salary", "location"), second)
+    whole = F.to_json(F.struct("keyword", F.col("batch_city").alias("city"), jobs.alias("jobs")))
     content = (
         F.when(order % 50 == 1, "{ broken").when(order % 50 == 2, '{"jobs": "none"}')
         .when(order % 50 == 3, '{"jobs": [null]}').when(order % 50 == 4, "3")
         .when(order % 50 == 5, F.to_json(jobs)).otherwise(whole)
     )
-    return grouped.select(F.concat(F.lit("archive/boss_jobs_"), F.lpad(order.cast("string"), 12, "0"),
-                                   F.lit(".json")).alias("path"), content.alias("content"))
+    path = F.concat(F.lit("archive/boss_jobs_"), F.concat_ws("_", "pos.*"), F.lit(".json"))
+    return rows.select(path.alias("path"), content.alias("content"))
 
 
 @query("archive_read")
@@ -121,7 +116,9 @@ def write_std(spark, sf):
 @query("consolidate_manifest")
 def consolidate_manifest(spark, sf):
     listings = raw(spark, sf)
-    records, _sources, standard = S.consolidate(listings, I.raw_details(spark, sf))
+    records, _sources, _standard = S.consolidate(listings, I.raw_details(spark, sf))
+    records = stored(records, "records")
+    standard = S.standardize(records, description=F.col("jd"), keep=["pos", "jd"])
     files = listings.agg(F.count_distinct("batch_path").alias("n")).first()["n"]
     return Q.consolidation_manifest(files, listings, records, standard, D.dedupe_business(standard))
 
@@ -150,9 +147,7 @@ def flatten_response(spark, sf):
 
 @query("dim_cities")
 def dim_cities(spark, sf):
-    pairs = F.map_from_entries(F.collect_list(F.struct("city", "code")))  # a thousand keys at most
-    thousand = F.col("city_no") - F.col("city_no") % 1000
-    texts = I.cities(spark, sf).groupBy(thousand.alias("t")).agg(F.to_json(pairs).alias("value"))
+    texts = I.cities(spark, sf).select(F.to_json(F.create_map("city", "code")).alias("value"))
     return T.codes_of(texts)
 
 
@@ -274,14 +269,12 @@ def city_dim(spark, sf):
 
 @query("filter_decode")
 def filter_decode(spark, sf):
-    codes = T.filter_codes(spark)
+    codes = {f"{d}={label}": code for d, (_n, table) in V.FILTER_CODES.items() for label, code in table.items()}
     rows = raw(spark, sf, "batch_no", "company_scale", "company_stage")
     named = rows.select("batch_no", F.inline(F.array(
         F.struct(F.lit("scale").alias("domain"), F.col("company_scale").alias("label")),
         F.struct(F.lit("stage").alias("domain"), F.col("company_stage").alias("label"))))).distinct()
-    applied = named.join(codes.select("domain", "label", "code"), ["domain", "label"]).select(
-        "batch_no", "domain", "code")
-    return C.decode_filters(applied, codes)
+    return C.decode_filters(named.select("batch_no", "domain", L.lookup(F.concat_ws("=", "domain", "label"), codes).alias("code")))
 
 
 @query("tag_filter")
@@ -387,7 +380,7 @@ def imported(spark: SparkSession, sf: str, listings: DataFrame) -> DataFrame:
                            details.select(F.col("detail_path").alias("path")).distinct())
     latest = A.latest_details(details, ["detail_path", "job_id"]).select(
         "detail_path", "job_id", F.col("company").alias("detail_company"), "jd")
-    return S.import_rows(listings.join(pairs, "batch_path", "left"), latest, ["detail_path", "job_id"])
+    return S.import_rows(S.with_detail_path(listings, pairs), latest, ["detail_path", "job_id"])
 
 
 @query("import_join")
@@ -583,7 +576,7 @@ def unpriced(spark, sf):
 
 def coverage(spark: SparkSession, sf: str) -> DataFrame:
     """Coverage counts, kept: several parts of a plan read this small table."""
-    return checkpointed(C.coverage_counts(raw(spark, sf, "job_id", "location", "title")))
+    return stored(C.coverage_counts(raw(spark, sf, "job_id", "location", "title")), "coverage_counts")
 
 
 def scores(spark: SparkSession, sf: str) -> DataFrame:

@@ -28,13 +28,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the result survives the loss of any executor, and lineage ends here."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate result below the shared folder and go on from there.
+
+    Lineage ends at the written table, so a lost executor costs only the tasks it was running. Unlike a checkpoint the
+    table is columnar, and its size is known to the planner. The folder is scratch space and may be emptied between jobs.
+    """
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def tuned(spark: SparkSession) -> SparkSession:
