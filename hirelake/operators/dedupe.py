@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hirelake import fixed_values as V
+from hirelake.operators.ranking import number_rows
 from hirelake.operators.skew import HOT_ROWS, hot_key_hashes, salted_left_join
 from hirelake.session import stored
 
@@ -43,48 +44,45 @@ def dedupe_greedy(df: DataFrame, row_id: str = "job_id", keys: list[str] = V.BUS
     """In order of ``pos``, keep a row unless its id or its business key is already kept.
 
     A dropped row blocks nothing, so two plain duplicate removals give another answer. Rows that share both id and key
-    reduce to their first at once. The rest is decided in rounds: an undecided row that is first both in its id and in
-    its key is kept; rows that share an id or key with a kept row are dropped. Blank ids block nothing. Each round is
-    two aggregates with map-side combine and two salted joins, over rows of four narrow columns.
+    reduce to their first at once. What is left gets numbers in order, and ids and keys are replaced by the number of
+    their first row, so that the rounds work on three integers: an undecided row that is first both in its id and in its
+    key is kept; rows that share an id or key with a kept row are dropped. Blank ids block nothing. Each round is two
+    aggregates with map-side combine and two salted joins.
     """
-    named = F.nullif(F.col(row_id), F.lit(""))
-    narrow = df.select(named.alias("__id"), F.struct(*keys).alias("__key"), F.col(pos).alias("__pos"))
-    undecided = stored(narrow.groupBy("__id", "__key").agg(F.min("__pos").alias("__pos")), "undecided")
+    named = df.withColumn("__own", F.nullif(F.col(row_id), F.lit("")))
+    firsts = number_rows(first_per_key(named, ["__own", *keys], pos), [pos], "__n")
+    facts = firsts.select("__n", "__own", F.struct(*keys).alias("__key"))
+    by_id = facts.filter(F.col("__own").isNotNull()).groupBy("__own").agg(F.min("__n").alias("__i"))
+    by_key = facts.groupBy("__key").agg(F.min("__n").alias("__k"))
+    with_id = salted_left_join(facts, by_id, ["__own"], ["__n"], hot_key_hashes(facts, ["__own"], hot_rows))
+    with_key = salted_left_join(with_id, by_key, ["__key"], ["__n"], hot_key_hashes(facts, ["__key"], hot_rows))
+    undecided = stored(with_key.select("__n", "__i", "__k"), "undecided")
     # Groups only shrink from round to round, so the heavy ones are looked up once.
-    hot_ids = hot_key_hashes(undecided, ["__id"], hot_rows)
-    hot_keys = hot_key_hashes(undecided, ["__key"], hot_rows)
+    hot_ids = hot_key_hashes(undecided, ["__i"], hot_rows)
+    hot_keys = hot_key_hashes(undecided, ["__k"], hot_rows)
 
     def attach(rows: DataFrame, of_id: DataFrame, of_key: DataFrame) -> DataFrame:
         """Values per id and per key. Blank ids match nothing; being one null key, they are spread like a hot one."""
-        with_id = salted_left_join(rows, of_id, ["__id"], ["__pos"], hot_ids)
-        return salted_left_join(with_id, of_key, ["__key"], ["__pos"], hot_keys)
+        return salted_left_join(salted_left_join(rows, of_id, ["__i"], ["__n"], hot_ids), of_key, ["__k"], ["__n"], hot_keys)
 
     kept = None
     for _ in range(MAX_ROUNDS):
-        id_first = undecided.filter(F.col("__id").isNotNull()).groupBy("__id").agg(F.min("__pos").alias("__id_first"))
-        key_first = undecided.groupBy("__key").agg(F.min("__pos").alias("__key_first"))
-        first_of_id = F.col("__id").isNull() | (F.col("__pos") == F.col("__id_first"))
-        judged = stored(
-            attach(undecided, id_first, key_first)
-            .select("__id", "__key", "__pos", (first_of_id & (F.col("__pos") == F.col("__key_first"))).alias("__keep")),
-            "judged",
-        )
-        winners = judged.filter("__keep").select("__id", "__key", "__pos")
-        kept = winners if kept is None else kept.unionByName(winners)
-
-        taken_ids = winners.filter(F.col("__id").isNotNull()).select("__id", F.lit(True).alias("__id_taken"))
-        taken_keys = winners.select("__key", F.lit(True).alias("__key_taken"))
+        id_first = undecided.filter(F.col("__i").isNotNull()).groupBy("__i").agg(F.min("__n").alias("id_first"))
+        key_first = undecided.groupBy("__k").agg(F.min("__n").alias("key_first"))
+        keep = (F.col("__i").isNull() | (F.col("__n") == F.col("id_first"))) & (F.col("__n") == F.col("key_first"))
+        judged = stored(attach(undecided, id_first, key_first).select("__n", "__i", "__k", keep.alias("keep")), "judged")
+        winners = judged.filter("keep")
+        kept = winners.select("__n") if kept is None else kept.unionByName(winners.select("__n"))
+
+        taken_ids = winners.filter(F.col("__i").isNotNull()).select("__i", F.lit(True).alias("id_taken"))
+        taken_keys = winners.select("__k", F.lit(True).alias("key_taken"))
+        open_rows = attach(judged.filter(~F.col("keep")).drop("keep"), taken_ids, taken_keys)
         undecided = stored(
-            attach(judged.filter(~F.col("__keep")), taken_ids, taken_keys)
-            .filter(F.col("__id_taken").isNull() & F.col("__key_taken").isNull())
-            .select("__id", "__key", "__pos"),
-            "undecided",
-        )
+            open_rows.filter(F.col("id_taken").isNull() & F.col("key_taken").isNull()).select("__n", "__i", "__k"),
+            "undecided")
         if undecided.isEmpty():
-            break
-    else:
-        raise RuntimeError(f"duplicate groups are chained deeper than {MAX_ROUNDS} rounds")
-    return df.join(kept.select(F.col("__pos").alias(pos)), pos, "left_semi")
+            return firsts.join(kept, "__n", "left_semi").select(*df.columns)
+    raise RuntimeError(f"duplicate groups are chained deeper than {MAX_ROUNDS} rounds")
 
 
 def upsert_keep(existing: DataFrame, incoming: DataFrame, key: str = "job_id", pos: str = "pos") -> DataFrame:

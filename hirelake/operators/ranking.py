@@ -65,11 +65,11 @@ def number_rows(df: DataFrame, order: list[str], name: str) -> DataFrame:
     ranged = (
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .withColumn("__id", F.monotonically_increasing_id())
-        .withColumn("__part", F.shiftright("__id", 33))
-        .withColumn("__slot", F.col("__id").bitwiseAND(slot))
+        .withColumn("__row", F.monotonically_increasing_id())
+        .withColumn("__part", F.shiftright("__row", 33))
+        .withColumn("__slot", F.col("__row").bitwiseAND(slot))
     )
-    placed = stored(ranged.drop("__id"), "numbered")
+    placed = stored(ranged.drop("__row"), "numbered")
     sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     starts = sizes.select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))

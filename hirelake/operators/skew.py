@@ -10,13 +10,17 @@ HOT_ROWS = 1_000_000
 # At most this many keys are treated as hot; any other key has at most 1/MAX_HOT_KEYS of all rows.
 MAX_HOT_KEYS = 1000
 SALTS = 64
+# Size of a short row, for estimates.
+SMALL_ROW_BYTES = 64
 # A reference table of up to this many short rows is broadcast.
 SMALL_ROWS = 100_000
 
 
 def hot_key_hashes(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> list[int]:
     """Hashes of the heaviest keys. The counts are combined on the map side, and the driver gets at most
-    ``MAX_HOT_KEYS`` numbers."""
+    ``MAX_HOT_KEYS`` numbers. A side that the planner estimates at less than one heavy key's rows is not counted."""
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < hot_rows * SMALL_ROW_BYTES:
+        return []
     counts = df.groupBy(F.xxhash64(*keys).alias("h")).agg(F.count(F.lit(1)).alias("n"))
     heavy = counts.filter(F.col("n") >= hot_rows).orderBy(F.desc("n")).limit(MAX_HOT_KEYS)
     return [row["h"] for row in heavy.collect()]
