@@ -597,6 +597,8 @@ oracle("pending_combos", f"""SELECT keyword, city, CAST(place AS BIGINT) AS plac
        "cities", GRID)
 oracle("progress_stats", f"""SELECT keyword, city, count(*) AS rows FROM (SELECT {COMBO_NAMES} FROM orders
     WHERE o_orderstatus = 'F') GROUP BY 1, 2""")
+oracle("progress_counts", f"""SELECT count(*) FILTER (s = 'F') AS done, count(*) FILTER (s <> 'F') AS failed FROM (
+    SELECT DISTINCT {COMBO_NAMES}, CASE o_orderstatus WHEN 'F' THEN 'F' ELSE 'x' END AS s FROM orders)""")
 INPUTS = (f"inputs AS (SELECT CASE c_custkey % 5 WHEN 0 THEN {I.city_name('c_custkey')} WHEN 1 THEN "
           f"{I.text('100000000 + c_custkey')} WHEN 2 THEN {I.text('200000000 + c_custkey')} WHEN 3 THEN c_name "
           "ELSE '' END AS input FROM customer)")

@@ -22,6 +22,7 @@ from hirelake.plans import quality as Q
 from hirelake.plans import report as R
 from hirelake.plans import standard as S
 from hirelake.registry import bindings as I
+from hirelake.schema import STANDARD_POSTING
 from hirelake.session import shared_path, stored, tuned
 from hirelake.sources import archive as A
 from hirelake.sources import tables as T
@@ -108,8 +109,7 @@ def csv_ingest(spark, sf):
 def write_std(spark, sf):
     path = shared_path(spark, "standard_csv")
     T.write_standard(D.dedupe_business(I.std_rows(spark, sf)), path)
-    schema = ", ".join(f"{c} {'double' if c.startswith('salary') else 'string'}" for c in V.STANDARD_COLUMNS)
-    back = spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
+    back = spark.read.schema(STANDARD_POSTING).option("header", True).option("escape", '"').csv(path)
     return back.na.fill("")
 
 
@@ -692,6 +692,11 @@ def progress_stats(spark, sf):
     return C.progress_stats(searches(spark, sf))
 
 
+@query("progress_counts")
+def progress_counts(spark, sf):
+    return C.progress_counts(searches(spark, sf))
+
+
 # --- report -------------------------------------------------------------------------------------------------------
 
 @query("report_salary_labels")

@@ -19,8 +19,8 @@ class NoUsableRows(Exception):
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None, multi_line: bool = True) -> DataFrame:
     """Posting CSV with every column as text and ``pos`` as the row's place.
 
-    UTF-8 with or without byte-order mark; files that are not valid UTF-8 are read as GB18030, which needs
-    ``spark.sql.legacy.javaCharsets=true`` in the session. ``multi_line=False`` lets Spark split large files; use it when
+    UTF-8 with or without byte-order mark; a path with any text that is not valid UTF-8 is read as GB18030, which needs
+    ``spark.sql.legacy.javaCharsets=true`` in the session. One call reads one encoding. ``multi_line=False`` lets Spark split large files; use it when
     no cell holds a line break.
     """
     encoding = encoding or _encoding_of(spark, path)
@@ -127,6 +127,11 @@ def latest(spark: SparkSession, root: str, name: str) -> str | None:
     return max(done) if done else None
 
 
+def publish_ledger(combos: DataFrame, runs: DataFrame, root: str) -> tuple[str, str]:
+    """New versions of the two ledger tables. The previous versions stay readable while they are being replaced."""
+    return publish(combos, root, "combos"), publish(runs, root, "runs")
+
+
 def read_ledger(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """``combos`` and ``runs`` of a ledger file; a missing, broken or differently shaped file gives empty tables."""
     from pyspark.errors import AnalysisException

@@ -198,6 +198,10 @@ def test_city_codes_and_ledger(spark, tmp_path):
     assert {(r["city"], r["family_id"], r["slice_id"], r["status"], r["raw"]) for r in combos.collect()} == {
         ("佛山", "ops", "", "done", 45), ("佛山", "ops", "exp103", "failed", None)}
     assert runs.first()["new_jobs"] == 2
+    root = str(tmp_path / "ledger")
+    T.publish_ledger(combos, runs, root)
+    T.publish_ledger(spark.read.parquet(T.latest(spark, root, "combos")).filter("status = 'done'"), runs, root)
+    assert spark.read.parquet(T.latest(spark, root, "combos")).count() == 1
     (tmp_path / "broken.json").write_text("{", "utf-8")
     for name in ("broken.json", "missing.json"):
         combos, runs = T.read_ledger(spark, str(tmp_path / name))
@@ -228,3 +232,19 @@ def test_batches_without_postings_count_as_zero(spark):
     nothing = spark.createDataFrame([], "batch_path string, description string")
     row = import_stats(nothing, nothing, batch_table).first()
     assert (row["raw"], row["converted"], row["skipped_no_salary"], row["keyword"]) == (0, 0, 0, "")
+
+
+def test_schemas_of_the_tables(spark, archive):
+    path = archive(a__boss_jobs_1=FIRST, a__boss_details_1=[{"job_id": "job-1", "skill_tags": ["a"]}])
+    rows, details = A.read_postings(spark, path), A.read_details(spark, path)
+    kinds = dict(rows.dtypes)
+    assert {f.name: f.dataType.simpleString() for f in schema.RAW_POSTING}.items() <= kinds.items()
+    assert kinds["pos"] == schema.POSITION.simpleString() == dict(details.dtypes)["pos"]
+    assert {f.name: f.dataType.simpleString() for f in schema.DETAIL}.items() <= dict(details.dtypes).items()
+    assert details.first()["skill_tags"] == ["a"]
+
+
+def test_filter_codes(spark):
+    codes = T.filter_codes(spark)
+    assert codes.filter("domain = 'scale' and code = '301'").first()["label"] == "0-20人"
+    assert codes.count() == codes.select("domain", "code").distinct().count()
