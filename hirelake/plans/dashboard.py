@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hirelake import fixed_values as V
@@ -70,15 +70,33 @@ def keyword_counts(df: DataFrame, limit: int = 20) -> DataFrame:
 
 
 def summary(df: DataFrame) -> DataFrame:
-    """One row: rows, average salary, distinct cities and categories, most frequent skill."""
-    top = skill_counts(df, 1).select("name")
-    totals = df.agg(
-        F.count(F.lit(1)).alias("total_jobs"),
-        F.coalesce(F.round(F.avg("avg_salary"), 2), F.lit(0.0)).alias("avg_salary"),
-        F.count_distinct("city").alias("city_count"),
-        F.count_distinct("category").alias("category_count"),
+    """One row: rows, average salary, distinct cities and categories, most frequent skill.
+
+    One scan: each row gives an entry for itself, its city, its category and every skill; the entries are counted with a
+    map-side combine, and the figures follow from the counts.
+    """
+    def entry(dim: str, name: Column, amount: Column) -> Column:
+        return F.struct(F.lit(dim).alias("dim"), name.alias("name"), amount.alias("amount"))
+
+    nothing = F.lit(None).cast("double")
+    own = F.array(entry("row", F.lit(""), F.col("avg_salary")), entry("city", F.col("city"), nothing),
+                  entry("category", F.col("category"), nothing))
+    skills = F.transform(skill_list(F.col("skills")), lambda s: entry("skill", s, nothing))
+    counts = df.select(F.inline(F.concat(own, skills))).groupBy("dim", "name").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount"))
+
+    def of(dim: str, value: Column) -> Column:
+        return F.when(F.col("dim") == dim, value)
+
+    rows = F.coalesce(F.sum(of("row", F.col("n"))), F.lit(0))
+    rank = of("skill", F.struct((-F.col("n")).alias("n"), F.col("name").alias("name")))
+    return counts.agg(
+        rows.alias("total_jobs"),
+        F.coalesce(F.round(F.sum("amount") / F.nullif(rows, F.lit(0)), 2), F.lit(0.0)).alias("avg_salary"),
+        F.count(of("city", F.col("name"))).alias("city_count"),
+        F.count(of("category", F.col("name"))).alias("category_count"),
+        F.coalesce(F.min_by(F.col("name"), rank), F.lit("无")).alias("top_skill"),
     )
-    return totals.select("*", F.coalesce(top.scalar(), F.lit("无")).alias("top_skill"))
 
 
 def distributions(df: DataFrame) -> DataFrame:
