@@ -18,7 +18,7 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.split("[")[0] == "local":
         return LOCAL_FALLBACK
     raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
 
@@ -39,6 +39,37 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """The intermediate tables of one job: one folder below the shared folder, removed by :meth:`drop`.
+
+    A result that is still read lazily from the folder must be written elsewhere before ``drop``.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.path = shared_path(spark, name)
+        self.names: list[str] = []
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """Write and read back; see :func:`stored`."""
+        path = f"{self.path}/{name}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def bucketed(self, df: DataFrame, name: str, buckets: int, key: str) -> DataFrame:
+        """Write in buckets of ``key``, so that later joins and groupings on it need not move these rows again."""
+        table = f"{name}_{uuid.uuid4().hex}"
+        df.write.bucketBy(buckets, key).option("path", f"{self.path}/{table}").format("parquet").saveAsTable(table)
+        self.names.append(table)
+        return self.spark.table(table)
+
+    def drop(self) -> None:
+        for table in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def tuned(spark: SparkSession) -> SparkSession:
     """Session settings that long parser expressions want.
 
