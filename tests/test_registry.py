@@ -10,6 +10,7 @@ duckdb = pytest.importorskip("duckdb")
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import __spark_entry__ as entry_module  # noqa: E402
+from hirelake.registry.queries import QUERIES  # noqa: E402
 
 SF_DIR = os.environ.get("HIRELAKE_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -30,7 +31,7 @@ def rows_of(names, rows):
     return sorted(repr([round(r[i], 6) + 0.0 if isinstance(r[i], float) else r[i] for i in places]) for r in rows)
 
 
-@pytest.mark.parametrize("name", list(entry_module.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, checker, name):
     frame = entry_module.queries()[name](spark, SF_DIR)
     result = checker.execute(entry_module.oracle_sql()[name])
