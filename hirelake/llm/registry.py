@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.llm import substring
+from hirelake.llm import neardup, substring
 from hirelake.session import Scratch, stored
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,13 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                                 F.sha2("kept", 256).alias("kept_sha256")), "substring-result")
     scratch.drop()
     return result
+
+
+@_query()
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "neardup")
+    found = neardup.near_duplicates(_table(spark, sf_dir, "documents"), scratch)
+    result = stored(found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+                                 F.col("component").alias("component_id")), "neardup-result")
+    scratch.drop()
+    return result
