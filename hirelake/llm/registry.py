@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.llm import neardup, substring
+from hirelake.llm import langid, neardup, substring
 from hirelake.session import Scratch, stored
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,10 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
                                  F.col("component").alias("component_id")), "neardup-result")
     scratch.drop()
     return result
+
+
+@_query()
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out(F.col("doc_id")))
+    learnable = docs.filter(~F.col("held_out") & F.col("doc_id").isNotNull())
+    return langid.predict(docs, langid.fit(learnable), ["doc_id", "held_out"])
