@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.llm import langid, neardup, substring
-from hirelake.session import Scratch, stored
+from hirelake.llm import langid, neardup, substring, warc
+from hirelake.session import Scratch, shared_path, stored
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLE: dict[str, str] = {}
@@ -72,3 +72,27 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out(F.col("doc_id")))
     learnable = docs.filter(~F.col("held_out") & F.col("doc_id").isNotNull())
     return langid.predict(docs, langid.fit(learnable), ["doc_id", "held_out"])
+
+
+@_query("""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages
+), h AS (
+  SELECT *, sha1(body) AS hex FROM p
+), n AS (
+  SELECT *, list_transform(range(8), lambda i: list_reduce(
+    list_transform(range(5), lambda j: instr('0123456789abcdef', substr(hex, (5 * i + j + 1)::BIGINT, 1)) - 1),
+    lambda a, b: 16 * a + b)) AS parts FROM h
+)
+SELECT page_id, octet_length(encode(body)) AS payload_bytes,
+  array_to_string(list_transform(parts, lambda x: array_to_string(list_transform([32768, 1024, 32, 1],
+    lambda d: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x // d) % 32 + 1)::BIGINT, 1)), '')), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM n
+""")
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, scratch = shared_path(spark, "archives"), Scratch(spark, "warc")
+    warc.write_archives(_table(spark, sf_dir, "pages"), path, scratch)
+    scratch.drop()
+    return warc.read_archives(spark, path).drop("payload", "url")
