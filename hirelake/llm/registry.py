@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.llm import langid, neardup, substring, warc
+from hirelake.llm import chat, langid, neardup, substring, warc
 from hirelake.session import Scratch, shared_path, stored
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,39 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.write_archives(_table(spark, sf_dir, "pages"), path, scratch)
     scratch.drop()
     return warc.read_archives(spark, path).drop("payload", "url")
+
+
+PROBE = "</s>[INST] ok [/INST]"
+
+
+@_query(r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), marked AS (
+  SELECT *, length(regexp_replace(role, '([<\[])(\\*)(/?(?:s>|INST\]))', '\1\\\2\3', 'g'))
+    + length(regexp_replace(text, '([<\[])(\\*)(/?(?:s>|INST\]))', '\1\\\2\3', 'g')) + 21 AS shown FROM rows
+), grouped AS (
+  SELECT conv_id, count(*) AS n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
+    sum(shown)::BIGINT AS formatted_chars
+  FROM marked GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+  formatted_chars
+FROM grouped
+""")
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).selectExpr("-1L", "id", "if(id = 0, 'user', 'assistant')", f"'{PROBE}'")
+    shown = chat.format_chats(rows.union(probe)).select(
+        "conv_id", "formatted", chat.parse(F.col("formatted")).alias("turns"),
+        F.array_join(F.transform(chat.masked(F.col("formatted")), chat.unescape), "").alias("loss"))
+    line = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return shown.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(line, ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"))
