@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hirelake.session import stored
+from hirelake.session import Scratch, stored
 
 
 def value_counts(df: DataFrame, c: Column, limit: int | None = None) -> DataFrame:
@@ -55,7 +55,7 @@ def top_per_group(df: DataFrame, groups: list[str], order: list[Column], limit:
     return numbered.filter(F.col(rank) <= limit)
 
 
-def number_rows(df: DataFrame, order: list[str], name: str) -> DataFrame:
+def number_rows(df: DataFrame, order: list[str], name: str, scratch: Scratch | None = None) -> DataFrame:
     """Global numbers 1..n in the given order, without pulling the rows into one task.
 
     Rows are range-partitioned and sorted, and each partition's numbers start after the sizes of those before it. The
@@ -69,7 +69,7 @@ def number_rows(df: DataFrame, order: list[str], name: str) -> DataFrame:
         .withColumn("__part", F.shiftright("__row", 33))
         .withColumn("__slot", F.col("__row").bitwiseAND(slot))
     )
-    placed = stored(ranged.drop("__row"), "numbered")
+    placed = (scratch.table if scratch else stored)(ranged.drop("__row"), "numbered")
     sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     starts = sizes.select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
