@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.llm import chat, langid, neardup, substring, warc
+from hirelake.llm import chat, langid, neardup, simhash, substring, warc
 from hirelake.session import Scratch, shared_path, stored
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,35 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(line, ""), 256).alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+@_query()
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``n_within``: for every id divisible by 100, how many other documents differ in at most 3 bits; else null."""
+    scratch = Scratch(spark, "simhash")
+    edits = simhash.edited(_table(spark, sf_dir, "documents"), scratch)
+    version = F.explode(F.array(F.struct(F.lit(False).alias("changed"), F.col("text").alias("t"), F.lit("").alias("sha")),
+                                F.struct(F.lit(True).alias("changed"), F.col("edited").alias("t"),
+                                         F.sha2("edited", 256).alias("sha")))).alias("v")
+    both = edits.select("key", "next_key", "id", "copies", "n_chars", version).select(
+        "key", "next_key", "id", "copies", "n_chars", "v.changed", "v.sha", "v.t")
+    marks = scratch.table(simhash.fingerprints(
+        both, ["key", "next_key", "id", "copies", "n_chars", "changed", "sha"], "t"), "marks")
+    own = marks.filter(~F.col("changed"))
+    after = marks.filter("changed").select("key", F.col("fp").alias("edited_fp"), F.col("sha").alias("edited_sha256"))
+    following = own.select(F.col("key").alias("next_key"), F.col("fp").alias("next_fp"))
+    rows = own.join(after, "key").join(following, "next_key")
+    is_query = F.coalesce(F.col("id") % 100 == 0, F.lit(False))
+    sizes = scratch.table(own.groupBy("fp").agg(F.sum("copies").alias("n")), "sizes")
+    near = simhash.within_radius(own.filter(is_query).select("fp"), sizes).groupBy("query").agg(F.sum("n").alias("n"))
+    near = scratch.table(near.select(F.col("query").alias("fp"), (F.col("n") - 1).alias("n_within")), "near")
+    rows = rows.filter(~is_query).withColumn("n_within", F.lit(None).cast("long")).unionByName(
+        rows.filter(is_query).join(near, "fp"))
+    hexed = {n: F.lower(F.lpad(F.hex(c), 16, "0")) for n, c in {"fingerprint": "fp", "edited_fingerprint": "edited_fp"}.items()}
+    result = stored(rows.withColumns(hexed).select(
+        F.col("id").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        simhash.likeness("fp", "edited_fp").alias("near_edited"), simhash.likeness("fp", "next_fp").alias("near_next"),
+        "n_within", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy"),
+        "simhash-result")
+    scratch.drop()
+    return result
