@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.llm import chat, langid, neardup, simhash, substring, warc
+from hirelake.llm import chat, langid, licenses, neardup, simhash, substring, warc
 from hirelake.session import Scratch, shared_path, stored
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,3 +164,16 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "simhash-result")
     scratch.drop()
     return result
+
+
+@_query()
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.find_licenses(_table(spark, sf_dir, "documents"))
+    starts, base, own = F.col("base.start"), F.col("base.label"), F.col("detections.label")
+    best = F.coalesce(F.array_max("detections.confidence"), F.lit(0.0))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", F.size("base").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        F.array_join(F.sort_array(F.array_distinct(base)), ",").alias("base_labels"),
+        F.array_join(F.sort_array(F.array_union(base, own)), ",").alias("labels"),
+        F.greatest(best, F.when(F.size("base") > 0, licenses.BASE_CONFIDENCE).otherwise(0.0)).alias("score"))
