@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.llm import chat, langid, licenses, neardup, simhash, substring, warc
+from hirelake.llm import chat, decontaminate, langid, licenses, neardup, simhash, substring, warc
 from hirelake.session import Scratch, shared_path, stored
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,3 +177,40 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.sort_array(F.array_distinct(base)), ",").alias("base_labels"),
         F.array_join(F.sort_array(F.array_union(base, own)), ",").alias("labels"),
         F.greatest(best, F.when(F.size("base") > 0, licenses.BASE_CONFIDENCE).otherwise(0.0)).alias("score"))
+
+
+@_query(r"""
+WITH items AS (
+  SELECT item_id::VARCHAR AS name, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), keys AS (
+  SELECT DISTINCT name, n, array_to_string(w[p:p + n - 1], ' ') AS k
+  FROM (SELECT name, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS p
+        FROM items WHERE len(w) > 0)
+), docs AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), places AS (
+  SELECT doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') AS k
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM docs, (SELECT DISTINCT n FROM keys))
+), hits AS (
+  SELECT doc_id, p, n, name FROM places JOIN keys USING (n, k)
+), covered AS (
+  SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hits) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS list
+  FROM (SELECT DISTINCT doc_id, name FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+""")
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "decontaminate")
+    found = decontaminate.find_passages(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), scratch)
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", decontaminate.covered().alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        decontaminate.contaminated().alias("contaminated"))
