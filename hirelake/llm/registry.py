@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.llm import chat, decontaminate, langid, licenses, neardup, simhash, substring, warc
+from hirelake.llm import chat, decontaminate, langid, licenses, neardup, packing, simhash, substring, warc
 from hirelake.session import Scratch, shared_path, stored
 
+VOCABULARY = "byte_bpe_50k.json"
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLE: dict[str, str] = {}
 
@@ -18,6 +20,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str = VOCABULARY) -> str:
+    """Place of a public tokenizer's file, installed alike on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _query(sql: str | None = None):
     def register(function):
         LLM_QUERIES[function.__name__] = function
@@ -214,3 +223,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_words", decontaminate.covered().alias("n_hit"),
         F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         decontaminate.contaminated().alias("contaminated"))
+
+
+@_query()
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "packing")
+    pieces = packing.pack(_table(spark, sf_dir, "documents"), scratch, vocabulary())
+    result = stored(pieces.withColumnRenamed("id", "doc_id").drop("ids"), "packing-result")
+    scratch.drop()
+    return result
