@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hirelake.llm.columns import free
 from hirelake.llm.words import LETTER_WORDS, letter_words
 from hirelake.session import Scratch
 
@@ -290,11 +291,12 @@ def clean(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, text_col: str
         items = [(r["name"], bytes(r["words"]).split()) for r in pieces.collect()]  # a bounded shard
         shared = docs.sparkSession.sparkContext.broadcast(items)
         return docs.mapInArrow(_clean(shared, uuid.uuid4().hex, width, parts, longest, docs.columns.index(text_col)), docs.schema)
-    numbered = scratch.table(docs.withColumn("__number", F.monotonically_increasing_id()), "numbered")
-    found = find_passages(numbered, benchmark, scratch, "__number", text_col, item_col, item_text_col, width, shard_words)
-    kept = numbered.join(found.filter(~contaminated(coverage)).withColumnRenamed("id", "__number").select(
-        "__number", F.col("spans").alias("__spans")), "__number")
+    number, spans = free(docs.columns, "number", "spans")
+    numbered = scratch.table(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    found = find_passages(numbered, benchmark, scratch, number, text_col, item_col, item_text_col, width, shard_words)
+    clean_rows = found.filter(~contaminated(coverage)).select(F.col("id").alias(number), F.col("spans").alias(spans))
+    kept = numbered.join(clean_rows, number)
     if longest is not None:
-        cut = F.udf(lambda t, spans: without(t, [(s["start"], s["end"]) for s in spans]) if spans else t, "string")
-        kept = kept.withColumn(text_col, cut(text_col, F.filter("__spans", lambda s: s["end"] - s["start"] > longest)))
+        cut = F.udf(lambda t, found: without(t, [(s["start"], s["end"]) for s in found]) if found else t, "string")
+        kept = kept.withColumn(text_col, cut(text_col, F.filter(spans, lambda s: s["end"] - s["start"] > longest)))
     return kept.select(*docs.columns)

@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 UNKNOWN = "und"
@@ -212,27 +213,31 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lan
     return Model(languages, idf, weights, made[0]["temperature"])
 
 
-def _predictions(broadcast):
+def _predictions(broadcast, at: int, names: tuple[str, str], dropped: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = broadcast.value
         for batch in batches:
-            told = [model.predict(t.as_py()) for t in batch.column(batch.num_columns - 1)]
+            told = [model.predict(t.as_py()) for t in batch.column(at)]
+            own = batch.columns[:-1] if dropped else batch.columns
+            labels = batch.schema.names[:-1] if dropped else batch.schema.names
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array([x for x, _ in told], pa.string()),
-                 pa.array([x for _, x in told], pa.float64())],
-                names=[*batch.schema.names[:-1], "lang_pred", "score"])
+                [*own, pa.array([x for x, _ in told], pa.string()), pa.array([x for _, x in told], pa.float64())],
+                names=[*labels, *names])
 
     return run
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns ``keep``, then ``lang_pred`` and ``score`` (0 to 1), from the whole text alone.
+def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text",
+            names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``keep``, then ``lang_pred`` and ``score`` (0 to 1; or other ``names``), from the whole text alone.
 
     A null text, or one without a letter, or any text under a model without languages, is ``und`` with score 0. An empty
     table gives no rows. The model's size is bounded (features by languages), so it is broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    chosen = docs.select(*keep, F.col(text_col).alias("__text"))
-    kinds = [f for f in chosen.schema.fields[:-1]]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kinds] + ["lang_pred string", "score double"])
-    return chosen.mapInArrow(_predictions(shared), schema)
+    dropped = text_col not in keep
+    chosen = docs.select(*keep, *([text_col] if dropped else []))
+    schema = StructType([docs.schema[c] for c in keep] + [StructField(names[0], StringType()),
+                                                         StructField(names[1], DoubleType())])
+    at = len(keep) if dropped else keep.index(text_col)
+    return chosen.mapInArrow(_predictions(shared, at, names, dropped), schema)

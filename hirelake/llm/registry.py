@@ -59,9 +59,9 @@ FROM d LEFT JOIN kept USING (doc_id)
 """)
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "substring")
-    kept = substring.keep_first_passages(_table(spark, sf_dir, "documents"), scratch)
-    result = stored(kept.select(F.col("id").alias("doc_id"), "n_words", "n_removed",
-                                F.sha2("kept", 256).alias("kept_sha256")), "substring-result")
+    kept = substring.keep_first_passages(_table(spark, sf_dir, "documents"), scratch, ["doc_id"])
+    result = stored(kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")),
+                    "substring-result")
     scratch.drop()
     return result
 

@@ -28,7 +28,9 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from hirelake.llm.columns import free
 from hirelake.llm.words import mix, window_hashes, word_hashes
 from hirelake.session import Scratch
 
@@ -41,8 +43,7 @@ RANGE_WINDOWS = 2_000_000
 # Stands for a null id: such a document comes after all others.
 NO_ID = np.iinfo(np.int64).max
 
-CHUNK_SCHEMA = "chunk long, docs int, windows long, ids binary, nulls binary, sizes binary, body binary"
-RESULT_SCHEMA = "id long, n_words long, n_removed long, kept string"
+CHUNK_SCHEMA = "chunk long, docs int, windows long, ids binary, sizes binary, body binary, rest binary"
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -65,35 +66,47 @@ def _sums(data: bytes) -> np.ndarray:
     return np.cumsum(_unpacked(data, np.uint64), dtype=np.uint64)
 
 
-def _chunk_row(number: int, ids: list, texts: list[bytes], width: int) -> dict:
+def _to_bytes(batches: list[pa.RecordBatch]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        for batch in batches:
+            writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _chunk_row(number: int, ids: list, texts: list[bytes], rest: list[pa.RecordBatch], width: int) -> dict:
     lengths = [len(t.split()) for t in texts]
-    nulls = np.array([i is None for i in ids], dtype=bool)
     return {
         "chunk": number, "docs": len(ids), "windows": sum(max(0, n - width + 1) for n in lengths),
         "ids": np.array([NO_ID if i is None else i for i in ids], dtype=np.int64).tobytes(),
-        "nulls": np.packbits(nulls).tobytes(),
         "sizes": np.array([len(t) for t in texts], dtype=np.int64).tobytes(),
         "body": zstandard.ZstdCompressor(level=3).compress(b"".join(texts)),
+        "rest": _to_bytes(rest),
     }
 
 
 def _make_chunks(width: int, chunk_bytes: int):
     schema = pa.schema([("chunk", pa.int64()), ("docs", pa.int32()), ("windows", pa.int64()), ("ids", pa.binary()),
-                        ("nulls", pa.binary()), ("sizes", pa.binary()), ("body", pa.binary())])
+                        ("sizes", pa.binary()), ("body", pa.binary()), ("rest", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, size, ids, texts = TaskContext.get().partitionId() << 32, 0, [], []
+        number, size, ids, texts, rest = TaskContext.get().partitionId() << 32, 0, [], [], []
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            others = batch.select(range(2, batch.num_columns))
+            cut = 0
+            for at, (i, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True), 1):
                 text = text.as_py() or b""
                 ids.append(i)
                 texts.append(text)
                 size += len(text) + 16
                 if size >= chunk_bytes:
-                    yield pa.RecordBatch.from_pylist([_chunk_row(number, ids, texts, width)], schema)
-                    number, size, ids, texts = number + 1, 0, [], []
+                    rest.append(others.slice(cut, at - cut))
+                    yield pa.RecordBatch.from_pylist([_chunk_row(number, ids, texts, rest, width)], schema)
+                    number, size, ids, texts, rest, cut = number + 1, 0, [], [], [], at
+            if cut < batch.num_rows:
+                rest.append(others.slice(cut))
         if ids:
-            yield pa.RecordBatch.from_pylist([_chunk_row(number, ids, texts, width)], schema)
+            yield pa.RecordBatch.from_pylist([_chunk_row(number, ids, texts, rest, width)], schema)
 
     return run
 
@@ -104,9 +117,9 @@ class _Windows:
     def __init__(self, row, width: int):
         body = zstandard.ZstdDecompressor().decompress(row.body)
         self.ids = np.frombuffer(row.ids, dtype=np.int64)
-        self.nulls = np.unpackbits(np.frombuffer(row.nulls, dtype=np.uint8), count=row.docs).astype(bool)
         ends = np.cumsum(np.frombuffer(row.sizes, dtype=np.int64)).tolist()
-        self.words = [body[a:b].split() for a, b in zip([0, *ends], ends, strict=False)]
+        self.texts = [body[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        self.words = [t.split() for t in self.texts]
         self.counts = np.array([len(w) for w in self.words], dtype=np.int64)
         self.width = width
         hashes = word_hashes(list(itertools.chain.from_iterable(self.words)))
@@ -247,20 +260,28 @@ def _removed(windows: _Windows, answers: pd.DataFrame, bits: int, range_bits: in
     return np.cumsum(change[:-1]) > 0
 
 
-def _keep(width: int, bits: int, range_bits: int, entry_bits: int):
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for row in left.itertuples():
+def _keep(width: int, bits: int, range_bits: int, entry_bits: int, names: tuple[str, str, str], as_is: bool):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        answers, made = right.to_pandas(), []
+        for row in left.to_pandas().itertuples():
             windows = _Windows(row, width)
-            gone = _removed(windows, right, bits, range_bits, entry_bits)
-            at = 0
-            for i, null, words in zip(windows.ids, windows.nulls, windows.words, strict=True):
+            gone = _removed(windows, answers, bits, range_bits, entry_bits)
+            at, counts, texts = 0, [], []
+            for text, words in zip(windows.texts, windows.words, strict=True):
                 own = gone[at:at + len(words)]
                 at += len(words)
-                count = int(own.sum())
-                kept = itertools.compress(words, (~own).tolist()) if count else words
-                out.append((None if null else i, len(words), count, b" ".join(kept).decode("utf-8", "replace")))
-        return pd.DataFrame(out, columns=["id", "n_words", "n_removed", "kept"]).astype({"id": "Int64"})
+                counts.append(int(own.sum()))
+                if as_is and not counts[-1]:
+                    texts.append(text)
+                else:
+                    texts.append(b" ".join(itertools.compress(words, (~own).tolist())))
+            with pa.ipc.open_stream(row.rest) as reader:
+                rest = reader.read_all()
+            for name, column in zip(names, (pa.array(windows.counts), pa.array(counts, pa.int64()),
+                                            pa.array(texts, pa.binary()).cast(pa.string())), strict=True):
+                rest = rest.append_column(name, column)
+            made.append(rest)
+        return pa.concat_tables(made) if made else None
 
     return run
 
@@ -269,17 +290,20 @@ def _bits_for(count: int) -> int:
     return max(0, int(count - 1).bit_length())
 
 
-def keep_first_passages(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text",
-                        width: int = WIDTH, chunk_bytes: int = CHUNK_BYTES,
-                        range_windows: int = RANGE_WINDOWS) -> DataFrame:
-    """``id, n_words, n_removed, kept``: one row per input row, read lazily from ``scratch``.
+def keep_first_passages(docs: DataFrame, scratch: Scratch, keep: list[str], id_col: str = "doc_id",
+                        text_col: str = "text", width: int = WIDTH, chunk_bytes: int = CHUNK_BYTES,
+                        range_windows: int = RANGE_WINDOWS, names: tuple[str, str, str] = ("n_words", "n_removed", "kept"),
+                        as_is: bool = False) -> DataFrame:
+    """The columns ``keep``, then ``n_words, n_removed, kept`` (or other ``names``): one row per input row, read lazily from
+    ``scratch``.
 
-    ``kept`` holds the kept words joined by one space. Words are runs of bytes other than space and ``\\t\\n\\v\\f\\r``.
-    A null text has no words; a text of fewer than ``width`` words has no window and stays. Rows with equal ids do not
-    remove words from each other. A null id counts as larger than all others. An empty table gives no rows; other
-    columns are not read. Windows are compared by two 64-bit hashes.
+    ``kept`` holds the kept words joined by one space; with ``as_is``, texts that lose nothing stay as they are. Words are
+    runs of bytes other than space and ``\\t\\n\\v\\f\\r``. A null text has no words; a text of fewer than ``width`` words
+    has no window and stays. Rows with equal ids do not remove words from each other. A null id counts as larger than all
+    others. An empty table gives no rows; other columns are not read. Windows are compared by two 64-bit hashes.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    own_id, own_text = free(docs.columns, "id", "text")
+    rows = docs.select(F.col(id_col).cast("long").alias(own_id), F.col(text_col).cast("binary").alias(own_text), *keep)
     chunks = rows.mapInArrow(_make_chunks(width, chunk_bytes), CHUNK_SCHEMA)
     size = docs.agg(F.sum(F.octet_length(text_col) + 16).alias("n")).first()["n"] or 0
     buckets = max(1, -(-size // chunk_bytes))
@@ -288,18 +312,21 @@ def keep_first_passages(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id
     bits = max(16, _bits_for(windows * CELLS_PER_WINDOW))
     range_bits = min(bits - 10, _bits_for(-(-windows // range_windows)))
     entry_bits = range_bits
-    sketches = stored.mapInArrow(_sketch(width, bits, range_bits), "part long, chunk long, cells binary, twice binary")
+    texts = stored.drop("rest")
+    sketches = texts.mapInArrow(_sketch(width, bits, range_bits), "part long, chunk long, cells binary, twice binary")
     answer = "kind int, part long, chunk long, answer binary"
     repeated = scratch.table(
         sketches.groupBy("part").applyInPandas(_merge_sketches(bits, range_bits), answer), "repeated")
     entries = (
-        stored.groupBy("chunk").cogroup(repeated.groupBy("chunk"))
+        texts.groupBy("chunk").cogroup(repeated.groupBy("chunk"))
         .applyInPandas(_entries(width, bits, range_bits, entry_bits),
                        "part long, chunk long, firsts binary, seconds binary, least binary")
     )
     smaller = scratch.table(entries.groupBy("part").applyInPandas(_merge_entries, answer), "smaller")
     answers = repeated.unionByName(smaller)
+    kinds = zip(names, (LongType(), LongType(), StringType()), strict=True)
+    result = StructType([docs.schema[c] for c in keep] + [StructField(n, k) for n, k in kinds])
     return (
         stored.groupBy("chunk").cogroup(answers.groupBy("chunk"))
-        .applyInPandas(_keep(width, bits, range_bits, entry_bits), RESULT_SCHEMA)
+        .applyInArrow(_keep(width, bits, range_bits, entry_bits, names, as_is), result)
     )

@@ -62,6 +62,9 @@ def test_nulls_blanks_and_other_columns(spark, model):
     frame = spark.createDataFrame(rows, "doc_id long, text string, score string")
     found = langid.predict(frame.select("doc_id", "text"), model, ["doc_id"]).collect()
     assert [tuple(r) for r in found[:3]] == [(1, "und", 0.0), (2, "und", 0.0), (None, "und", 0.0)]
+    kept = langid.predict(frame, model, frame.columns, names=("__lang", "__score"))
+    assert kept.columns == ["doc_id", "text", "score", "__lang", "__score"]
+    assert [tuple(r) for r in kept.collect()] == [(*a, r["lang_pred"], r["score"]) for a, r in zip(rows, found, strict=True)]
     assert found[3]["lang_pred"] == "de" and 0.9 < found[3]["score"] <= 1
 
 

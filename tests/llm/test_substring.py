@@ -27,7 +27,7 @@ def brute(docs, width):
 def run(spark, docs, schema="doc_id long, text string", **options):
     frame = spark.createDataFrame(docs, schema)
     scratch = Scratch(spark, "t")
-    found = [tuple(r) for r in substring.keep_first_passages(frame, scratch, **options).collect()]
+    found = [tuple(r) for r in substring.keep_first_passages(frame, scratch, ["doc_id"], **options).collect()]
     scratch.drop()
     return sorted(found, key=lambda r: (r[0] is None, r))
 
@@ -58,5 +58,16 @@ def test_null_ids_ties_and_other_columns(spark):
     assert found == [(7, 5, 0, passage), (7, 5, 0, passage), (9, 6, 5, "z"), (None, 5, 5, "")]
 
 
+def test_columns_kept_and_texts_as_they_are(spark):
+    docs = [(1, "a  b\nc d", "x", None), (2, "z a  b c d", None, 5.5), (3, "q\t q", "y", 1.0), (4, None, "y", 1.0)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, kept string, n_words double")
+    scratch = Scratch(spark, "t")
+    found = substring.keep_first_passages(frame, scratch, ["kept", "n_words", "doc_id"], width=3, chunk_bytes=20,
+                                          names=("__n", "__r", "__t"), as_is=True)
+    assert sorted(map(tuple, found.collect()), key=lambda r: r[2]) == [
+        ("x", None, 1, 4, 0, "a  b\nc d"), (None, 5.5, 2, 5, 4, "z"), ("y", 1.0, 3, 2, 0, "q\t q"), ("y", 1.0, 4, 0, 0, "")]
+    scratch.drop()
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
