@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.llm import chat, decontaminate, langid, licenses, neardup, packing, simhash, substring, warc
+from hirelake.llm import chat, decontaminate, langid, licenses, neardup, packing, sharding, simhash, substring, warc
 from hirelake.session import Scratch, shared_path, stored
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -232,3 +232,14 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = stored(pieces.withColumnRenamed("id", "doc_id").drop("ids"), "packing-result")
     scratch.drop()
     return result
+
+
+@_query()
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "sharding")
+    placed = sharding.shard(_table(spark, sf_dir, "documents"), scratch)
+    result = stored(placed.select(
+        F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard")), "sharding-result")
+    scratch.drop()
+    return result
