@@ -111,11 +111,13 @@ BATCHES = ("b AS (SELECT *, concat('archive/boss_jobs_', concat_ws('_', batch_no
 oracle("archive_read", " UNION ALL ".join(
     f"""SELECT path AS batch_path, {i} AS idx, CASE WHEN {BATCH_KIND} = 5 THEN NULL ELSE keyword END AS keyword,
     CASE WHEN {BATCH_KIND} = 5 THEN NULL ELSE batch_city END AS batch_city, {job_id} AS job_id, {title} AS title, salary, location
-    FROM b WHERE {BATCH_KIND} NOT IN (1, 2, 3, 4)"""
+    FROM b WHERE {BATCH_KIND} NOT IN (1, 2, 3, 4, 8, 9)"""
     for i, (job_id, title) in enumerate([("job_id", "title"), ("concat(job_id, 'x')", "'二'")])), "raw", BATCHES)
-oracle("archive_validate", f"""SELECT path, CASE {BATCH_KIND} WHEN 1 THEN 'unreadable' WHEN 2 THEN 'jobs is not a list'
+oracle("archive_validate", f"""SELECT path, CASE {BATCH_KIND} WHEN 1 THEN 'unreadable' WHEN 8 THEN 'unreadable' WHEN 9 THEN 'unreadable' WHEN 2 THEN 'jobs is not a list'
     WHEN 3 THEN 'jobs has an entry that is not an object' ELSE 'top level is neither object nor list' END AS reason
-    FROM b WHERE {BATCH_KIND} IN (1, 2, 3, 4)""", "raw", BATCHES)
+    FROM b WHERE {BATCH_KIND} IN (1, 2, 3, 4, 8, 9)""", "raw", BATCHES)
+oracle("archive_files", """SELECT keyword, batch_city, row_number() OVER (PARTITION BY batch_path, keyword, batch_city
+    ORDER BY pos) - 1 AS idx, job_id, title, salary, location FROM raw""", "raw")
 LATEST = ("latest AS (SELECT * FROM details QUALIFY row_number() OVER (PARTITION BY detail_path, job_id "
           "ORDER BY pos DESC) = 1)")
 oracle("details_latest", "SELECT detail_path, job_id, company, md5(jd) AS jd_md5 FROM latest", "details", LATEST)

@@ -57,7 +57,8 @@ def served(spark: SparkSession, sf: str) -> DataFrame:
 # --- sources and sinks --------------------------------------------------------------------------------------------
 
 def batch_texts(spark: SparkSession, sf: str) -> DataFrame:
-    """``path, content`` of JSON batches: two postings per row of the table; some batches are broken or bare lists."""
+    """``path, content`` of JSON batches: two postings per row of the table. Some batches are broken, bare lists, repeat a
+    key, hold a value that is no JSON number, or go on behind their end."""
     rows = raw(spark, sf, "job_id", "title", "salary", "location", "keyword", "batch_city")
     order = F.col("pos.l_orderkey")
     second = F.struct(F.concat("job_id", F.lit("x")).alias("job_id"), F.lit("二").alias("title"), "salary", "location")
@@ -66,7 +67,11 @@ def batch_texts(spark: SparkSession, sf: str) -> DataFrame:
     content = (
         F.when(order % 50 == 1, "{ broken").when(order % 50 == 2, '{"jobs": "none"}')
         .when(order % 50 == 3, '{"jobs": [null]}').when(order % 50 == 4, "3")
-        .when(order % 50 == 5, F.to_json(jobs)).otherwise(whole)
+        .when(order % 50 == 5, F.to_json(jobs))
+        .when(order % 50 == 6, F.concat(F.lit('{"keyword":"old",'), F.substring(whole, 2, 1 << 30)))
+        .when(order % 50 == 7, F.concat(F.lit('{"a":NaN,"b":[-Infinity,"NaN"],'), F.substring(whole, 2, 1 << 30)))
+        .when(order % 50 == 8, F.concat(whole, F.lit(" trailing"))).when(order % 50 == 9, F.concat(whole, F.lit("}")))
+        .otherwise(whole)
     )
     path = F.concat(F.lit("archive/boss_jobs_"), F.concat_ws("_", "pos.*"), F.lit(".json"))
     return rows.select(path.alias("path"), content.alias("content"))
@@ -84,6 +89,21 @@ def archive_validate(spark, sf):
     return A.problems(batch_texts(spark, sf))
 
 
+@query("archive_files")
+def archive_files(spark, sf):
+    """Real files: one per batch, written and read back by the file reader."""
+    rows = raw(spark, sf, "batch_path", "job_id", "title", "salary", "location", "keyword", "batch_city")
+    jobs = F.sort_array(F.collect_list(F.struct("pos", "job_id", "title", "salary", "location")))
+    batches = rows.groupBy("batch_path", "keyword", "batch_city").agg(jobs.alias("jobs"))
+    listed = F.transform("jobs", lambda j: F.struct(*[j[c].alias(c) for c in ("job_id", "title", "salary", "location")]))
+    path = shared_path(spark, "archive_files")
+    texts = batches.select(F.to_json(F.struct("keyword", F.col("batch_city").alias("city"), listed.alias("jobs"))))
+    texts.write.option("maxRecordsPerFile", 1).text(path)
+    found = A.postings(A.read_files(spark, path, "*.txt"))
+    return found.select("keyword", "batch_city", F.col("pos.idx").cast("bigint").alias("idx"), "job_id", "title", "salary",
+                        "location")
+
+
 @query("details_latest")
 def details_latest(spark, sf):
     rows = A.latest_details(I.raw_details(spark, sf), ["detail_path", "job_id"])

@@ -66,8 +66,7 @@ class Scratch:
     def drop(self) -> None:
         for table in self.names:
             self.spark.sql(f"DROP TABLE IF EXISTS {table}")
-        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        drop_path(self.spark, self.path)
 
 
 def tuned(spark: SparkSession) -> SparkSession:
@@ -78,3 +77,9 @@ def tuned(spark: SparkSession) -> SparkSession:
     """
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder, wherever it lies."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,16 +20,24 @@ class NoUsableRows(Exception):
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None, multi_line: bool = True) -> DataFrame:
     """Posting CSV with every column as text and ``pos`` as the row's place.
 
-    UTF-8 with or without byte-order mark; a path with any text that is not valid UTF-8 is read as GB18030, which needs
-    ``spark.sql.legacy.javaCharsets=true`` in the session. One call reads one encoding. ``multi_line=False`` lets Spark split large files; use it when
-    no cell holds a line break.
+    Each file is UTF-8, with or without byte-order mark, or GB18030 if it is not valid UTF-8; the latter needs
+    ``spark.sql.legacy.javaCharsets=true`` in the session. Finding out reads the files once more; give ``encoding`` to save
+    that. ``multi_line=False`` lets Spark split large files; use it when no cell holds a line break.
     """
-    encoding = encoding or _encoding_of(spark, path)
+    groups = [([path], encoding)] if encoding else _encodings(spark, path)
+    rows = None
+    for paths, name in groups:
+        part = _read_csv(spark, paths, name, multi_line)
+        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+    return rows
+
+
+def _read_csv(spark: SparkSession, paths: list[str], encoding: str, multi_line: bool) -> DataFrame:
     reader = (
         spark.read.option("header", True).option("encoding", encoding).option("multiLine", multi_line)
         .option("escape", '"')
     )
-    rows = reader.csv(path)
+    rows = reader.csv(paths)
     cells = [
         F.when(~F.col(f"`{c}`").isin(V.MISSING_CELLS), F.col(f"`{c}`")).alias(c) for c in rows.columns
     ]
@@ -40,11 +49,16 @@ def read_csv(spark: SparkSession, path: str, encoding: str | None = None, multi_
     return rows.select(*cells, place.alias("pos"))
 
 
-def _encoding_of(spark: SparkSession, path: str) -> str:
-    """UTF-8 unless a file is not valid UTF-8. Lines are tested where they lie; one flag comes back."""
-    lines = spark.read.text(path)
-    valid = lines.filter(~F.is_valid_utf8("value")).isEmpty()
-    return "UTF-8" if valid else "GB18030"
+def _encodings(spark: SparkSession, path: str) -> list[tuple[list[str], str]]:
+    """Paths by encoding. Lines are tested where they lie; a flag per file comes back."""
+    tested = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("path")).agg(
+        F.bool_and(F.is_valid_utf8("value")).alias("valid"))
+    files = [(unquote(row["path"]), row["valid"]) for row in tested.collect()]  # file paths are URIs
+    other = sorted(name for name, valid in files if not valid)
+    if not other:
+        return [([path], "UTF-8")]
+    plain = sorted(name for name, valid in files if valid)
+    return [*([(plain, "UTF-8")] if plain else []), (other, "GB18030")]
 
 
 def write_csv(rows: DataFrame, path: str, columns: list[str], order: str | None = None) -> None:

@@ -81,6 +81,13 @@ def test_gb18030_and_header_spellings(spark, csv_file):
     assert (row["category"], row["education"], row["skills"]) == ("未知", "未知", "")
 
 
+def test_encoding_is_chosen_per_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("job_name,salary_low,city\n护士,8千,杭州\n".encode())
+    (tmp_path / "b c%.csv").write_bytes("job_name,salary_low,city\n会计,9千,北京\n".encode("gb18030"))
+    rows = S.clean(T.read_csv(spark, str(tmp_path))).collect()
+    assert {(r["job_name"], r["city"]) for r in rows} == {("护士", "杭州"), ("会计", "北京")}
+
+
 def test_standard_csv_round_trip(spark, csv_file, tmp_path):
     rows = S.ingest_csv(spark, csv_file(ROWS))
     target = str(tmp_path / "out")
@@ -121,13 +128,35 @@ def test_strict_reading(spark, archive):
 @pytest.mark.parametrize("content", ["{ invalid json", {"jobs": "not-a-list"}, {"jobs": [None]}, "3", b'{"jobs":["\xff"]}', {}])
 def test_strict_reading_refuses(spark, archive, content):
     path = archive(a__boss_jobs_good=FIRST, b__boss_jobs_bad=content)
-    with pytest.raises(A.ArchiveLoadError, match="boss_jobs_bad"):
+    with pytest.raises(A.UnusableArchive, match="boss_jobs_bad"):
         A.strict_postings(A.read_files(spark, path))
     assert A.read_postings(spark, path).count() == 1  # the tolerant reader goes on
 
 
+@pytest.mark.parametrize(("content", "titles"), [
+    ('{"jobs": [{"title": "a", "title": "b"}]}', ["b"]),
+    ('{"n": NaN, "m": [-Infinity, Infinity], "jobs": [{"title": "is NaN, \\\\" NaN"}]}', ['is NaN, " NaN']),
+    ('  [{"title": "x"}]\\n', ["x"]),
+    ('{"jobs": [{"title": "a"}]} trailing', None),
+    ('{"jobs": [{"title": "a"}]}}', None),
+    ('{"jobs": [{"title": "a"}]}, {}', None),
+])
+def test_json_is_read_as_one_value(spark, content, titles):
+    files = spark.createDataFrame([("p", content.encode().decode("unicode_escape"))], "path string, content string")
+    assert [r["title"] for r in A.postings(files).collect()] == (titles or [])
+    assert [r["reason"] for r in A.problems(files).collect()] == ([] if titles else ["unreadable"])
+
+
+def test_every_bad_file_is_listed(spark, tmp_path):
+    for i in range(120):
+        (tmp_path / f"boss_jobs_{i}.json").write_text("{")
+    with pytest.raises(A.UnusableArchive, match="120 batch files") as caught:
+        A.strict_postings(A.read_files(spark, str(tmp_path)))
+    assert spark.read.parquet(caught.value.problems).count() == 120
+
+
 def test_strict_reading_needs_files(spark, archive):
-    with pytest.raises(A.ArchiveLoadError):
+    with pytest.raises(A.UnusableArchive):
         A.strict_postings(A.read_files(spark, archive(a__other=FIRST)))
 
 
