@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hirelake import fixed_values as V
-from hirelake.functions.text import skill_list, strip
+from hirelake.functions.text import skill_list
 
 CJK = r"\u4e00-\u9fff"
 WORDS = rf"[A-Za-z][A-Za-z0-9+#.-]*|[{CJK}]{{2,}}"
@@ -25,20 +25,6 @@ def tokens(text: Column) -> Column:
     return F.filter(words(text), lambda w: ~w.isin(V.STOP_WORDS))
 
 
-def segmented(text: Column) -> Column:
-    """Dictionary segmentation instead of the regex rule; needs the optional ``jieba`` package on the executors."""
-    import pandas as pd
-
-    @F.pandas_udf("array<string>")
-    def cut(values: pd.Series) -> pd.Series:
-        import jieba
-
-        return values.map(lambda value: jieba.lcut((value or "").strip()))
-
-    shape = rf"^[A-Za-z][A-Za-z0-9+#.\-]*$|^[{CJK}]{{2,}}$"
-    return F.filter(F.transform(cut(text), strip), lambda w: w.rlike(shape) & ~w.isin(V.STOP_WORDS))
-
-
 def keyword_rows(df: DataFrame, skills: str = "skills", text: str = "description",
                  segmenter=words) -> DataFrame:
     """One row ``name`` per skill and per description word. Stop words are words of the text, never skills."""

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hirelake import fixed_values as V
+from hirelake.operators.components import components
 from hirelake.operators.ranking import number_rows
-from hirelake.operators.skew import HOT_ROWS, hot_key_hashes, salted_left_join
-from hirelake.session import stored
+from hirelake.operators.skew import HOT_ROWS, hot_keys, salted_left_join
+from hirelake.session import Scratch, stored
 
-MAX_ROUNDS = 200
+# Rounds before what is left is cut into connected groups.
+FIRST_ROUNDS = 2
+# A group of at most so many rows is settled by one task.
+SETTLED_ROWS = 100_000
 
 
 def first_per_key(df: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
@@ -39,50 +44,91 @@ def one_detail_per_link(df: DataFrame, pos: str = "pos") -> DataFrame:
     return first_per_key(df.filter(F.coalesce(F.col("job_link"), F.lit("")) != ""), ["job_link"], pos)
 
 
+def _settle(group: pd.DataFrame) -> pd.DataFrame:
+    """The greedy rule itself, over one small group in order."""
+    ids, keys, kept = set(), set(), []
+    for n, i, k in group.sort_values("__n").itertuples(index=False):
+        if k in keys or i in ids:
+            continue
+        keys.add(k)
+        if not pd.isna(i):
+            ids.add(i)
+        kept.append(n)
+    return pd.DataFrame({"__n": kept}, dtype="int64")
+
+
+def _round(undecided: DataFrame, scratch: Scratch, hot_ids: DataFrame | None, hot: DataFrame | None) -> tuple:
+    """Rows kept in this round, and those still undecided."""
+    def attach(rows: DataFrame, of_id: DataFrame, of_key: DataFrame) -> DataFrame:
+        """Values per id and per key. Blank ids match nothing; being one null key, they are spread like a hot one."""
+        return salted_left_join(salted_left_join(rows, of_id, ["__i"], ["__n"], hot_ids), of_key, ["__k"], ["__n"], hot)
+
+    id_first = undecided.filter(F.col("__i").isNotNull()).groupBy("__i").agg(F.min("__n").alias("id_first"))
+    key_first = undecided.groupBy("__k").agg(F.min("__n").alias("key_first"))
+    keep = (F.col("__i").isNull() | (F.col("__n") == F.col("id_first"))) & (F.col("__n") == F.col("key_first"))
+    judged = scratch.table(attach(undecided, id_first, key_first).select("__n", "__i", "__k", keep.alias("keep")), "judged")
+    winners = judged.filter("keep")
+    taken_ids = winners.filter(F.col("__i").isNotNull()).select("__i", F.lit(True).alias("id_taken"))
+    taken_keys = winners.select("__k", F.lit(True).alias("key_taken"))
+    rest = attach(judged.filter(~F.col("keep")).drop("keep"), taken_ids, taken_keys)
+    rest = rest.filter(F.col("id_taken").isNull() & F.col("key_taken").isNull()).select("__n", "__i", "__k")
+    return winners.select("__n"), scratch.table(rest, "undecided")
+
+
+def _settle_small(undecided: DataFrame, scratch: Scratch, settled_rows: int) -> tuple:
+    """Rows kept of all connected groups of at most ``settled_rows`` rows, and the rows of larger groups."""
+    ends = undecided.filter(F.col("__i").isNotNull()).select((F.col("__i") * 2).alias("a"), (F.col("__k") * 2 + 1).alias("b"))
+    roots = components(ends, scratch).select(F.col("node").alias("__node"), F.col("root").alias("__root"))
+    node = F.col("__k") * 2 + 1
+    grouped = undecided.withColumn("__node", node).join(roots, "__node", "left").withColumn(
+        "__root", F.coalesce("__root", "__node")).drop("__node")
+    grouped = scratch.table(grouped, "grouped")
+    large = grouped.groupBy("__root").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > settled_rows).select("__root")
+    large = scratch.table(large, "large")
+    small = grouped.join(large, "__root", "left_anti").groupBy("__root").applyInPandas(
+        lambda g: _settle(g[["__n", "__i", "__k"]]), "__n long")
+    return scratch.table(small, "settled"), scratch.table(
+        grouped.join(large, "__root", "left_semi").select("__n", "__i", "__k"), "undecided")
+
+
 def dedupe_greedy(df: DataFrame, row_id: str = "job_id", keys: list[str] = V.BUSINESS_KEY, pos: str = "pos",
-                  hot_rows: int = HOT_ROWS) -> DataFrame:
-    """In order of ``pos``, keep a row unless its id or its business key is already kept.
+                  hot_rows: int = HOT_ROWS, first_rounds: int = FIRST_ROUNDS, settled_rows: int = SETTLED_ROWS) -> DataFrame:
+    """In order of ``pos`` (different for each row), keep a row unless its id or its business key is already kept.
 
     A dropped row blocks nothing, so two plain duplicate removals give another answer. Rows that share both id and key
     reduce to their first at once. What is left gets numbers in order, and ids and keys are replaced by the number of
-    their first row, so that the rounds work on three integers: an undecided row that is first both in its id and in its
-    key is kept; rows that share an id or key with a kept row are dropped. Blank ids block nothing. Each round is two
-    aggregates with map-side combine and two salted joins.
+    their first row, so that the work is on three integers. In a round, an undecided row that is first both in its id and
+    in its key is kept, and rows that share an id or key with a kept row are dropped; blank ids block nothing. After a few
+    rounds, the rest is cut into groups that are connected by ids and keys: small ones are settled in one step each, only
+    larger ones go on in rounds. Each round keeps at least the smallest number, so it ends.
     """
-    named = df.withColumn("__own", F.nullif(F.col(row_id), F.lit("")))
-    firsts = number_rows(first_per_key(named, ["__own", *keys], pos), [pos], "__n")
-    facts = firsts.select("__n", "__own", F.struct(*keys).alias("__key"))
-    by_id = facts.filter(F.col("__own").isNotNull()).groupBy("__own").agg(F.min("__n").alias("__i"))
-    by_key = facts.groupBy("__key").agg(F.min("__n").alias("__k"))
-    with_id = salted_left_join(facts, by_id, ["__own"], ["__n"], hot_key_hashes(facts, ["__own"], hot_rows))
-    with_key = salted_left_join(with_id, by_key, ["__key"], ["__n"], hot_key_hashes(facts, ["__key"], hot_rows))
-    undecided = stored(with_key.select("__n", "__i", "__k"), "undecided")
+    scratch = Scratch(df.sparkSession, "greedy")
+    named = df.select(F.col(pos).alias("__pos"), F.nullif(F.col(row_id), F.lit("")).alias("__own"), F.struct(*keys).alias("__key"))
+    first = named.groupBy("__own", "__key").agg(F.min("__pos").alias("__pos"))
+    firsts = scratch.table(number_rows(first, ["__pos"], "__n", scratch), "firsts")
+    by_id = firsts.filter(F.col("__own").isNotNull()).groupBy("__own").agg(F.min("__n").alias("__i"))
+    by_key = firsts.groupBy("__key").agg(F.min("__n").alias("__k"))
+    facts = firsts.drop("__pos")
+    with_id = salted_left_join(facts, by_id, ["__own"], ["__n"], hot_keys(facts, ["__own"], hot_rows))
+    with_key = salted_left_join(with_id, by_key, ["__key"], ["__n"], hot_keys(facts, ["__key"], hot_rows))
+    undecided = scratch.table(with_key.select("__n", "__i", "__k"), "undecided")
     # Groups only shrink from round to round, so the heavy ones are looked up once.
-    hot_ids = hot_key_hashes(undecided, ["__i"], hot_rows)
-    hot_keys = hot_key_hashes(undecided, ["__k"], hot_rows)
-
-    def attach(rows: DataFrame, of_id: DataFrame, of_key: DataFrame) -> DataFrame:
-        """Values per id and per key. Blank ids match nothing; being one null key, they are spread like a hot one."""
-        return salted_left_join(salted_left_join(rows, of_id, ["__i"], ["__n"], hot_ids), of_key, ["__k"], ["__n"], hot_keys)
-
-    kept = None
-    for _ in range(MAX_ROUNDS):
-        id_first = undecided.filter(F.col("__i").isNotNull()).groupBy("__i").agg(F.min("__n").alias("id_first"))
-        key_first = undecided.groupBy("__k").agg(F.min("__n").alias("key_first"))
-        keep = (F.col("__i").isNull() | (F.col("__n") == F.col("id_first"))) & (F.col("__n") == F.col("key_first"))
-        judged = stored(attach(undecided, id_first, key_first).select("__n", "__i", "__k", keep.alias("keep")), "judged")
-        winners = judged.filter("keep")
-        kept = winners.select("__n") if kept is None else kept.unionByName(winners.select("__n"))
-
-        taken_ids = winners.filter(F.col("__i").isNotNull()).select("__i", F.lit(True).alias("id_taken"))
-        taken_keys = winners.select("__k", F.lit(True).alias("key_taken"))
-        open_rows = attach(judged.filter(~F.col("keep")).drop("keep"), taken_ids, taken_keys)
-        undecided = stored(
-            open_rows.filter(F.col("id_taken").isNull() & F.col("key_taken").isNull()).select("__n", "__i", "__k"),
-            "undecided")
-        if undecided.isEmpty():
-            return firsts.join(kept, "__n", "left_semi").select(*df.columns)
-    raise RuntimeError(f"duplicate groups are chained deeper than {MAX_ROUNDS} rounds")
+    hot_ids, hot = hot_keys(undecided, ["__i"], hot_rows), hot_keys(undecided, ["__k"], hot_rows)
+    kept, rounds = [], 0
+    while not undecided.isEmpty():
+        if rounds == first_rounds:
+            settled, undecided = _settle_small(undecided, scratch, settled_rows)
+            kept.append(settled)
+        else:
+            winners, undecided = _round(undecided, scratch, hot_ids, hot)
+            kept.append(winners)
+        rounds += 1
+    every = firsts.select("__n").limit(0)
+    for part in kept:
+        every = every.unionByName(part)
+    places = stored(firsts.join(every, "__n", "left_semi").select(F.col("__pos").alias(pos)), "kept-places")
+    scratch.drop()
+    return df.join(places, pos, "left_semi").select(*df.columns)
 
 
 def upsert_keep(existing: DataFrame, incoming: DataFrame, key: str = "job_id", pos: str = "pos") -> DataFrame:

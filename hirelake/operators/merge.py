@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hirelake import fixed_values as V
 from hirelake.functions.text import text_of
-from hirelake.operators.skew import HOT_ROWS, hot_key_hashes, salted_left_join
+from hirelake.operators.skew import HOT_ROWS, hot_keys, salted_left_join
 
 
 def completeness() -> Column:
@@ -89,4 +89,4 @@ def join_details(listings: DataFrame, details: DataFrame, keys: list[str], hot_r
 
     ``details`` holds one row per key. Ids that own a large share of the listings are salted.
     """
-    return salted_left_join(listings, details, keys, ["pos"], hot_key_hashes(listings, keys, hot_rows))
+    return salted_left_join(listings, details, keys, ["pos"], hot_keys(listings, keys, hot_rows))

@@ -5,45 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key with more rows than this is spread over several tasks.
+# A key with more rows than this is spread over several tasks, one for each so many rows.
 HOT_ROWS = 1_000_000
-# At most this many keys are treated as hot; any other key has at most 1/MAX_HOT_KEYS of all rows.
-MAX_HOT_KEYS = 1000
-SALTS = 64
-# Size of a short row, for estimates.
-SMALL_ROW_BYTES = 64
-# A reference table of up to this many short rows is broadcast.
-SMALL_ROWS = 100_000
 
 
-def hot_key_hashes(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> list[int]:
-    """Hashes of the heaviest keys. The counts are combined on the map side, and the driver gets at most
-    ``MAX_HOT_KEYS`` numbers. A side that the planner estimates at less than one heavy key's rows is not counted."""
-    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < hot_rows * SMALL_ROW_BYTES:
-        return []
-    counts = df.groupBy(F.xxhash64(*keys).alias("h")).agg(F.count(F.lit(1)).alias("n"))
-    heavy = counts.filter(F.col("n") >= hot_rows).orderBy(F.desc("n")).limit(MAX_HOT_KEYS)
-    return [row["h"] for row in heavy.collect()]
+def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """``__h, __salts``: hashes of keys with at least ``hot_rows`` rows, and over how many tasks to deal them; None if there is
+    no such key.
 
-
-def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """The side marked for broadcast when it is counted to be small, else unmarked for a shuffled join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    The counts are combined on the map side. There are at most (rows / ``hot_rows``) hot keys, a few bytes each.
+    """
+    counts = df.groupBy(F.xxhash64(*keys).alias("__h")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= hot_rows)
+    found = [(r["__h"], -(-r["n"] // hot_rows)) for r in counts.collect()]
+    return df.sparkSession.createDataFrame(found, "__h long, __salts long") if found else None
 
 
 def salted_left_join(left: DataFrame, right: DataFrame, keys: list[str], spread_by: list[str],
-                     hot: list[int], salts: int = SALTS) -> DataFrame:
-    """Left join against a side that is unique per key; ``hot`` comes from :func:`hot_key_hashes`.
+                     hot: DataFrame | None) -> DataFrame:
+    """Left join against a side that is unique per key; ``hot`` comes from :func:`hot_keys`.
 
-    Rows of hot keys are dealt over ``salts`` tasks by the columns in ``spread_by``; only the few matching right rows
-    are copied. Without hot keys this is the plain join.
+    Rows of hot keys are dealt over tasks by the columns in ``spread_by``; only the few matching right rows are copied, once
+    per task of their key. The list of hot keys is small by its making, so it is broadcast. Without hot keys this is the
+    plain join.
     """
-    if not hot:
+    if hot is None:
         return left.join(right, keys, "left")
-    is_hot = F.xxhash64(*keys).isin(hot)
-    spread = F.pmod(F.xxhash64(*spread_by), F.lit(salts))
-    salted = left.withColumn("__salt", F.when(is_hot, spread).otherwise(0))
-    salt_list = F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")
-    copies = F.when(is_hot, salt_list).otherwise(F.array(F.lit(0).cast("bigint")))
-    copied = right.withColumn("__salt", F.explode(copies))
+    salts = F.coalesce("__salts", F.lit(1).cast("long"))
+
+    def marked(df: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(hot), F.xxhash64(*[df[k] for k in keys]) == hot["__h"], "left").drop("__h")
+
+    salted = marked(left).withColumn("__salt", F.pmod(F.xxhash64(*spread_by), salts)).drop("__salts")
+    copied = marked(right).withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("__salts")
     return salted.join(copied, [*keys, "__salt"], "left").drop("__salt")

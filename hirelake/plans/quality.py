@@ -10,7 +10,7 @@ from hirelake.functions.text import text_of
 from hirelake.functions.salary import has_salary
 from hirelake.operators.merge import best_snapshots, with_id
 from hirelake.operators.ranking import counts_by_dimension, top_per_group, value_counts
-from hirelake.operators.skew import HOT_ROWS, hot_key_hashes, salted_left_join
+from hirelake.operators.skew import HOT_ROWS, hot_keys, salted_left_join
 
 
 def percent(part: Column, whole: Column, digits: int = 1) -> Column:
@@ -121,7 +121,7 @@ def field_drift(listings: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     first = rows.groupBy("job_id").agg(
         F.min_by(F.struct(*V.DRIFT_FIELDS), F.col("pos")).alias("first"), F.count(F.lit(1)).alias("n")
     ).filter(F.col("n") > 1).drop("n")
-    compared = salted_left_join(rows, first, ["job_id"], ["pos"], hot_key_hashes(rows, ["job_id"], hot_rows))
+    compared = salted_left_join(rows, first, ["job_id"], ["pos"], hot_keys(rows, ["job_id"], hot_rows))
     totals = compared.agg(*[F.count_if(F.col(c) != F.col(f"first.{c}")).alias(c) for c in V.DRIFT_FIELDS])
     entries = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("rows")) for c in V.DRIFT_FIELDS])
     return totals.select(F.inline(entries)).filter(F.col("rows") > 0).orderBy(F.desc("rows"), "field")

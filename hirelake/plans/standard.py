@@ -12,7 +12,7 @@ from hirelake.functions.salary import has_pair, has_salary, monthly_salary, sala
 from hirelake.operators.dedupe import dedupe_business, dedupe_greedy
 from hirelake.operators.merge import best_snapshots, join_details, longest_descriptions, provenance
 from hirelake.operators.ranking import number_rows
-from hirelake.operators.skew import HOT_ROWS, hot_key_hashes, salted_left_join
+from hirelake.operators.skew import HOT_ROWS, hot_keys, salted_left_join
 from hirelake.sources import archive, tables
 
 
@@ -57,7 +57,7 @@ def import_rows(listings: DataFrame, details: DataFrame | None = None,
 
 def with_detail_path(listings: DataFrame, pairs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Listings with the detail file of their batch; postings of a large batch are spread."""
-    return salted_left_join(listings, pairs, ["batch_path"], ["pos"], hot_key_hashes(listings, ["batch_path"], hot_rows))
+    return salted_left_join(listings, pairs, ["batch_path"], ["pos"], hot_keys(listings, ["batch_path"], hot_rows))
 
 
 def import_filter(rows: DataFrame, city: str | None = None, keyword: str | None = None) -> DataFrame:

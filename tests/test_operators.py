@@ -40,20 +40,29 @@ def test_greedy_dedupe_fixture(spark):
     assert sorted(r["pos"] for r in D.dedupe_greedy(spark.createDataFrame(rows, STD)).collect()) == [1, 3]
 
 
-@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
-@given(seed=st.integers(0, 10**6), hot=st.sampled_from([2, 10**6]))
-def test_greedy_dedupe_equals_the_sequential_rule(spark, seed, hot):
+@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
+@given(seed=st.integers(0, 10**6), hot=st.sampled_from([2, 10**6]), rounds=st.sampled_from([0, 1, 99]),
+       settled=st.sampled_from([3, 10**6]))
+def test_greedy_dedupe_equals_the_sequential_rule(spark, seed, hot, rounds, settled):
     rng = random.Random(seed)
     rows = [std_row(i, rng.choice(["", None, *"abcdefgh"]), rng.choice([1, 2, 3, 4, 5, 6])) for i in range(60)]
-    kept = D.dedupe_greedy(spark.createDataFrame(rows, STD), hot_rows=hot)
+    kept = D.dedupe_greedy(spark.createDataFrame(rows, STD), hot_rows=hot, first_rounds=rounds, settled_rows=settled)
+    assert sorted(r["pos"] for r in kept.collect()) == sequential(rows)
+
+
+def test_greedy_dedupe_follows_a_long_chain(spark):
+    # Each row shares its id with the row before and its key with the row after.
+    rows = [std_row(i, f"id{i // 2}", (i + 1) // 2) for i in range(1000)]
+    kept = D.dedupe_greedy(spark.createDataFrame(rows, STD))
     assert sorted(r["pos"] for r in kept.collect()) == sequential(rows)
 
 
 def test_a_hot_key_is_spread(spark):
     left = spark.createDataFrame([("hot", i) for i in range(1000)] + [("cold", 1), (None, 2)], "k string, pos int")
     right = spark.createDataFrame([("hot", 7), ("cold", 8), ("none", 9)], "k string, v int")
-    hot = skew.hot_key_hashes(left, ["k"], 100)
-    assert len(hot) == 1
+    hot = skew.hot_keys(left, ["k"], 100)
+    assert [tuple(r)[1] for r in hot.collect()] == [10]  # as many salts as the key's rows ask for
+    assert skew.hot_keys(left, ["k"], 10_000) is None
     joined = skew.salted_left_join(left, right, ["k"], ["pos"], hot)
     assert joined.count() == 1002
     assert joined.groupBy("k").agg(F.sum("v").alias("s")).filter("k = 'hot'").first()["s"] == 7000
