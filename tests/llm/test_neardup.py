@@ -4,7 +4,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from hirelake.llm import components, neardup
+from hirelake.llm import neardup
+from hirelake.operators import components
 from hirelake.session import Scratch
 from tests.llm.brute import texts
 
