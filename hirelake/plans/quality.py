@@ -19,7 +19,10 @@ def percent(part: Column, whole: Column, digits: int = 1) -> Column:
 
 
 def import_stats(listings: DataFrame, rows: DataFrame, batch_table: DataFrame) -> DataFrame:
-    """Per batch: raw and converted postings, those skipped for lack of a salary, those with a description."""
+    """Per batch: raw and converted postings, those skipped for lack of a salary, those with a description.
+
+    Of a description only whether it is empty counts; a flag in its place saves moving texts.
+    """
     raw = listings.groupBy("batch_path").agg(F.count(F.lit(1)).alias("raw"))
     done = rows.groupBy("batch_path").agg(F.count(F.lit(1)).alias("converted"), F.count_if(F.col("description") != "").alias("with_jd"))
     zero = {c: F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("raw", "converted", "with_jd")}
@@ -44,12 +47,15 @@ def import_overview(rows: DataFrame) -> DataFrame:
     return totals.unionByName(counts.select(F.col("dim").alias("section"), "name", F.col("value").cast("double").alias("value")))
 
 
-def merge_overview(listings: DataFrame) -> DataFrame:
-    """One row: keywords and cities met, rows with id, distinct ids, mean repeats, and what the merge drops."""
+def merge_overview(listings: DataFrame, batch_table: DataFrame) -> DataFrame:
+    """One row: keywords and cities of the batches, rows with id, distinct ids, mean repeats, and what the merge drops.
+
+    ``batch_table`` has a row per batch file (``keyword, batch_city``), so that a batch without postings counts.
+    """
     from hirelake.plans.standard import standardize
 
     named = with_id(listings)
-    scope = listings.agg(
+    scope = batch_table.agg(
         F.count_distinct(F.coalesce(F.nullif("keyword", F.lit("")), F.lit("?"))).alias("keywords"),
         F.count_distinct(F.coalesce(F.nullif("batch_city", F.lit("")), F.lit("?"))).alias("cities"),
     )
@@ -72,20 +78,43 @@ def merge_overview(listings: DataFrame) -> DataFrame:
     )
 
 
+def merge_distributions(rows: DataFrame) -> DataFrame:
+    """``section, name, value`` of merged standard rows: rows, distinct cities and industries, mean salaries; the largest
+    cities, industries and education labels, all experience labels."""
+    sizes = rows.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("city").alias("cities"),
+                     F.count_distinct("category").alias("industries"), F.round(F.avg("salary_low"), 0).alias("mean_low"),
+                     F.round(F.avg("salary_high"), 0).alias("mean_high"))
+    totals = sizes.select(F.inline(F.array(*[
+        F.struct(F.lit("total").alias("section"), F.lit(c).alias("name"), F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias("value"))
+        for c in sizes.columns
+    ])))
+    counts = counts_by_dimension(rows, {c: F.col(c) for c in ("city", "category", "education", "work_years")},
+                                 {"city": 12, "category": 8, "education": 6})
+    return totals.unionByName(counts.select(F.col("dim").alias("section"), "name", F.col("value").cast("double").alias("value")))
+
+
+def described_ids(*sources: DataFrame) -> DataFrame:
+    """Distinct ids with a description in any source (``job_id, jd``). Only ids are moved, no texts."""
+    every = None
+    for source in sources:
+        ids = with_id(source.select("job_id", (text_of(F.col("jd")) != "").alias("described")).filter("described"))
+        every = ids.select("job_id") if every is None else every.unionByName(ids.select("job_id"))
+    return every.distinct()
+
+
 def consolidation_manifest(source_files: int, listings: DataFrame, records: DataFrame, standard: DataFrame,
-                           final: DataFrame) -> DataFrame:
-    """One row: files, raw rows with id, distinct ids, standard rows after the key pass, ids with a description, and
-    priced rows with a description before the key pass."""
+                           final: DataFrame, described: DataFrame) -> DataFrame:
+    """One row: files, raw rows with id, distinct ids, standard rows after the key pass, all ids with a description (also
+    those that only detail files have; ``described``), and priced rows with a description before the key pass."""
     raw = with_id(listings).agg(F.count(F.lit(1)).alias("raw_records"))
-    merged = records.agg(F.count(F.lit(1)).alias("unique_jobs"), F.count_if(F.col("jd") != "").alias("jobs_with_jd"))
-    figures = merged.select(F.struct("*")).scalar()
     priced = standard.agg(F.count_if(F.col("jd") != "").alias("rows_with_jd"))
-    rows = final.agg(F.count(F.lit(1)).alias("valid_rows"))
+
+    def size(rows: DataFrame) -> Column:
+        return rows.agg(F.count(F.lit(1)).alias("n")).scalar()
+
     return raw.select(
         F.lit(source_files).cast("bigint").alias("source_files"), "raw_records",
-        figures["unique_jobs"].alias("unique_jobs"),
-        rows.scalar().alias("valid_rows"),
-        figures["jobs_with_jd"].alias("jobs_with_jd"),
+        size(records).alias("unique_jobs"), size(final).alias("valid_rows"), size(described).alias("jobs_with_jd"),
         priced.scalar().alias("rows_with_jd"),
     )
 

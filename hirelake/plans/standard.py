@@ -13,6 +13,7 @@ from hirelake.operators.dedupe import dedupe_business, dedupe_greedy
 from hirelake.operators.merge import best_snapshots, join_details, longest_descriptions, provenance
 from hirelake.operators.ranking import number_rows
 from hirelake.operators.skew import HOT_ROWS, hot_keys, salted_left_join
+from hirelake.session import stored
 from hirelake.sources import archive, tables
 
 
@@ -75,14 +76,17 @@ def import_archive(spark: SparkSession, path: str, city: str | None = None,
     from hirelake.plans.quality import import_stats
 
     files = archive.read_files(spark, path)
-    listings = archive.strict_postings(files)
+    batches = archive.strict_batches(files)
+    # Parsed once; every step below reads the stored rows.
+    listings = stored(archive.postings(files, batches), "postings")
     detail_files = archive.read_files(spark, path, archive.DETAIL_PATTERN)
-    pairs = archive.pair_details(files.select("path"), detail_files.select("path"))
-    latest = archive.latest_details(archive.details(detail_files), ["detail_path", "job_id"]).select(
+    details = stored(archive.details(detail_files), "details")
+    pairs = archive.pair_details(batches.select(F.col("batch_path").alias("path")), detail_files.select("path"))
+    latest = archive.latest_details(details, ["detail_path", "job_id"]).select(
         "detail_path", "job_id", F.col("company").alias("detail_company"), "jd")
-    rows = import_rows(with_detail_path(listings, pairs), latest, keys=["detail_path", "job_id"])
+    rows = stored(import_rows(with_detail_path(listings, pairs), latest, keys=["detail_path", "job_id"]), "imported")
     # From the batch table, so that a batch without a single posting has its row, too.
-    per_batch = import_stats(listings, rows, archive.batches(files).select("batch_path", "keyword", "batch_city"))
+    per_batch = import_stats(listings, rows, batches.select("batch_path", "keyword", "batch_city"))
     return dedupe_greedy(import_filter(rows, city, keyword)), per_batch
 
 
@@ -91,6 +95,23 @@ def merge_snapshots(listings: DataFrame) -> DataFrame:
     return dedupe_business(standardize(best_snapshots(listings)))
 
 
+def merge_archive(spark: SparkSession, path: str, out: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Merge an archive strictly: one bad file stops it before anything is written.
+
+    Returns the merged rows, the overview and the distributions; with ``out`` the rows are written there as the standard
+    CSV table, in order of their first snapshot.
+    """
+    from hirelake.plans.quality import merge_distributions, merge_overview
+
+    files = archive.read_files(spark, path)
+    batches = archive.strict_batches(files)
+    listings = stored(archive.postings(files, batches), "postings")
+    rows = stored(merge_snapshots(listings), "merged")
+    if out:
+        tables.write_standard(rows, out, "pos")
+    return rows, merge_overview(listings, batches), merge_distributions(rows)
+
+
 def consolidate(listings: DataFrame, details: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Merged records with their longest description, provenance rows, and the standard table before the key pass."""
     merged = best_snapshots(listings.drop("jd") if "jd" in listings.columns else listings)
@@ -104,30 +125,32 @@ def consolidate(listings: DataFrame, details: DataFrame) -> tuple[DataFrame, Dat
 def publish_consolidated(spark: SparkSession, path: str, root: str) -> dict[str, str]:
     """Consolidate an archive and publish records, provenance, standard table and manifest as new table versions.
 
-    The previous records, if any, are one more input. Nothing is replaced before everything is written: versions that
-    belong together are listed in the manifest, which is published last.
+    The previous records, if any, are one more input: those that the newest manifest names. Nothing is replaced before
+    everything is written; versions that belong together are listed in the manifest, which is published last, so what a
+    broken run left behind counts for nothing.
     """
-    from hirelake.plans.quality import consolidation_manifest
+    from hirelake.plans.quality import consolidation_manifest, described_ids
 
     files = archive.read_files(spark, path)
-    listings = archive.postings(files)
-    details = archive.read_details(spark, path)
-    previous = tables.latest(spark, root, "records")
-    if previous:
-        old = spark.read.parquet(previous)
+    batches = stored(archive.analysed(files), "batches")
+    listings = stored(archive.postings(files, batches), "postings")
+    details = stored(archive.read_details(spark, path), "details")
+    newest = tables.latest(spark, root, "manifest")
+    if newest:
+        old = spark.read.parquet(spark.read.parquet(newest).first()["records_path"])
         folder = F.lit("records")
         listings = listings.unionByName(old.select(*[
             c for c in listings.columns if c in old.columns
         ]).withColumns({"batch_dir": folder, "keyword": F.lit(""), "batch_city": F.lit("")}), allowMissingColumns=True)
-    records, sources, standard = consolidate(listings, details)
+    records, sources, _standard = consolidate(listings, details)
     written = {"records": tables.publish(records, root, "records"),
                "provenance": tables.publish(sources, root, "provenance")}
-    stored = spark.read.parquet(written["records"])
-    standard = standardize(stored, description=F.col("jd"), keep=["pos", "jd"])
+    kept = spark.read.parquet(written["records"])
+    standard = standardize(kept, description=F.col("jd"), keep=["pos", "jd"])
     final = dedupe_business(standard)
     written["standard"] = tables.publish(final.drop("pos", "jd"), root, "standard")
-    manifest = consolidation_manifest(files.count(), listings, stored, standard,
-                                      spark.read.parquet(written["standard"]))
+    manifest = consolidation_manifest(batches.count(), listings, kept, standard, spark.read.parquet(written["standard"]),
+                                      described_ids(listings, details))
     written["manifest"] = tables.publish(
         manifest.withColumns({f"{k}_path": F.lit(v) for k, v in written.items()}), root, "manifest")
     return written

@@ -155,7 +155,7 @@ LONGEST = ("longest AS (SELECT job_id, trim(jd) AS jd FROM (SELECT job_id, jd, 1
 oracle("consolidate_manifest", f"""SELECT (SELECT count(DISTINCT batch_path) FROM raw) AS source_files,
     (SELECT count(*) FROM scored) AS raw_records, (SELECT count(*) FROM merged) AS unique_jobs,
     (SELECT count(*) FROM {first('std')}) AS valid_rows,
-    (SELECT count(*) FROM merged JOIN longest USING (job_id)) AS jobs_with_jd,
+    (SELECT count(*) FROM longest WHERE job_id <> '') AS jobs_with_jd,
     (SELECT count(*) FROM std JOIN longest USING (job_id)) AS rows_with_jd""", *MERGED_STD, "details", LONGEST)
 
 # --- served table -------------------------------------------------------------------------------------------------
@@ -455,6 +455,13 @@ oracle("import_overview", " UNION ALL ".join([
     *[f"(SELECT '{c}', name, value::DOUBLE FROM ({counts('d', c, n)}))"
       for c, n in (("city", 8), ("category", 5), ("education", 6), ("work_years", None))],
 ]), *STD_ROWS, f"d AS (SELECT * FROM {first('std')})")
+oracle("merge_distributions", " UNION ALL ".join([
+    "SELECT 'total' AS section, 'rows' AS name, count(*)::DOUBLE AS value FROM d",
+    "SELECT 'total', 'cities', count(DISTINCT city) FROM d", "SELECT 'total', 'industries', count(DISTINCT category) FROM d",
+    "SELECT 'total', 'mean_low', round(avg(salary_low), 0) FROM d", "SELECT 'total', 'mean_high', round(avg(salary_high), 0) FROM d",
+    *[f"(SELECT '{c}', name, value::DOUBLE FROM ({counts('d', c, n)}))"
+      for c, n in (("city", 12), ("category", 8), ("education", 6), ("work_years", None))],
+]), *MERGED_STD, f"d AS (SELECT * FROM {first('std')})")
 oracle("merge_overview", f"""SELECT (SELECT count(DISTINCT coalesce(nullif(keyword, ''), '?')) FROM raw) AS keywords,
     (SELECT count(DISTINCT coalesce(nullif(batch_city, ''), '?')) FROM raw) AS cities, raw_with_id, unique_ids,
     round(raw_with_id / unique_ids, 1) AS mean_repeats, unique_ids - valid AS skipped_no_salary, valid, final,
@@ -481,7 +488,8 @@ oracle("dup_samples", " UNION ALL ".join(
     ORDER BY p LIMIT 3) USING (job_id))""")
 oracle("batch_dims", f"""SELECT 'city' AS dim, * FROM ({counts('b', 'batch_city', 10)}) UNION ALL
     SELECT 'keyword' AS dim, * FROM ({counts('b', 'keyword', 20)})""", "raw",
-       "b AS (SELECT DISTINCT batch_path, keyword, batch_city FROM raw)")
+       f"b AS (SELECT CASE WHEN {BATCH_KIND} IN (2, 3) THEN '?' ELSE keyword END AS keyword, CASE WHEN {BATCH_KIND} IN (2, 3) "
+       f"THEN '?' ELSE batch_city END AS batch_city FROM raw WHERE {BATCH_KIND} NOT IN (1, 4, 5, 8, 9))")
 oracle("batch_quality", """SELECT batch_path, bool_or(title <> '' AND salary <> '' AND job_link <> '' AND salary_source = 'api')
     AS usable FROM raw GROUP BY batch_path""", "raw")
 oracle("yield_total", """SELECT count(*) AS records, count(DISTINCT job_id) AS distinct_ids,

@@ -12,7 +12,7 @@ from hirelake.functions import labels as L
 from hirelake.functions import pages as P
 from hirelake.functions import text as X
 from hirelake.functions.salary import monthly_salary, salary_pair, single_salary
-from hirelake.functions.tokens import WORDS
+from hirelake.functions.tokens import tokens
 from hirelake.operators import dedupe as D
 from hirelake.operators import merge as M
 from hirelake.operators.ranking import value_counts
@@ -135,12 +135,14 @@ def write_std(spark, sf):
 
 @query("consolidate_manifest")
 def consolidate_manifest(spark, sf):
-    listings = raw(spark, sf)
-    records, _sources, _standard = S.consolidate(listings, I.raw_details(spark, sf))
+    listings = raw(spark, sf, *[c for c in I.RAW if c != "batch_no"])
+    # Figures only ask whether there is a description, so a mark stands for its text.
+    marked = I.raw_details(spark, sf).select("job_id", F.when(X.text_of(F.col("jd")) != "", "x").otherwise("").alias("jd"), "pos")
+    records, _sources, _standard = S.consolidate(listings, marked)
     records = stored(records, "records")
     standard = S.standardize(records, description=F.col("jd"), keep=["pos", "jd"])
     files = listings.agg(F.count_distinct("batch_path").alias("n")).first()["n"]
-    return Q.consolidation_manifest(files, listings, records, standard, D.dedupe_business(standard))
+    return Q.consolidation_manifest(files, listings, records, standard, D.dedupe_business(standard), Q.described_ids(marked))
 
 
 @query("export_rows")
@@ -244,11 +246,9 @@ def desc_flatten(spark, sf):
 
 
 @query("tokens")
-def tokens(spark, sf):
-    found = F.regexp_extract_all("text", F.lit(WORDS), F.lit(0))
-    words = I.table(spark, sf, "documents").select(F.explode(found).alias("token"))
-    return value_counts(words.filter(~F.col("token").isin(V.STOP_WORDS)), F.col("token")).withColumnsRenamed(
-        {"name": "token", "value": "n"})
+def tokens_query(spark, sf):
+    found = I.table(spark, sf, "documents").select(F.explode(tokens(F.col("text"))).alias("token"))
+    return value_counts(found, F.col("token")).withColumnsRenamed({"name": "token", "value": "n"})
 
 
 @query("source_id")
@@ -356,7 +356,7 @@ def filter_salary(spark, sf):
 def import_stats(spark, sf):
     listings = raw(spark, sf, "batch_path", "batch_folder", "job_id", "title", "salary", "location", "tags",
                    "job_labels", "boss_name", "company_industry", "skills", "batch_city", "keyword")
-    rows = imported(spark, sf, listings)
+    rows = imported(spark, sf, listings, texts=False)
     batch_table = listings.select("batch_path", "keyword", "batch_city").distinct()
     return Q.import_stats(listings, rows, batch_table)
 
@@ -393,11 +393,14 @@ def scope_depth(spark, sf):
 
 # --- joins --------------------------------------------------------------------------------------------------------
 
-def imported(spark: SparkSession, sf: str, listings: DataFrame) -> DataFrame:
-    """Standard rows of listings joined with the latest detail of the detail file paired with their batch."""
+def imported(spark: SparkSession, sf: str, listings: DataFrame, texts: bool = True) -> DataFrame:
+    """Standard rows of listings joined with the latest detail of the detail file paired with their batch. Without
+    ``texts`` a mark stands for each description that is not blank."""
     details = I.raw_details(spark, sf)
     pairs = A.pair_details(listings.select(F.col("batch_path").alias("path")).distinct(),
                            details.select(F.col("detail_path").alias("path")).distinct())
+    if not texts:
+        details = details.withColumn("jd", F.when(X.flat_text(F.col("jd")) != "", "x").otherwise(""))
     latest = A.latest_details(details, ["detail_path", "job_id"]).select(
         "detail_path", "job_id", F.col("company").alias("detail_company"), "jd")
     return S.import_rows(S.with_detail_path(listings, pairs), latest, ["detail_path", "job_id"])
@@ -538,7 +541,13 @@ def import_overview(spark, sf):
 
 @query("merge_overview")
 def merge_overview(spark, sf):
-    return Q.merge_overview(raw(spark, sf))
+    batches = raw(spark, sf, "batch_path", "keyword", "batch_city").drop("pos").distinct()
+    return Q.merge_overview(raw(spark, sf), batches)
+
+
+@query("merge_distributions")
+def merge_distributions(spark, sf):
+    return Q.merge_distributions(S.merge_snapshots(raw(spark, sf, *BEST, "job_labels")))
 
 
 @query("dup_profile")
@@ -563,8 +572,7 @@ def dup_samples(spark, sf):
 
 @query("batch_dims")
 def batch_dims(spark, sf):
-    batches = raw(spark, sf, "batch_path", "keyword", "batch_city").drop("pos").distinct()
-    return Q.batch_dimensions(batches.withColumn("is_object", F.lit(True)))
+    return Q.batch_dimensions(A.batches(batch_texts(spark, sf)))
 
 
 @query("yield_total")
