@@ -289,3 +289,12 @@ SLICES = {
         ("deg203", "本科"), ("deg204", "硕士"), ("deg205", "博士"),
     ],
 }
+
+# Why a search is not planned, as the plan's results state it. The empty part stands for the number of rows.
+BLOCK_REASONS = {
+    "saturated": "历史零新增，已拉黑",
+    "done": "账本记录已抓过",
+    "covered": ("归档已有 ", "", " 条"),
+    "full": "该城族数已铺满",
+    "unseen": "depth 策略跳过 0 数据城市",
+}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hirelake import fixed_values as V
@@ -12,6 +12,7 @@ from hirelake.functions.salary import parse_bound, salary_bucket
 from hirelake.functions.text import contains_ignoring_case, safe_text, skill_list
 from hirelake.functions.tokens import keyword_rows
 from hirelake.operators.ranking import counts_by_dimension, fixed_order_counts, value_counts
+from hirelake.session import stored
 from hirelake.sources.tables import write_csv
 
 DIMENSIONS = ("city", "education", "experience", "category")
@@ -140,6 +141,13 @@ def job_page(df: DataFrame, limit: int = 12) -> DataFrame:
     return df.orderBy("job_id").limit(limit)
 
 
+def first_page(rows: DataFrame, limit: int = 12) -> DataFrame:
+    """The first rows of a table that is not numbered yet, numbered: a top-k by ``pos``, no sort of the whole table."""
+    first = rows.orderBy("pos").limit(limit)
+    numbers = F.row_number().over(Window.orderBy("pos"))  # over ``limit`` rows
+    return first.withColumn("job_id", numbers).select(*V.CLEAN_COLUMNS)
+
+
 def job_by_id(df: DataFrame, job_id: int) -> DataFrame:
     """The row with a serving id, from the unfiltered table; empty when there is none."""
     return df.filter(F.col("job_id") == job_id)
@@ -162,17 +170,26 @@ def data_source(df: DataFrame, name: str) -> DataFrame:
 
 
 def dashboard(df: DataFrame, params: Mapping[str, str] | None = None, limit: object = 10) -> dict[str, DataFrame]:
-    """All parts of the dashboard over the filtered table, each a lazy DataFrame."""
+    """All parts of the dashboard over the filtered table. The counts by dimension come from one stored scan."""
     rows = apply_filters(df, params)
+    counts = stored(distributions(rows), "distributions")
+
+    def part(dim: str) -> DataFrame:
+        return counts.filter(F.col("dim") == dim).select("name", "value").orderBy(F.desc("value"), "name")
+
+    def in_order(dim: str, labels: list[str]) -> DataFrame:
+        order = rows.sparkSession.createDataFrame(list(enumerate(labels)), "ord int, name string")
+        return order.join(part(dim), "name", "left").select("ord", "name", F.coalesce("value", F.lit(0)).alias("value"))
+
     return {
         "summary": summary(rows),
-        "salary": salary_histogram(rows),
-        "education": top_values(rows, "education"),
-        "experience": experience_counts(rows),
-        "city": top_values(rows, "city", TOP["city"]),
-        "category": top_values(rows, "category", TOP["category"]),
+        "salary": in_order("salary", V.SALARY_LABELS),
+        "education": part("education"),
+        "experience": in_order("experience", V.EXPERIENCE_ORDER).filter(F.col("value") > 0),
+        "city": part("city"),
+        "category": part("category"),
         "skills": skill_counts(rows),
         "keywords": keyword_counts(rows, 20),
-        "top_companies": top_values(rows, "company", TOP["company"]),
+        "top_companies": part("company"),
         "jobs": job_page(rows, clamp_limit(limit)),
     }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hirelake import fixed_values as V
@@ -10,6 +10,7 @@ from hirelake.functions import text as X
 from hirelake.functions.pages import extract_descriptions
 from hirelake.functions.tokens import term_rows
 from hirelake.operators.ranking import value_counts
+from hirelake.session import stored
 
 
 def _tags(listings: DataFrame) -> DataFrame:
@@ -73,16 +74,19 @@ def term_document_counts(details: DataFrame, keyword: str = "", limit: int | Non
     """``name, value, pct``: details whose description contains a term, case ignored, and their share.
 
     The term list is bounded (base and keyword terms plus at most 60), so it is fetched once and tested as constants
-    inside the scan; a row yields only the terms it has.
+    inside the scan; a row yields the terms it has, and one entry without a name that counts the row itself.
     """
     names = [r["name"] for r in terms(details, keyword).select("name").collect()]
     listed = F.array(*[F.struct(F.lit(n).alias("name"), F.lower(F.lit(n)).alias("low")) for n in names])
     body = F.lower(F.coalesce("jd", F.lit("")))
-    hits = details.select(body.alias("b")).select(
-        F.explode(F.filter(listed, lambda t: F.contains(F.col("b"), t["low"]))["name"]).alias("name"))
-    total = details.agg(F.count(F.lit(1)).alias("n")).scalar()
-    counted = value_counts(hits, F.col("name"), limit)
-    return counted.select("name", "value", F.round(F.col("value") * 100.0 / total, 0).alias("pct"))
+    own = F.filter(listed, lambda t: F.contains(F.col("b"), t["low"]))["name"]
+    entries = details.select(body.alias("b")).select(F.explode(F.concat(own, F.array(F.lit(None).cast("string")))).alias("name"))
+    counts = entries.groupBy("name").agg(F.count(F.lit(1)).alias("value"))
+    every = Window.partitionBy()  # one row per term of the bounded list
+    total = F.max(F.when(F.col("name").isNull(), F.col("value"))).over(every)
+    shares = counts.withColumn("total", total).filter(F.col("name").isNotNull()).select(
+        "name", "value", F.round(F.col("value") * 100.0 / F.col("total"), 0).alias("pct")).orderBy(F.desc("value"), "name")
+    return shares if limit is None else shares.limit(limit)
 
 
 def dominant(listings: DataFrame, details: DataFrame, keyword: str = "") -> DataFrame:
@@ -90,17 +94,20 @@ def dominant(listings: DataFrame, details: DataFrame, keyword: str = "") -> Data
 
     With fewer than three valid skill tags the description terms stand in for the skills.
     """
-    skill_rows = [r["name"] for r in skill_tags(details, 10).collect()]  # ten rows
-    valid = [s for s in skill_rows if len(s) >= 2 and s not in V.NOISE_WORDS]
-    term_names = [r["name"] for r in term_document_counts(details, keyword, 10).collect()]  # ten rows
-    leading = {
-        "skill": skill_rows if len(valid) >= 3 else term_names,
-        "term": term_names[:8],
-        "experience": [r["name"] for r in experience_tags(listings).limit(1).collect()],
-        "education": [r["name"] for r in education_tags(listings).limit(1).collect()],
-    }
-    rows = [(kind, i, name) for kind, names in leading.items() for i, name in enumerate(names, 1)]
-    return listings.sparkSession.createDataFrame(rows, "kind string, ord int, name string")
+    def numbered(kind: str, counts: DataFrame, limit: int) -> DataFrame:
+        order = Window.orderBy(F.desc("value"), "name")  # over at most ten rows
+        return counts.limit(limit).select(F.lit(kind).alias("kind"), F.row_number().over(order).alias("ord"), "name")
+
+    skills = stored(numbered("skill", skill_tags(details, 10), 10), "leading-skills")
+    words = stored(numbered("term", term_document_counts(details, keyword, 10), 10), "leading-terms")
+    valid = (F.length("name") >= 2) & ~F.col("name").isin(list(V.NOISE_WORDS))
+    enough = skills.agg((F.count_if(valid) >= 3).alias("enough")).scalar()
+    return (
+        skills.filter(enough).unionByName(words.filter(~enough).withColumn("kind", F.lit("skill")))
+        .unionByName(words.filter(F.col("ord") <= 8))
+        .unionByName(numbered("experience", experience_tags(listings), 1))
+        .unionByName(numbered("education", education_tags(listings), 1))
+    )
 
 
 def detail_records(listings: DataFrame, pages: DataFrame) -> DataFrame:

@@ -240,11 +240,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(rows: DataFrame, *keys: str) -> DataFrame:
-    """Deal the rows of a scan with fewer tasks than cores over all cores; a scan of many files stays as it is."""
+    """Deal the rows of a scan with fewer tasks than cores over all cores; a scan of many tasks stays as it is. Only for
+    narrow tables: the small ones given are a single row group, which Spark cannot split."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    if rows._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
-        return rows
-    return rows.repartition(cores, *keys)
+    return rows.repartition(cores, *keys) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def raw_postings(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
@@ -256,17 +255,17 @@ def raw_postings(spark: SparkSession, sf_dir: str, columns: list[str] | None = N
 
 
 def raw_details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detail records of all detail files, three snapshots per document."""
-    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    parts = [documents.selectExpr(*[f"{e} AS {c}" for c, e in detail_columns(i).items()])
-             for i in range(len(DETAIL_TEXTS))]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """Detail records of all detail files, three snapshots per document, from one scan."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    snapshots = [f"named_struct({', '.join(f"'{c}', {e}" for c, e in detail_columns(i).items())})"
+                 for i in range(len(DETAIL_TEXTS))]
+    rows = documents.selectExpr("doc_id AS __doc", f"inline(array({', '.join(snapshots)}))").drop("__doc")
     return rows.select("*", F.struct("detail_path", "snapshot", "doc_id").alias("pos"),
                        F.split("tag_text", r"\|").alias("skill_tags")).drop("tag_text", "snapshot", "doc_id")
 
 
 def captured_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
     return rows.selectExpr(*[f"{e} AS {c}" for c, e in PAGES.items()]).withColumn("tags", F.split("tag_text", r"\|"))
 
 

@@ -659,8 +659,18 @@ oracle("report_dominant", " UNION ALL ".join([
     ranked("education", counts("tag_rows", limit=1, where=EDUCATION_TAGS)),
 ]), "raw", TAG_ROWS, "details", SKILL_TAGS, TERMS)
 
+oracle("report_head", f"""SELECT (SELECT count(*) FROM cities) AS cities, {len(V.FAMILIES)}::BIGINT AS families,
+    (SELECT sum(n)::BIGINT FROM cc) AS postings, (SELECT count(*) FROM cc) AS filled_cities,
+    (SELECT count(*) FROM cities WHERE city NOT IN (SELECT city FROM cc)) AS blank_cities,
+    (SELECT count(*) FROM combos WHERE status = 'done') AS done,
+    (SELECT count(*) FROM combos WHERE status = 'saturated') AS saturated""", "cities", "combos", *COVERAGE)
+oracle("report_blank_cities", "SELECT city FROM cities WHERE city NOT IN (SELECT city FROM cc)", "cities", *COVERAGE)
+
 # --- streams ------------------------------------------------------------------------------------------------------
 oracle("stream_ingest", "SELECT event_type, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY 1")
+oracle("stream_postings", """SELECT count(*) AS raw, count(DISTINCT nullif(job_id, '')) AS new,
+    count(*) - count(DISTINCT nullif(job_id, '')) AS dup FROM raw""", "raw")
+oracle("stream_first_seen_within", "SELECT DISTINCT user_id FROM events")
 oracle("stream_dedup", "SELECT DISTINCT user_id FROM events")
 oracle("stream_first_seen", "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id "
        "ORDER BY ts, event_id) = 1")

@@ -89,9 +89,8 @@ def archive_validate(spark, sf):
     return A.problems(batch_texts(spark, sf))
 
 
-@query("archive_files")
-def archive_files(spark, sf):
-    """Real files: one per batch, written and read back by the file reader."""
+def written_archive(spark: SparkSession, sf: str) -> str:
+    """Folder of real JSON files, one per batch."""
     rows = raw(spark, sf, "batch_path", "job_id", "title", "salary", "location", "keyword", "batch_city")
     jobs = F.sort_array(F.collect_list(F.struct("pos", "job_id", "title", "salary", "location")))
     batches = rows.groupBy("batch_path", "keyword", "batch_city").agg(jobs.alias("jobs"))
@@ -99,7 +98,13 @@ def archive_files(spark, sf):
     path = shared_path(spark, "archive_files")
     texts = batches.select(F.to_json(F.struct("keyword", F.col("batch_city").alias("city"), listed.alias("jobs"))))
     texts.write.option("maxRecordsPerFile", 1).text(path)
-    found = A.postings(A.read_files(spark, path, "*.txt"))
+    return path
+
+
+@query("archive_files")
+def archive_files(spark, sf):
+    """Written and read back by the file reader."""
+    found = A.postings(A.read_files(spark, written_archive(spark, sf), "*.txt"))
     return found.select("keyword", "batch_city", F.col("pos.idx").cast("bigint").alias("idx"), "job_id", "title", "salary",
                         "location")
 
@@ -524,7 +529,7 @@ def data_source(spark, sf):
 
 @query("job_page")
 def job_page(spark, sf):
-    return B.job_page(S.clean(I.served_input(spark, sf)), B.clamp_limit("50"))
+    return B.first_page(served(spark, sf), B.clamp_limit("50"))
 
 
 @query("job_by_id")
@@ -622,6 +627,16 @@ def coverage_counts(spark, sf):
     return C.coverage_counts(raw(spark, sf, "job_id", "location", "title"))
 
 
+@query("report_head")
+def report_head(spark, sf):
+    return C.report_head(I.cities(spark, sf), coverage(spark, sf), I.combos(spark, sf))
+
+
+@query("report_blank_cities")
+def report_blank_cities(spark, sf):
+    return C.blank_cities(I.cities(spark, sf), coverage(spark, sf))
+
+
 @query("report_city_coverage")
 def report_city_coverage(spark, sf):
     return C.city_coverage(I.cities(spark, sf), coverage(spark, sf))
@@ -850,6 +865,23 @@ def stream_ingest(spark, sf):
     return spark.read.parquet(target).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
 
 
+@query("stream_postings")
+def stream_postings(spark, sf):
+    """Batch files as a stream, in several micro-batches, into the ledger of new ids."""
+    known, ledger = shared_path(spark, "stream_known"), shared_path(spark, "stream_ledger")
+    rows = G.posting_stream(spark, written_archive(spark, sf), 100, "*.txt")
+    G.run_ledger(rows, known, ledger, shared_path(spark, "stream_state")).awaitTermination()
+    return spark.read.parquet(ledger).agg(*[F.sum(c).alias(c) for c in ("raw", "new", "dup")])
+
+
+@query("stream_first_seen_within")
+def stream_first_seen_within(spark, sf):
+    target, state = shared_path(spark, "stream_rows"), shared_path(spark, "stream_state")
+    rows = G.first_seen_within(event_stream(spark, sf).select("user_id", F.col("ts").cast("timestamp")), "user_id", "ts", "3650 days")
+    G.append_all(rows.select("user_id"), target, state).awaitTermination()
+    return spark.read.parquet(target)
+
+
 @query("stream_dedup")
 def stream_dedup(spark, sf):
     target, state = shared_path(spark, "stream_rows"), shared_path(spark, "stream_state")

@@ -235,6 +235,20 @@ def test_coverage_counts_take_an_id_once(spark):
 
 
 def test_markdown_report(spark):
-    frames = coverage_frames(spark, ["北京", "香港"], [("city", "北京", None, 30), ("family", None, "ai", 30)])
-    text = C.report_markdown(C.coverage_report(*frames))
+    cities, counts, combos = coverage_frames(spark, ["北京", "香港"], [
+        ("city", "北京", None, 30), ("city", "未知", None, 5), ("family", None, "ai", 30)])
+    text = "\n".join(C.report_markdown(C.coverage_report(cities, counts, combos)))
     assert "| 1 | 中国香港 | 0 | 空白 |" in text and "| 2 | 北京 | 30 | 已覆盖 |" in text
+    head = C.report_head(cities, counts, combos).first()
+    assert (head["postings"], head["filled_cities"], head["blank_cities"], head["cities"]) == (35, 2, 1, 2)
+    assert "共 1 座：香港" in text
+    assert text.count("\n| ") >= len(V.FAMILIES)
+
+
+def test_report_ledger_is_complete(spark):
+    cities, counts, combos = coverage_frames(spark, ["北京"], [("city", "北京", None, 1)])
+    rows = [(f"c{i}", "ai", "") for i in range(1500)]
+    many = spark.createDataFrame(rows, "city string, family_id string, slice_id string")
+    listed = combos.unionByName(many, allowMissingColumns=True)
+    lines = list(C.report_markdown(C.coverage_report(cities, counts, listed)))
+    assert sum(line.startswith("| c") for line in lines) == 1500
