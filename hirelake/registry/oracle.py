@@ -513,6 +513,9 @@ oracle("batch_yield", "SELECT * FROM yields", "raw", BATCH_YIELD)
 oracle("run_summary", """SELECT count(*) AS executed, sum(new)::BIGINT AS new_jobs, sum(raw)::BIGINT AS raw,
     round(sum(new) * 100.0::DOUBLE / sum(raw), 0) AS yield_pct FROM yields""", "raw", BATCH_YIELD)
 
+oracle("ledger_round_trip", """SELECT city, family_id, slice_id, status, raw, new, (SELECT count(*) FROM yields) AS executed
+    FROM combos""", "raw", "combos", BATCH_YIELD)
+
 # --- coverage -----------------------------------------------------------------------------------------------------
 COVERAGE = [
     "raw", TITLE_FAMILIES,

@@ -673,6 +673,17 @@ def ledger_listing(spark, sf):
     return C.ledger_listing(I.combos(spark, sf))
 
 
+@query("ledger_round_trip")
+def ledger_round_trip(spark, sf):
+    """Published twice, read back from the newest version of either table."""
+    root = shared_path(spark, "ledger")
+    runs = C.run_summary(C.batch_yield(raw(spark, sf, "batch_no", "job_id"), batch_info(spark, sf), 80))
+    T.publish_ledger(I.combos(spark, sf).limit(3), runs, root)
+    T.publish_ledger(I.combos(spark, sf), runs, root)
+    combos, kept = (spark.read.parquet(T.latest(spark, root, name)) for name in ("combos", "runs"))
+    return combos.select("city", "family_id", "slice_id", "status", "raw", "new", kept.select("executed").scalar().alias("executed"))
+
+
 @query("ledger_recent")
 def ledger_recent(spark, sf):
     return C.ledger_recent(I.combos(spark, sf))
