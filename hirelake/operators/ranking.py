@@ -49,9 +49,12 @@ def fixed_order_counts(df: DataFrame, c: Column, labels: list[str], keep_empty:
 
 
 def top_per_group(df: DataFrame, groups: list[str], order: list[Column], limit: Column | int,
-                  rank: str = "rank") -> DataFrame:
-    """First rows per group. Spark keeps only the best rows of each task before it shuffles, so hot groups are safe."""
+                  rank: str = "rank", at_most: int | None = None) -> DataFrame:
+    """First rows per group. With a whole number as limit, or as ``at_most`` beside a limit that differs by row, Spark keeps
+    only the best rows of each task before it shuffles, so hot groups are safe."""
     numbered = df.withColumn(rank, F.row_number().over(Window.partitionBy(*groups).orderBy(*order)))
+    if at_most is not None:
+        numbered = numbered.filter(F.col(rank) <= at_most)
     return numbered.filter(F.col(rank) <= limit)
 
 

@@ -149,7 +149,10 @@ def first_page(rows: DataFrame, limit: int = 12) -> DataFrame:
 
 
 def job_by_id(df: DataFrame, job_id: int) -> DataFrame:
-    """The row with a serving id, from the unfiltered table; empty when there is none."""
+    """The row with a serving id, from the unfiltered table; empty when there is none.
+
+    A published table lies in order of the id, so that reading it touches the one file that can hold the row.
+    """
     return df.filter(F.col("job_id") == job_id)
 
 

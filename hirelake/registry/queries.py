@@ -534,7 +534,8 @@ def job_page(spark, sf):
 
 @query("job_by_id")
 def job_by_id(spark, sf):
-    return B.job_by_id(S.clean(I.served_input(spark, sf)), 1234)
+    served_table = T.publish(S.clean(I.served_input(spark, sf)), shared_path(spark, "served"), "served")
+    return B.job_by_id(spark.read.parquet(served_table), 1234)
 
 
 # --- quality ------------------------------------------------------------------------------------------------------
