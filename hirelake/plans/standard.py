@@ -70,16 +70,17 @@ def import_filter(rows: DataFrame, city: str | None = None, keyword: str | None
     return rows
 
 
-def import_archive(spark: SparkSession, path: str, city: str | None = None,
-                   keyword: str | None = None) -> tuple[DataFrame, DataFrame]:
+def import_archive(spark: SparkSession, path: str, city: str | None = None, keyword: str | None = None,
+                   pattern: str = archive.BATCH_PATTERN,
+                   detail_pattern: str = archive.DETAIL_PATTERN) -> tuple[DataFrame, DataFrame]:
     """Deduplicated standard rows of an archive and the statistics per batch."""
     from hirelake.plans.quality import import_stats
 
-    files = archive.read_files(spark, path)
+    files = archive.read_files(spark, path, pattern)
     batches = archive.strict_batches(files)
     # Parsed once; every step below reads the stored rows.
     listings = stored(archive.postings(files, batches), "postings")
-    detail_files = archive.read_files(spark, path, archive.DETAIL_PATTERN)
+    detail_files = archive.read_files(spark, path, detail_pattern)
     details = stored(archive.details(detail_files), "details")
     pairs = archive.pair_details(batches.select(F.col("batch_path").alias("path")), detail_files.select("path"))
     latest = archive.latest_details(details, ["detail_path", "job_id"]).select(
@@ -95,7 +96,8 @@ def merge_snapshots(listings: DataFrame) -> DataFrame:
     return dedupe_business(standardize(best_snapshots(listings)))
 
 
-def merge_archive(spark: SparkSession, path: str, out: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def merge_archive(spark: SparkSession, path: str, out: str | None = None,
+                  pattern: str = archive.BATCH_PATTERN) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Merge an archive strictly: one bad file stops it before anything is written.
 
     Returns the merged rows, the overview and the distributions; with ``out`` the rows are written there as the standard
@@ -103,7 +105,7 @@ def merge_archive(spark: SparkSession, path: str, out: str | None = None) -> tup
     """
     from hirelake.plans.quality import merge_distributions, merge_overview
 
-    files = archive.read_files(spark, path)
+    files = archive.read_files(spark, path, pattern)
     batches = archive.strict_batches(files)
     listings = stored(archive.postings(files, batches), "postings")
     rows = stored(merge_snapshots(listings), "merged")

@@ -447,6 +447,14 @@ oracle("upsert_override", """SELECT job_id, title, salary, batch_dir,
     CASE WHEN min(batch_dir) OVER (PARTITION BY job_id) < '1998' THEN 0 ELSE 1 END AS first_seen_in FROM raw
     WHERE job_id <> '' QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY pos DESC) = 1""", "raw")
 
+oracle("import_archive", """SELECT keyword, batch_city AS city, count(DISTINCT batch_path) AS batches, count(*) AS raw,
+    count(salary_low) AS converted, 0::BIGINT AS with_jd, count(*) - count(salary_low) AS skipped_no_salary FROM priced_
+    GROUP BY 1, 2""", "raw", priced("raw"))
+oracle("merge_archive", """SELECT (SELECT count(DISTINCT coalesce(nullif(keyword, ''), '?')) FROM raw) AS keywords,
+    (SELECT count(DISTINCT coalesce(nullif(batch_city, ''), '?')) FROM raw) AS cities, count(*) AS raw_with_id,
+    count(DISTINCT job_id) AS unique_ids, round(count(*) / count(DISTINCT job_id), 1) AS mean_repeats FROM raw
+    WHERE job_id <> ''""", "raw")
+
 # --- quality ------------------------------------------------------------------------------------------------------
 oracle("import_overview", " UNION ALL ".join([
     "SELECT 'total' AS section, 'rows' AS name, count(*)::DOUBLE AS value FROM d",

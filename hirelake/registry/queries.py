@@ -366,6 +366,21 @@ def import_stats(spark, sf):
     return Q.import_stats(listings, rows, batch_table)
 
 
+@query("import_archive")
+def import_archive(spark, sf):
+    """Strict import of real files: figures of all batches by keyword and city."""
+    _rows, per_batch = S.import_archive(spark, written_archive(spark, sf), pattern="*.txt")
+    return per_batch.groupBy("keyword", "city").agg(
+        F.count(F.lit(1)).alias("batches"), *[F.sum(c).alias(c) for c in ("raw", "converted", "with_jd", "skipped_no_salary")])
+
+
+@query("merge_archive")
+def merge_archive(spark, sf):
+    """Strict merge of real files, overview only: which snapshot comes first depends on the files' names."""
+    _rows, overview, _distributions = S.merge_archive(spark, written_archive(spark, sf), pattern="*.txt")
+    return overview.select("keywords", "cities", "raw_with_id", "unique_ids", "mean_repeats")
+
+
 @query("import_filtered")
 def import_filtered(spark, sf):
     return S.import_filter(I.std_rows(spark, sf), "杭州", "Java").drop("pos")

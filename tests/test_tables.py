@@ -186,6 +186,21 @@ def test_import_end_to_end(spark, archive):
     assert [r["job_id"] for r in only.collect()] == ["id-3"]
 
 
+def test_strict_merge_writes_only_a_sound_archive(spark, archive, tmp_path):
+    job = {"job_id": "1", "title": "护士", "salary": "8-9K", "location": "杭州", "boss_name": "甲"}
+    out = str(tmp_path / "merged")
+    path = archive(a__boss_jobs_good={"keyword": "k", "city": "c", "jobs": [job, job]}, b__boss_jobs_bad="{")
+    with pytest.raises(A.UnusableArchive, match="boss_jobs_bad"):
+        S.merge_archive(spark, path, out)
+    assert not (tmp_path / "merged").exists()
+    (tmp_path / "archive" / "b" / "boss_jobs_bad.json").write_text('{"keyword": "q", "jobs": []}', "utf-8")
+    rows, overview, parts = S.merge_archive(spark, path, out)
+    assert rows.count() == spark.read.option("header", True).csv(out).count() == 1
+    figures = overview.first()
+    assert (figures["keywords"], figures["cities"], figures["raw_with_id"], figures["final"]) == (2, 2, 2, 1)
+    assert {(r["name"], r["value"]) for r in parts.filter("section = 'total'").collect()} >= {("rows", 1.0), ("mean_low", 8000.0)}
+
+
 def test_pairing_takes_the_stamp_then_the_last(spark):
     jobs = spark.createDataFrame([("x/a/boss_jobs_20260101_1200.json",), ("x/a/boss_jobs_new.json",), ("x/b/boss_jobs_1.json",)],
                                  "path string")
