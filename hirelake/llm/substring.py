@@ -129,9 +129,9 @@ class _Windows:
         self.doc = np.repeat(np.arange(len(self.counts)), self.counts)[self.starts]
         self.hashes = hashes
 
-    def keys(self, seed: int) -> np.ndarray:
-        every = window_hashes(self.hashes, self.width, seed)
-        return every[self.starts[self.starts < len(every)]]
+    def keys(self, seed: int, chosen: np.ndarray | None = None) -> np.ndarray:
+        """Hashes of all windows, or of the chosen ones."""
+        return window_hashes(self.hashes, self.width, seed, self.starts if chosen is None else self.starts[chosen])
 
 
 def _cells(keys: np.ndarray, row: int, bits: int) -> np.ndarray:
@@ -157,7 +157,7 @@ def _sketch(width: int, bits: int, range_bits: int):
                 out = []
                 for depth in range(DEPTH):
                     cells = np.sort(_cells(keys, depth, bits))
-                    first = np.flatnonzero(np.diff(cells, prepend=cells[:1] + np.uint64(1)))
+                    first = _first_of_runs(cells)
                     twice = np.diff(first, append=len(cells)) > 1
                     distinct = cells[first]
                     for top, a, b in _split(distinct, range_bits, bits):
@@ -183,23 +183,39 @@ def _merge_sketches(bits: int, range_bits: int):
     return run
 
 
+def _first_of_runs(ordered: np.ndarray) -> np.ndarray:
+    """Where a new value begins in sorted values."""
+    new = np.ones(len(ordered), dtype=bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    return np.flatnonzero(new)
+
+
+def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which values are among sorted ones. Looked up in order, which spares the caches."""
+    order = np.argsort(values)
+    at = np.searchsorted(ordered, values[order])
+    found = np.empty(len(values), dtype=bool)
+    found[order] = (at < len(ordered)) & (ordered[np.minimum(at, len(ordered) - 1)] == values[order]) if len(ordered) else False
+    return found
+
+
 class _Candidates:
     """Windows of one chunk that the merged sketch estimates as repeated, by exact key."""
 
     def __init__(self, windows: _Windows, answers: pd.DataFrame, bits: int, range_bits: int):
         keys = windows.keys(1)
-        chosen = np.ones(len(keys), dtype=bool)
         by_part = dict(zip(answers["part"], answers["answer"], strict=True))
-        for depth in range(DEPTH):
+        self.at = np.arange(len(keys))
+        for depth in range(DEPTH):  # only windows that are left are looked up in the next row
             cells = _cells(keys, depth, bits)
-            distinct = np.unique(cells)
+            distinct = np.sort(cells)
+            distinct = distinct[_first_of_runs(distinct)]
             repeated = np.concatenate([np.zeros(0, dtype=bool)] + [
                 np.unpackbits(np.frombuffer(by_part[depth << 40 | top], dtype=np.uint8), count=b - a).astype(bool)
                 for top, a, b in _split(distinct, range_bits, bits)
             ])
-            chosen &= repeated[np.searchsorted(distinct, cells)]
-        self.at = np.flatnonzero(chosen)
-        first, second = keys[self.at], windows.keys(2)[self.at]
+            self.at = self.at[_among(cells[self.at], distinct[repeated])]
+        first, second = keys[self.at], windows.keys(2, self.at)
         ids = windows.ids[windows.doc[self.at]]
         order = np.lexsort((ids, second, first))
         first, second, ids = first[order], second[order], ids[order]
@@ -234,8 +250,9 @@ def _merge_entries(group: pd.DataFrame) -> pd.DataFrame:
     second = np.concatenate([_unpacked(x, np.uint64) for x in group["seconds"]])
     least = np.concatenate([_unpacked(x, np.int64) for x in group["least"]])
     order = np.lexsort((least, second, first))
+    first, second = first[order], second[order]
     new = np.ones(len(order), dtype=bool)
-    new[1:] = (first[order][1:] != first[order][:-1]) | (second[order][1:] != second[order][:-1])
+    new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
     smallest = least[order][new][np.cumsum(new) - 1]
     smaller = np.empty(len(order), dtype=bool)
     smaller[order] = least[order] > smallest

@@ -74,12 +74,11 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return mix(hashes ^ lengths.astype(np.uint64), 1)
 
 
-def window_hashes(words: np.ndarray, width: int, seed: int) -> np.ndarray:
-    """A 64-bit hash of every ``width`` consecutive word hashes (shorter input: none)."""
-    count = max(0, len(words) - width + 1)
-    total = np.full(count, seed, dtype=np.uint64)
+def window_hashes(words: np.ndarray, width: int, seed: int, starts: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the ``width`` word hashes from each of ``starts`` on."""
+    total = np.full(len(starts), seed, dtype=np.uint64)
     for k in range(width):
-        total ^= words[k:k + count]
+        total ^= words[starts + k]
         total *= np.uint64(0xD6E8FEB86659FD93)
         total ^= total >> np.uint64(29)
     return mix(total, seed)
