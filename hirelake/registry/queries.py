@@ -896,7 +896,7 @@ def stream_ingest(spark, sf):
 def stream_postings(spark, sf):
     """Batch files as a stream, in several micro-batches, into the ledger of new ids."""
     known, ledger = shared_path(spark, "stream_known"), shared_path(spark, "stream_ledger")
-    rows = G.posting_stream(spark, written_archive(spark, sf), 100, "*.txt")
+    rows = G.posting_stream(spark, written_archive(spark, sf), 20, "*.txt")
     G.run_ledger(rows, known, ledger, shared_path(spark, "stream_state")).awaitTermination()
     return spark.read.parquet(ledger).agg(*[F.sum(c).alias(c) for c in ("raw", "new", "dup")])
 
