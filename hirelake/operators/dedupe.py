@@ -76,7 +76,12 @@ def _round(undecided: DataFrame, scratch: Scratch, hot_ids: DataFrame | None, ho
 
 
 def _settle_small(undecided: DataFrame, scratch: Scratch, settled_rows: int) -> tuple:
-    """Rows kept of all connected groups of at most ``settled_rows`` rows, and the rows of larger groups."""
+    """Rows kept of all connected groups of at most ``settled_rows`` rows, and the rows of larger groups. So few rows in all
+    are one group."""
+    if undecided.count() <= settled_rows:
+        whole = undecided.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(
+            lambda g: _settle(g[["__n", "__i", "__k"]]), "__n long")
+        return scratch.table(whole, "settled"), undecided.limit(0)
     ends = undecided.filter(F.col("__i").isNotNull()).select((F.col("__i") * 2).alias("a"), (F.col("__k") * 2 + 1).alias("b"))
     roots = components(ends, scratch).select(F.col("node").alias("__node"), F.col("root").alias("__root"))
     node = F.col("__k") * 2 + 1
@@ -93,7 +98,7 @@ def _settle_small(undecided: DataFrame, scratch: Scratch, settled_rows: int) ->
 
 def dedupe_greedy(df: DataFrame, row_id: str = "job_id", keys: list[str] = V.BUSINESS_KEY, pos: str = "pos",
                   hot_rows: int = HOT_ROWS, first_rounds: int = FIRST_ROUNDS, settled_rows: int = SETTLED_ROWS) -> DataFrame:
-    """In order of ``pos`` (different for each row), keep a row unless its id or its business key is already kept.
+    """In order of ``pos``, keep a row unless its id or its business key is already kept.
 
     A dropped row blocks nothing, so two plain duplicate removals give another answer. Rows that share both id and key
     reduce to their first at once. What is left gets numbers in order, and ids and keys are replaced by the number of
@@ -103,17 +108,18 @@ def dedupe_greedy(df: DataFrame, row_id: str = "job_id", keys: list[str] = V.BUS
     larger ones go on in rounds. Each round keeps at least the smallest number, so it ends.
     """
     scratch = Scratch(df.sparkSession, "greedy")
-    named = df.select(F.col(pos).alias("__pos"), F.nullif(F.col(row_id), F.lit("")).alias("__own"), F.struct(*keys).alias("__key"))
-    first = named.groupBy("__own", "__key").agg(F.min("__pos").alias("__pos"))
-    firsts = scratch.table(number_rows(first, ["__pos"], "__n", scratch), "firsts")
-    by_id = firsts.filter(F.col("__own").isNotNull()).groupBy("__own").agg(F.min("__n").alias("__i"))
-    by_key = firsts.groupBy("__key").agg(F.min("__n").alias("__k"))
-    facts = firsts.drop("__pos")
-    with_id = salted_left_join(facts, by_id, ["__own"], ["__n"], hot_keys(facts, ["__own"], hot_rows))
-    with_key = salted_left_join(with_id, by_key, ["__key"], ["__n"], hot_keys(facts, ["__key"], hot_rows))
+    named = df.withColumn("__own", F.nullif(F.col(row_id), F.lit("")))
+    firsts = number_rows(first_per_key(named, ["__own", *keys], pos), [pos], "__n")
+    facts = firsts.select("__n", "__own", F.struct(*keys).alias("__key"))
+    by_id = facts.filter(F.col("__own").isNotNull()).groupBy("__own").agg(F.min("__n").alias("__i"))
+    by_key = facts.groupBy("__key").agg(F.min("__n").alias("__k"))
+    hot_ids, hot = hot_keys(facts, ["__own"], hot_rows), hot_keys(facts, ["__key"], hot_rows)
+    with_id = salted_left_join(facts, by_id, ["__own"], ["__n"], hot_ids)
+    with_key = salted_left_join(with_id, by_key, ["__key"], ["__n"], hot)
     undecided = scratch.table(with_key.select("__n", "__i", "__k"), "undecided")
-    # Groups only shrink from round to round, so the heavy ones are looked up once.
-    hot_ids, hot = hot_keys(undecided, ["__i"], hot_rows), hot_keys(undecided, ["__k"], hot_rows)
+    # The same groups by number. They only shrink from round to round, so the heavy ones are looked up once.
+    hot_ids = None if hot_ids is None else hot_keys(undecided, ["__i"], hot_rows)
+    hot = None if hot is None else hot_keys(undecided, ["__k"], hot_rows)
     kept, rounds = [], 0
     while not undecided.isEmpty():
         if rounds == first_rounds:
@@ -126,9 +132,9 @@ def dedupe_greedy(df: DataFrame, row_id: str = "job_id", keys: list[str] = V.BUS
     every = firsts.select("__n").limit(0)
     for part in kept:
         every = every.unionByName(part)
-    places = stored(firsts.join(every, "__n", "left_semi").select(F.col("__pos").alias(pos)), "kept-places")
+    numbers = stored(every, "kept")
     scratch.drop()
-    return df.join(places, pos, "left_semi").select(*df.columns)
+    return firsts.join(numbers, "__n", "left_semi").select(*df.columns)
 
 
 def upsert_keep(existing: DataFrame, incoming: DataFrame, key: str = "job_id", pos: str = "pos") -> DataFrame:

@@ -46,7 +46,8 @@ def import_rows(listings: DataFrame, details: DataFrame | None = None,
     if details is None:
         joined = listings.drop("jd").withColumns({"detail_company": F.lit(""), "jd": F.lit("")})
     else:
-        joined = join_details(listings.drop("jd"), details, list(keys))
+        # Written first: heavy keys are counted before the join, which would read the listings' source twice.
+        joined = join_details(stored(listings.drop("jd"), "listings"), details, list(keys))
     return standardize(
         joined,
         company=X.first_present(F.col("detail_company"), F.col("boss_name")),

@@ -240,8 +240,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(rows: DataFrame, *keys: str) -> DataFrame:
-    """Deal the rows of a scan with fewer tasks than cores over all cores; a scan of many tasks stays as it is. Only for
-    narrow tables: the small ones given are a single row group, which Spark cannot split."""
+    """Deal the rows of a scan with fewer tasks than cores over all cores; a scan of as many tasks stays as it is, so a large
+    table is never moved. The small tables given are a single row group each, which Spark cannot split."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(cores, *keys) if rows.rdd.getNumPartitions() < cores else rows
 
@@ -256,7 +256,7 @@ def raw_postings(spark: SparkSession, sf_dir: str, columns: list[str] | None = N
 
 def raw_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detail records of all detail files, three snapshots per document, from one scan."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     snapshots = [f"named_struct({', '.join(f"'{c}', {e}" for c, e in detail_columns(i).items())})"
                  for i in range(len(DETAIL_TEXTS))]
     rows = documents.selectExpr("doc_id AS __doc", f"inline(array({', '.join(snapshots)}))").drop("__doc")
@@ -265,7 +265,7 @@ def raw_details(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def captured_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return rows.selectExpr(*[f"{e} AS {c}" for c, e in PAGES.items()]).withColumn("tags", F.split("tag_text", r"\|"))
 
 

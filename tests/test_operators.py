@@ -53,8 +53,10 @@ def test_greedy_dedupe_equals_the_sequential_rule(spark, seed, hot, rounds, sett
 def test_greedy_dedupe_follows_a_long_chain(spark):
     # Each row shares its id with the row before and its key with the row after.
     rows = [std_row(i, f"id{i // 2}", (i + 1) // 2) for i in range(1000)]
-    kept = D.dedupe_greedy(spark.createDataFrame(rows, STD))
-    assert sorted(r["pos"] for r in kept.collect()) == sequential(rows)
+    for settled in (10_000, 999, 100):  # as a whole, as one group, or round by round
+        kept = D.dedupe_greedy(spark.createDataFrame(rows[:300] if settled == 100 else rows, STD), settled_rows=settled,
+                               first_rounds=2 if settled > 100 else 0)
+        assert sorted(r["pos"] for r in kept.collect()) == sequential(rows[:300] if settled == 100 else rows)
 
 
 def test_a_hot_key_is_spread(spark):
