@@ -216,7 +216,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, id_co
     """
     named = F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("name")
     pieces = scratch.table(benchmark.select(named, F.col(item_text_col).cast("binary").alias("text")).mapInArrow(
-        _shard_rows(width, shard_words), "name string, n long, words binary"), "items")
+        _shard_rows(width, shard_words), "name string, n long, words binary").distinct(), "items")
     total = pieces.agg(F.sum("n").alias("n")).first()["n"] or 0
     shards = max(1, -(-2 * total // shard_words))
     rows = docs.select(F.col(id_col).cast("long").alias("row"), F.col(text_col).cast("binary").alias("text"))
@@ -284,7 +284,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, text_col: str
     """
     named = F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("name")
     pieces = scratch.table(benchmark.select(named, F.col(item_text_col).cast("binary").alias("text")).mapInArrow(
-        _shard_rows(width, shard_words), "name string, n long, words binary"), "items")
+        _shard_rows(width, shard_words), "name string, n long, words binary").distinct(), "items")
     total = pieces.agg(F.sum("n").alias("n")).first()["n"] or 0
     parts = round(1 / coverage)
     if 2 * total <= shard_words:
