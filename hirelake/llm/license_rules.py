@@ -1,7 +1,8 @@
 """Signature rules for licence texts, written for words in lower case joined by one space.
 
 Each line: label, keyword, title, address, notice, separated by ``|``; ``-`` stands for none. The keyword (a plain string
-that any match of the line's patterns contains) gates the patterns. A pattern matches whole words. For each label there is
+that any match of the line's patterns contains) gates the patterns; a pattern that need not contain it has a keyword of its
+own before ``=>``. A pattern matches whole words. For each label there is
 also a rule for its machine-readable tag, made from the label itself.
 """
 
@@ -36,12 +37,12 @@ gpl-3.0-only | gpl | gplv3(?: only)? | (?:www )?gnu org licenses gpl 3 0[a-z ]{0
 gpl-2.0-or-later | later version | general public license [a-z0-9 ]{0,80}version 2 (?:of the license )?or (?:at your option )?any later version | - | either version 2 of the license or at your option any later version
 gpl-3.0-or-later | later version | general public license [a-z0-9 ]{0,80}version 3 (?:of the license )?or (?:at your option )?any later version | - | either version 3 of the license or at your option any later version of the general public license
 lgpl-2.0 | general public | (?:gnu )?library general public license(?:(?: version)? v? ?2(?: 0)?)? | - | terms of the gnu library general public license
-lgpl-2.1 | lesser | (?:gnu )?lesser general public license(?: version)? v? ?2 1 | (?:www )?gnu org licenses (?:old licenses )?lgpl 2 1[a-z ]{0,12}lesser | version 2 1 of the (?:gnu )?lesser general public license
+lgpl-2.1 | lesser | (?:gnu )?lesser general public license(?: version)? v? ?2 1 | lgpl => (?:www )?gnu org licenses (?:old licenses )?lgpl 2 1(?: (?:txt|html|en|standalone))* | version 2 1 of the (?:gnu )?lesser general public license
 lgpl-3.0 | lesser | (?:gnu )?lesser general public license(?: version)? v? ?3(?: 0)? | (?:www )?gnu org licenses lesser[a-z ]{0,6} | version 3 of the (?:gnu )?lesser general public license
 lgpl | lgpl | (?:gnu )?lgpl(?: ?v?[23](?: [01])?)? (?:license|licence) | (?:www )?gnu org (?:licenses|copyleft) lgpl[a-z0-9 ]{0,8} | (?:licensed|released) under (?:the )?(?:gnu )?lgpl
 lesser-gpl | lesser | (?:gnu )?lesser general public license | - | terms of the (?:gnu )?lesser general public license
 agpl-1.0 | affero | affero general public license(?: version)? v? ?1(?: 0)? | (?:www )?affero org oagpl html | -
-agpl-3.0 | affero | (?:gnu )?affero general public license(?:(?: version)? v? ?3(?: 0)?)? | (?:www )?gnu org licenses agpl[a-z0-9 ]{0,8}affero | terms of the (?:gnu )?affero general public license
+agpl-3.0 | affero | (?:gnu )?affero general public license(?:(?: version)? v? ?3(?: 0)?)? | agpl => (?:www )?gnu org licenses agpl 3 0(?: (?:txt|html|en|standalone))* | terms of the (?:gnu )?affero general public license
 agpl | agpl | (?:gnu )?agpl(?: ?v?3(?: 0)?)? (?:license|licence) | (?:www )?gnu org licenses agpl[a-z0-9 ]{0,8} | (?:licensed|released) under (?:the )?(?:gnu )?agpl
 gfdl-1.1 | documentation license | (?:gnu )?free documentation license(?: version)? v? ?1 1 | - | -
 gfdl-1.2 | documentation license | (?:gnu )?free documentation license(?: version)? v? ?1 2 | - | -
@@ -57,7 +58,7 @@ edl-1.0 | eclipse | eclipse distribution license(?: version)? v? ?1 0 | (?:www )
 cddl-1.0 | common development | common development and distribution license(?:(?: version)? v? ?1 0)? | - | terms of the common development and distribution license
 cddl-1.1 | common development | common development and distribution license(?: version)? v? ?1 1 | - | -
 cddl | cddl | cddl(?: ?v?1(?: [01])?)? (?:license|licence) | (?:www )?(?:sun|opensource) (?:com|org) (?:cddl|licenses? cddl)[a-z0-9 ]{0,6} | licensed under (?:the )?cddl
-cpl-1.0 | common public | common public license(?:(?: version)? v? ?1 0)? | (?:www )?ibm com developerworks library os cpl common public | terms of the common public license
+cpl-1.0 | common public | common public license(?:(?: version)? v? ?1 0)? | ibm com developerworks => (?:www )?ibm com developerworks library os cpl(?: html)? | terms of the common public license
 ipl-1.0 | ibm public | ibm public license(?:(?: version)? v? ?1 0)? | - | terms of the ibm public license
 artistic-1.0 | artistic | (?:the )?artistic license(?: version)? v? ?1(?: 0)? | (?:www )?perlfoundation org artistic license 1 0 | -
 artistic-2.0 | artistic | (?:the )?artistic license(?: version)? v? ?2(?: 0)? | (?:www )?perlfoundation org artistic license 2 0 | terms of the artistic license
@@ -66,7 +67,7 @@ zlib | zlib | (?:the )?zlib(?: libpng)? license | (?:www )?(?:zlib net|gzip org
 libpng | libpng | (?:the )?libpng license | (?:www )?libpng org pub png src libpng license(?: txt)? | distributed (?:according to|under) (?:the )?[a-z ]{0,30}libpng
 boost-1.0 | boost | boost software license(?:(?: version)? v? ?1 0)? | (?:www )?boost org license 1 0(?: txt)? | distributed under the boost software license
 unlicense | unlicense | (?:the )?unlicense | (?:www )?unlicense org | (?:released|dedicated) [a-z ]{0,30}unlicense
-wtfpl | wtf | wtfpl(?:(?: version)? v? ?2)? | (?:www )?wtfpl net | do what the f[a-z]{1,3} you want to public license(?: wtfpl)
+wtfpl | wtf | wtfpl(?:(?: version)? v? ?2)? | (?:www )?wtfpl net | do what the f => do what the f[a-z]{1,3} you want to public license(?:(?: version)? v? ?2)?
 public-domain | public domain | public domain dedication | - | (?:released|placed|dedicated|put)(?: it| this [a-z]+)? (?:in|into|to) the public domain
 cc0-1.0 | cc0 | cc0(?:(?: version)? ?1 0)?(?: universal)?(?: license)? | creativecommons org publicdomain zero 1 0 [a-z ]{0,12}cc0 | (?:waived|dedicated|released) [a-z ]{0,40}cc0
 cc-zero | creativecommons | - | (?:www )?creativecommons org publicdomain zero 1 0 | -
@@ -110,17 +111,17 @@ afl-3.0 | academic free | academic free license(?: version)? v? ?3(?: 0)? | - |
 afl | academic free | academic free license | - | licensed under the academic free license
 ncsa | ncsa | (?:university of illinois )?ncsa open source license | (?:www )?otm illinois edu [a-z ]{0,20}ncsa[a-z ]{0,10} | licensed under the [a-z ]{0,30}ncsa
 illinois-ncsa | university of illinois | university of illinois open source license | - | terms of the university of illinois open source license
-python-2.0 | python | python software foundation license(?:(?: version)? v? ?2(?: 0)?)? | (?:www )?python org (?:psf license|[a-z0-9 ]{0,12}license) | licensed to (?:the )?psf under a contributor agreement [a-z ]{0,30}python
-psf | psf | psf license(?: agreement)? | docs python org [a-z0-9 ]{0,6}license[a-z ]{0,6} psf | licensed under (?:the )?psf
-cnri-python | cnri | cnri (?:python )?(?:open source )?license(?: agreement)? | (?:www )?python org [a-z0-9 ]{0,20}cnri[a-z ]{0,10} | corporation for national research initiatives [a-z ]{0,10}cnri
+python-2.0 | python | python software foundation license(?:(?: version)? v? ?2(?: 0)?)? | (?:www )?python org (?:psf license|[a-z0-9 ]{0,12}license) | licensed to => licensed to (?:the )?psf under a contributor agreement
+psf | psf | psf license(?: agreement)? | docs python org => docs python org (?:[23] )?license(?: html)? | licensed under (?:the )?psf
+cnri-python | cnri | cnri (?:python )?(?:open source )?license(?: agreement)? | (?:www )?python org [a-z0-9 ]{0,20}cnri[a-z ]{0,10} | corporation for national => corporation for national research initiatives
 ruby | ruby | (?:the )?ruby license | (?:www )?ruby lang org [a-z ]{0,12}license[a-z ]{0,6} | same terms as ruby(?: itself)?
 perl | perl | (?:the )?perl license | dev perl org licenses? | same terms as (?:the )?perl(?: 5)?(?: itself| programming language)?
 php-3.01 | php | php license(?: version)? v? ?3 01 | (?:www )?php net license 3 01(?: txt)? | subject to version 3 01 of the php license
 php-3.0 | php | php license(?: version)? v? ?3 0 | (?:www )?php net license 3 0(?: txt)? | subject to version 3 0 of the php license
 zend-2.0 | zend | zend(?: engine)? license(?:(?: version)? v? ?2(?: 0)?)? | (?:www )?zend com license 2 00(?: txt)? | subject to version 2 00 of the zend license
 openssl | openssl | (?:the )?openssl license | (?:www )?openssl org source license(?: html)? | developed by the openssl project
-ssleay | ssleay | (?:original )?ssleay license | - | cryptographic software written by eric young [a-z0-9 ]{0,60}ssleay
-w3c | w3c | w3c(?: software)?(?: notice and)? license | (?:www )?w3 org consortium legal [a-z0-9 ]{0,30}w3c | licensed under (?:the )?w3c
+ssleay | ssleay | (?:original )?ssleay license | - | eric young => cryptographic software written by eric young(?: eay cryptsoft com)?
+w3c | w3c | w3c(?: software)?(?: notice and)? license | w3 org => (?:www )?w3 org consortium legal(?: [0-9]{4})? copyright software(?: [0-9]{8}| and document)?(?: html)? | licensed under (?:the )?w3c
 unicode | unicode | unicode (?:inc )?license(?: agreement)? | (?:www )?unicode org (?:copyright|license)(?: html| txt)? | distributed under the (?:terms of use in )?[a-z ]{0,20}unicode
 icu | icu | icu license(?: icu 1 8 1 and later)? | source icu project org [a-z ]{0,20}license[a-z ]{0,6} | licensed under (?:the )?icu
 ofl-1.1 | open font | sil open font license(?:(?: version)? v? ?1 1)? | scripts sil org ofl [a-z ]{0,10}open font | licensed under the sil open font license
@@ -129,7 +130,7 @@ lppl-1.3c | latex project | latex project public license(?: version)? v? ?1 3c?
 lppl | lppl | lppl(?: ?1 [0-3][abc]?)? (?:license|licence) | - | licensed under (?:the )?lppl
 postgresql | postgresql | (?:the )?postgresql license | (?:www )?postgresql org about licen[cs]e | licensed under (?:the )?postgresql
 ftl | freetype | freetype (?:project )?license | (?:www )?freetype org [a-z ]{0,12}license[a-z ]{0,6} | portions of this software are copyright [a-z0-9 ]{0,20}the freetype project
-ijg | jpeg | independent jpeg group(?: s)? license | (?:www )?ijg org [a-z ]{0,20}jpeg[a-z ]{0,10} | based in part on the work of the independent jpeg group
+ijg | jpeg | independent jpeg group(?: s)? license | ijg org => (?:www )?ijg org | based in part on the work of the independent jpeg group
 curl | curl | (?:the )?curl license | curl (?:haxx )?se docs copyright(?: html)? | licensed under (?:the )?curl
 vim | vim | (?:the )?vim license | (?:www )?vim org [a-z ]{0,12}license[a-z ]{0,6} | distributed under the vim license
 upl-1.0 | universal permissive | universal permissive license(?:(?: version)? v? ?1 0)? | - | licensed under the universal permissive license
@@ -142,15 +143,15 @@ sleepycat | sleepycat | (?:the )?sleepycat(?: public)? license | - | copyright [
 sissl | sun industry standards | sun industry standards source license(?:(?: version)? v? ?1 [12])? | - | -
 nokia | nokia | nokia open source license | - | -
 watcom-1.0 | watcom | (?:sybase )?open watcom public license(?: 1 0)? | - | -
-bsl-1.1 | business source | business source license(?:(?: version)? v? ?1 1)? | (?:www )?mariadb com bsl11 [a-z ]{0,20}business source | licensed under the business source license
+bsl-1.1 | business source | business source license(?:(?: version)? v? ?1 1)? | bsl11 => (?:www )?mariadb com bsl11 | licensed under the business source license
 sspl-1.0 | server side public | server side public license(?:(?: version)? v? ?1)? | - | licensed under the server side public license
 elastic-2.0 | elastic | elastic license(?:(?: version)? v? ?2(?: 0)?)? | (?:www )?elastic co licensing elastic license | licensed under the elastic license
 commons-clause | commons clause | commons clause(?: license condition)?(?: v1 0)? | - | -
-polyform-nc | polyform | polyform (?:noncommercial|small business|strict) license(?: 1 0 0)? | (?:www )?polyformproject org licenses [a-z0-9 ]{0,20} polyform | licensed under (?:the )?polyform
+polyform-nc | polyform | polyform (?:noncommercial|small business|strict) license(?: 1 0 0)? | polyformproject => (?:www )?polyformproject org licenses (?:noncommercial|small business|strict)(?: 1 0 0)? | licensed under (?:the )?polyform
 mulan-2.0 | mulan | mulan (?:psl|permissive software license)(?: v?2)? | license coscl org cn mulanpsl2? | licensed under (?:the )?mulan psl
-hippocratic | hippocratic | hippocratic license(?: [1-3] [01])? | firstdonoharm dev [a-z ]{0,10}hippocratic | -
+hippocratic | hippocratic | hippocratic license(?: [1-3] [01])? | firstdonoharm => firstdonoharm dev | -
 openrail | openrail | (?:creativeml |bigscience |bigcode )?openrail(?: [mds])? license | - | licensed under (?:the )?[a-z ]{0,20}openrail
-proprietary | proprietary | proprietary and confidential | - | unauthorized copying of this file [a-z ]{0,60}proprietary
+proprietary | proprietary | proprietary and confidential | - | unauthorized copying => unauthorized copying of this file
 all-rights | rights reserved | all rights reserved | - | (?:c|copyright) (?:19|20)[0-9]{2} [a-z ]{0,40}all rights reserved
 mit-text | permission is hereby | - | - | permission is hereby granted free of charge to any person obtaining a copy
 isc-text | permission to use | - | - | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
@@ -192,7 +193,8 @@ def rules(lines: str = LINES) -> list[Rule]:
         made.append((label, "tag", "spdx license identifier", f"spdx license identifier {words_of(label)}"))
         for kind, pattern in zip(("title", "address", "notice"), patterns, strict=True):
             if pattern != "-":
-                made.append((label, kind, keyword, pattern))
+                own, _, rest = pattern.rpartition(" => ")
+                made.append((label, kind, own or keyword, rest))
     made.append(("other", "generic", "licen", r"licen[cs]ed? (?:under|by|to) [a-z0-9 ]{1,20}licen[cs]e"))
     made.append(("other", "generic", "spdx license identifier", "spdx license identifier [a-z0-9]+"))
     return [
