@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.llm import chat, decontaminate, langid, licenses, neardup, packing, sharding, simhash, substring, warc
+from hirelake.llm import chat, decontaminate, langid, licenses, merkle, neardup, packing, sharding, simhash, substring, warc
 from hirelake.session import Scratch, shared_path, stored
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -243,3 +243,83 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard")), "sharding-result")
     scratch.drop()
     return result
+
+
+@_query(r"""
+WITH RECURSIVE rows AS (
+  SELECT doc_id, source, text,
+    sha256(concat(coalesce(concat(octet_length(encode(doc_id::VARCHAR)), ':', doc_id), '-'),
+      coalesce(concat(octet_length(encode(source)), ':', source), '-'),
+      coalesce(concat(octet_length(encode(lang)), ':', lang), '-'),
+      coalesce(concat(octet_length(encode(n_chars::VARCHAR)), ':', n_chars), '-'),
+      coalesce(concat(octet_length(encode(text)), ':', text), '-'))) AS leaf,
+    sha256(concat(coalesce(concat(octet_length(encode(doc_id::VARCHAR)), ':', doc_id), '-'),
+      coalesce(concat(octet_length(encode(source)), ':', source), '-'),
+      coalesce(concat(octet_length(encode(lang)), ':', lang), '-'),
+      coalesce(concat(octet_length(encode(n_chars::VARCHAR)), ':', n_chars), '-'),
+      coalesce(concat(octet_length(encode(replace(text, chr(10), ''))), ':', replace(text, chr(10), '')), '-'))) AS cut,
+    xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+      lambda c, b: list_reduce(list_concat([xor(c, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+        lambda y, z: xor(y >> 1, 3988292384::BIGINT * (y & 1)))), 4294967295::BIGINT) AS crc
+  FROM documents
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM rows
+), lower AS (
+  SELECT source, 0 AS level, place AS i, leaf AS h, count(*) OVER (PARTITION BY source) AS n FROM leaves
+  UNION ALL
+  SELECT source, level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), any_value((n + 2) // 3)
+  FROM lower WHERE n > 1 GROUP BY source, level, i // 3
+), subroots AS (
+  SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS s FROM lower WHERE n = 1
+), upper AS (
+  SELECT 0 AS level, s AS i, subroot AS h, count(*) OVER () AS n FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), any_value((n + 2) // 3)
+  FROM upper WHERE n > 1 GROUP BY level, i // 3
+), lower_sides AS (
+  SELECT x.source, x.level, x.i, coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (y.i < x.i), '') AS l,
+    coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (y.i > x.i), '') AS r
+  FROM lower x JOIN lower y ON x.source IS NOT DISTINCT FROM y.source AND x.level = y.level AND x.i // 3 = y.i // 3
+  WHERE x.n > 1 GROUP BY ALL
+), upper_sides AS (
+  SELECT x.level, x.i, coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (y.i < x.i), '') AS l,
+    coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (y.i > x.i), '') AS r
+  FROM upper x JOIN upper y ON x.level = y.level AND x.i // 3 = y.i // 3
+  WHERE x.n > 1 GROUP BY ALL
+), ways AS (
+  SELECT leaves.source, place, 0 AS part, level, l, r FROM leaves JOIN lower_sides d
+    ON leaves.source IS NOT DISTINCT FROM d.source AND d.i = place // (3 ** level)::BIGINT
+  UNION ALL
+  SELECT leaves.source, place, 1, level, l, r FROM leaves JOIN subroots
+    ON leaves.source IS NOT DISTINCT FROM subroots.source JOIN upper_sides d ON d.i = s // (3 ** level)::BIGINT
+), proofs AS (
+  SELECT source, place, list({'l': l, 'r': r, 'a': ''} ORDER BY part, level) AS p FROM ways GROUP BY source, place
+), told AS (
+  SELECT doc_id, leaf, subroot, (SELECT h FROM upper WHERE n = 1) AS root, coalesce(p, []) AS p,
+    CASE WHEN crc % 2 = 0 THEN cut ELSE leaf END AS start
+  FROM leaves JOIN subroots ON leaves.source IS NOT DISTINCT FROM subroots.source
+    LEFT JOIN proofs ON leaves.source IS NOT DISTINCT FROM proofs.source AND leaves.place = proofs.place
+), folded AS (
+  SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(p, lambda x: x.l || x.r), '')) AS proof_sha256,
+    list_reduce(list_concat([{'l': '', 'r': '', 'a': start}], p),
+      lambda x, y: {'l': '', 'r': '', 'a': sha256(y.l || x.a || y.r)}).a AS folded_root
+  FROM told
+)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded
+""")
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "merkle")
+    docs = _table(spark, sf_dir, "documents")
+    text = F.col("text")
+    rest = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    chosen = (F.crc32(F.col("doc_id").cast("string")) % 2 == 0) & text.contains("\n")
+    cut = merkle.leaf([*rest, F.replace(text, F.lit("\n"), F.lit(""))])
+    leaves = docs.select("doc_id", "source", merkle.leaf([*rest, text]).alias("leaf"),
+                         F.when(chosen, F.unhex(cut)).alias("tampered"))
+    found = merkle.manifest(leaves, scratch, ["doc_id", "tampered"])
+    start = F.coalesce(F.lower(F.hex("kept.tampered")), "leaf")
+    folded = found.select("kept.doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")), 256)
+                          .alias("proof_sha256"), merkle.fold(start, F.col("proof")).alias("folded_root"))
+    result = stored(folded.withColumn("verified", F.col("folded_root") == F.col("root")), "merkle-result")
+    scratch.drop()
+    return result
