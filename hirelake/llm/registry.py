@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.llm import chat, decontaminate, langid, licenses, merkle, neardup, packing, sharding, simhash, substring, warc
+from hirelake.llm import chat, decontaminate, langid, licenses, lm, merkle, neardup, packing, sharding, simhash, substring, warc, whitening
 from hirelake.session import Scratch, shared_path, stored
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -323,3 +323,26 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = stored(folded.withColumn("verified", F.col("folded_root") == F.col("root")), "merkle-result")
     scratch.drop()
     return result
+
+
+@_query()
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    model = whitening.fit(rows)
+    found = whitening.whiten(rows, model, ["vec_id"])
+    return found.select(
+        "vec_id", "component", F.lit(model.n if model else None).cast("long").alias("n"), "deviation", "whitened", "explained",
+        F.lit(model.identity_error if model else None).cast("double").alias("identity_error"))
+
+
+@_query()
+def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row without an id is neither learnt from nor held out."""
+    scratch = Scratch(spark, "lm")
+    held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    docs = _table(spark, sf_dir, "documents").withColumns({"held_out": F.coalesce(held, F.lit(False)), "learn": ~held})
+    found, model = lm.score(docs, scratch, ["doc_id", "held_out"], "learn")
+    result = stored(found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long")
+                                 .alias("train_tokens"), "base_score", "score"), "lm-result")
+    scratch.drop()
+    return result
