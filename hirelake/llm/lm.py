@@ -9,7 +9,7 @@ Texts become table rows of token numbers once (``CHUNK_BYTES`` of text each, wri
    vector of the next token as the weighted sum of the vectors of the ``context`` tokens before it. It is trained on all learnable
    tokens, once: in each of ``ROUNDS`` rounds every task goes on from the common weights with its share of the tokens, and Spark
    averages what the tasks return, weighted by their tokens. Only weights, whose size does not depend on the data, are told.
-3. Each chunk is scored by matrix products over batches of tokens, normalised over all outcomes. A word of the class of other words
+3. Each chunk is scored by matrix products over batches of its contexts, normalised over all outcomes. A word of the class of other words
    has the class's probability times its own share ``(c + 1) / (N' + V' + 1)`` in the class, with the counts and the number of
    the words in it; one word of the class stands for all that were never seen. So probabilities add up to one.
 """
@@ -31,8 +31,8 @@ from hirelake.llm.columns import free
 from hirelake.llm.words import BYTE_VALUES, SEGMENT_BYTES, _power_tables, mix
 from hirelake.session import Scratch
 
-WORDS, SIZE, CONTEXT = 1024, 32, 3
-ROUNDS, BATCH, NOISE, RATE = 4, 512, 64, 0.1
+WORDS, SIZE, CONTEXT = 1022, 24, 2
+ROUNDS, BATCH, NOISE, RATE = 4, 1024, 128, 0.1
 CHUNK_BYTES = 6 << 20
 # Chunks that one task works on; there are as many copies of the weights under way as tasks.
 CHUNKS_PER_TASK = 4
@@ -182,14 +182,17 @@ def contexts(ids: np.ndarray, place: np.ndarray, width: int, start: int) -> np.n
 
 def _add(total: np.ndarray, sums: np.ndarray, at: np.ndarray, change: np.ndarray, rate: float) -> None:
     """A step of adaptive gradient ascent (one rate per row) with the summed gradients of equal rows."""
-    order = np.argsort(at, kind="stable")
+    order = np.argsort(at, kind="stable")  # 16-bit numbers are sorted by radix
     rows = at[order]
     first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    step, rows = np.add.reduceat(change[order], first, axis=0), rows[first]
-    square = (step * step).reshape(len(rows), -1).mean(axis=1)
-    sums[rows] += square
-    scale = rate / np.sqrt(sums[rows] + 1e-6)
-    total[rows] += step * (scale[:, None] if step.ndim > 1 else scale)
+    _step(total, sums, rows[first], np.add.reduceat(change[order], first, axis=0), rate)
+
+
+def _step(total: np.ndarray, sums: np.ndarray, rows: np.ndarray | slice, step: np.ndarray, rate: float) -> None:
+    square = step * step
+    sums[rows] += square if step.ndim == 1 else square.mean(axis=1)
+    scale = rate / np.sqrt(sums[rows] + np.float32(1e-6))
+    total[rows] += step * scale if step.ndim == 1 else step * scale[:, None]
 
 
 def train(model: Model, targets: np.ndarray, before: np.ndarray, seed: int, batch: int = BATCH, noise: int = NOISE,
@@ -197,52 +200,79 @@ def train(model: Model, targets: np.ndarray, before: np.ndarray, seed: int, batc
     """One pass over the tokens in random order; changes ``model.weights``. Each batch is told from ``noise`` shared samples of
     the outcomes' shares."""
     draw, p = np.random.default_rng([SEED, seed]), model.parts()
+    kind = np.uint16 if len(model.share) < 1 << 16 else np.int32
     ladder, likely = np.cumsum(model.share), (np.log(model.share) + np.log(noise)).astype(np.float32)
     order = draw.permutation(len(targets))
+    targets, before = targets[order].astype(kind), before[order].astype(kind)
     for at in range(0, len(order), batch):
-        own = order[at:at + batch]
-        t, c = targets[own], before[own]
-        sample = np.minimum(np.searchsorted(ladder, draw.random(noise)), len(ladder) - 1)
-        vectors = p["vector"][c]
-        hidden = np.einsum("bkd,kd->bd", vectors, p["mixing"])
+        t, c = targets[at:at + batch], before[at:at + batch]
+        sample = np.minimum(np.searchsorted(ladder, draw.random(noise)), len(ladder) - 1).astype(kind)
+        vectors = [p["vector"][c[:, k]] for k in range(model.context)]
+        hidden = vectors[0] * p["mixing"][0]
+        for k in range(1, model.context):
+            hidden += vectors[k] * p["mixing"][k]
         true, false = p["target"][t], p["target"][sample]
-        real = 1 / (1 + np.exp(np.clip((hidden * true).sum(axis=1) + p["bias"][t] - likely[t], -30, 30)))
-        guess = -1 / (1 + np.exp(-np.clip(hidden @ false.T + (p["bias"][sample] - likely[sample]), -30, 30)))
-        change = real[:, None] * true + guess @ false
-        _add(p["target"], p["target_sum"], np.concatenate([t, sample]),
-             np.concatenate([real[:, None] * hidden, guess.T @ hidden]), rate)
-        _add(p["bias"], p["bias_sum"], np.concatenate([t, sample]), np.concatenate([real, guess.sum(axis=0)]), rate)
-        turned = np.einsum("bkd,bd->kd", vectors, change)
-        spread = change[:, None, :] * p["mixing"]
-        _add(p["vector"], p["vector_sum"], c.ravel(), spread.reshape(-1, model.size), rate)
-        _add(p["mixing"], p["mixing_sum"], np.arange(model.context), turned, rate)
+        real = np.einsum("bd,bd->b", hidden, true)
+        real += p["bias"][t] - likely[t]
+        real = 1 / (1 + np.exp(np.clip(real, -30, 30)))
+        guess = hidden @ false.T
+        guess += p["bias"][sample] - likely[sample]
+        guess = -1 / (1 + np.exp(-np.clip(guess, -30, 30, out=guess)))
+        change = guess @ false
+        change += real[:, None] * true
+        both = np.concatenate([t, sample])
+        _add(p["target"], p["target_sum"], both, np.concatenate([real[:, None] * hidden, guess.T @ hidden]), rate)
+        # The bias of a frequent outcome has many gradients: they are counted, not sorted.
+        slope = np.bincount(both, np.concatenate([real, guess.sum(axis=0)]), len(model.share)).astype(np.float32)
+        _step(p["bias"], p["bias_sum"], slice(None), slope, rate)
+        turned = np.stack([np.einsum("bd,bd->d", v, change) for v in vectors])
+        spread = np.concatenate([change * m for m in p["mixing"]])
+        _add(p["vector"], p["vector_sum"], c.T.ravel(), spread, rate)
+        _step(p["mixing"], p["mixing_sum"], slice(None), turned, rate)
 
 
 def log_probabilities(model: Model, targets: np.ndarray, before: np.ndarray, rows: int = ROWS) -> np.ndarray:
-    """Natural logarithm of each target's probability, normalised over all outcomes."""
-    p, made = model.parts(), np.empty(len(targets))
-    table, bias = np.ascontiguousarray(p["target"].T), p["bias"]
-    mixed = [p["vector"] * m for m in p["mixing"]]
-    for at in range(0, len(targets), rows):
-        t, c = targets[at:at + rows], before[at:at + rows]
-        hidden = mixed[0][c[:, 0]]
-        for k in range(1, model.context):
-            hidden = hidden + mixed[k][c[:, k]]
-        scores = hidden @ table
+    """Natural logarithm of each target's probability, normalised over all outcomes. Tokens with the same context share its sum."""
+    p, base = model.parts(), len(model.share) + 1
+    key = np.zeros(len(targets), dtype=np.int64)
+    for k in range(model.context):  # contexts that do not fit into a number are told apart by a hash-free renumbering
+        key = key * base + before[:, k]
+        if k + 1 < model.context and base ** (k + 2) > 1 << 62:
+            key = np.unique(key, return_inverse=True)[1]
+    _, first, which = np.unique(key, return_index=True, return_inverse=True)
+    own = before[first]
+    hidden = p["vector"][own[:, 0]] * p["mixing"][0]
+    for k in range(1, model.context):
+        hidden += p["vector"][own[:, k]] * p["mixing"][k]
+    table, bias, ones = np.ascontiguousarray(p["target"].T), p["bias"], np.ones(len(model.share), dtype=np.float32)
+    total = np.empty(len(own))
+    for at in range(0, len(own), rows):
+        scores = hidden[at:at + rows] @ table
         scores += bias
-        chosen = scores[np.arange(len(t)), t].astype(float)
-        most = scores.max(axis=1)
-        scores -= most[:, None]
-        np.exp(scores, out=scores)
-        made[at:at + rows] = chosen - most - np.log(scores.sum(axis=1, dtype=np.float32))
+        with np.errstate(over="ignore"):
+            total[at:at + rows] = np.log((np.exp(scores) @ ones).astype(float))
+        if not np.isfinite(total[at:at + rows]).all():
+            most = scores.max(axis=1).astype(float)
+            total[at:at + rows] = most + np.log(np.exp(scores - most[:, None]).sum(axis=1))
+    made = np.empty(len(targets))
+    for at in range(0, len(targets), 1 << 16):
+        t, w = targets[at:at + (1 << 16)], which[at:at + (1 << 16)]
+        made[at:at + len(t)] = np.einsum("bd,bd->b", hidden[w], p["target"][t]).astype(float) + bias[t] - total[w]
     return made
 
 
+def _chunks(table: pa.Table | pa.RecordBatch) -> Iterator[dict]:
+    """Rows of chunks; the words stay an array."""
+    for k in range(table.num_rows):
+        yield {name: table.column(name)[k].values.to_numpy() if name == "words" else table.column(name)[k].as_py()
+               for name in table.schema.names}
+
+
 class _Tokens:
     """The tokens of one chunk as outcomes of the model."""
 
     def __init__(self, row, model: Model):
-        self.words = np.asarray(row["words"], dtype=np.int64).view(np.uint64)
+        self.words = row["words"].view(np.uint64)
         self.lengths = np.frombuffer(row["lengths"], dtype=np.int64)
         self.learn = np.frombuffer(row["learn"], dtype=bool)
         self.body = _unpacked(row["body"], np.uint32)
@@ -265,7 +295,7 @@ def _train_round(model: Model, number: int, rounds: int):
         model.weights = model.weights.copy()
         done = 0
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _chunks(batch):
                 tokens = _Tokens(row, model)
                 chosen = tokens.learn & (np.arange(len(tokens.learn)) % rounds == number)
                 own = np.flatnonzero(np.repeat(chosen, tokens.lengths))
@@ -295,7 +325,7 @@ def _score(model: Model, names: tuple[str, ...]):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         made = []
         at, found = right["at"].to_numpy(), right["total"].to_numpy()
-        for row in left.to_pylist():
+        for row in _chunks(left):
             tokens = _Tokens(row, model)
             counts = np.zeros(len(tokens.words) + 1)
             counts[at] = found
