@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,54 +10,21 @@ from pyspark.sql import functions as F
 from hirelake import fixed_values as V
 from hirelake import schema as S
 from hirelake.functions import text as X
+from hirelake.sources.csv_split import read_split
 
 
 class NoUsableRows(Exception):
     """A user's file has no row with a title and a salary."""
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str | None = None, multi_line: bool = True) -> DataFrame:
-    """Posting CSV with every column as text and ``pos`` as the row's place.
+def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """Posting CSV with every column as text and ``pos`` as the row's place; see :func:`hirelake.sources.csv_split.read_split`.
 
-    Each file is UTF-8, with or without byte-order mark, or GB18030 if it is not valid UTF-8; the latter needs
-    ``spark.sql.legacy.javaCharsets=true`` in the session. Finding out reads the files once more; give ``encoding`` to save
-    that. ``multi_line=False`` lets Spark split large files; use it when no cell holds a line break.
+    Each file is UTF-8, with or without byte-order mark, or GB18030 if it is not valid UTF-8; ``encoding`` settles it for all.
     """
-    groups = [([path], encoding)] if encoding else _encodings(spark, path)
-    rows = None
-    for paths, name in groups:
-        part = _read_csv(spark, paths, name, multi_line)
-        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
-    return rows
-
-
-def _read_csv(spark: SparkSession, paths: list[str], encoding: str, multi_line: bool) -> DataFrame:
-    reader = (
-        spark.read.option("header", True).option("encoding", encoding).option("multiLine", multi_line)
-        .option("escape", '"')
-    )
-    rows = reader.csv(paths)
-    cells = [
-        F.when(~F.col(f"`{c}`").isin(V.MISSING_CELLS), F.col(f"`{c}`")).alias(c) for c in rows.columns
-    ]
-    place = F.struct(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row"),  # grows inside a block
-    )
-    return rows.select(*cells, place.alias("pos"))
-
-
-def _encodings(spark: SparkSession, path: str) -> list[tuple[list[str], str]]:
-    """Paths by encoding. Lines are tested where they lie; a flag per file comes back."""
-    tested = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("path")).agg(
-        F.bool_and(F.is_valid_utf8("value")).alias("valid"))
-    files = [(unquote(row["path"]), row["valid"]) for row in tested.collect()]  # file paths are URIs
-    other = sorted(name for name, valid in files if not valid)
-    if not other:
-        return [([path], "UTF-8")]
-    plain = sorted(name for name, valid in files if valid)
-    return [*([(plain, "UTF-8")] if plain else []), (other, "GB18030")]
+    rows = read_split(spark, path, encoding)
+    cells = [F.when(~F.col(f"`{c}`").isin(V.MISSING_CELLS), F.col(f"`{c}`")).alias(c) for c in rows.columns if c != "pos"]
+    return rows.select(*cells, "pos")
 
 
 def write_csv(rows: DataFrame, path: str, columns: list[str], order: str | None = None) -> None:
@@ -113,18 +79,22 @@ def filter_codes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "domain string, domain_name string, label string, code string")
 
 
-def publish(rows: DataFrame, root: str, name: str) -> str:
-    """Write a new version of a table and return its path.
+def publish(rows: DataFrame, root: str, name: str, options: dict[str, object] | None = None) -> str:
+    """Write a new version of a table, with options of the Parquet writer, and return its path.
 
     Earlier versions stay, so a table may be computed from its own previous version; readers get the version they were
     given until :func:`latest` names the new one. A version counts once Spark has committed it.
     """
-    spark = rows.sparkSession
+    path = version_path(rows.sparkSession, root, name)
+    rows.write.mode("errorifexists").options(**(options or {})).parquet(path)
+    return path
+
+
+def version_path(spark: SparkSession, root: str, name: str) -> str:
+    """Where the next version of a table goes."""
     last = latest(spark, root, name)
     number = int(last.rsplit("/v", 1)[1].split("-")[0]) + 1 if last else 1
-    path = f"{root}/{name}/v{number:08d}-{uuid.uuid4().hex[:8]}"
-    rows.write.mode("errorifexists").parquet(path)
-    return path
+    return f"{root}/{name}/v{number:08d}-{uuid.uuid4().hex[:8]}"
 
 
 def latest(spark: SparkSession, root: str, name: str) -> str | None:

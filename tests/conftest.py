@@ -17,7 +17,6 @@ def spark():
         .config("spark.driver.memory", "6g")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.legacy.javaCharsets", "true")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
