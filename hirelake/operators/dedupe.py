@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from hirelake import fixed_values as V
 from hirelake.operators.components import components
 from hirelake.operators.ranking import number_rows
-from hirelake.operators.skew import HOT_ROWS, hot_keys, salted_left_join
+from hirelake.operators.skew import HOT_ROWS, hot_keys, hot_of, salted_left_join
 from hirelake.session import Scratch, stored
 
 # Rounds before what is left is cut into connected groups.
@@ -111,11 +111,12 @@ def dedupe_greedy(df: DataFrame, row_id: str = "job_id", keys: list[str] = V.BUS
     named = df.withColumn("__own", F.nullif(F.col(row_id), F.lit("")))
     firsts = number_rows(first_per_key(named, ["__own", *keys], pos), [pos], "__n")
     facts = firsts.select("__n", "__own", F.struct(*keys).alias("__key"))
-    by_id = facts.filter(F.col("__own").isNotNull()).groupBy("__own").agg(F.min("__n").alias("__i"))
-    by_key = facts.groupBy("__key").agg(F.min("__n").alias("__k"))
-    hot_ids, hot = hot_keys(facts, ["__own"], hot_rows), hot_keys(facts, ["__key"], hot_rows)
-    with_id = salted_left_join(facts, by_id, ["__own"], ["__n"], hot_ids)
-    with_key = salted_left_join(with_id, by_key, ["__key"], ["__n"], hot)
+    size = F.count(F.lit(1)).alias("n")
+    by_id = scratch.table(facts.groupBy("__own").agg(F.min("__n").alias("__i"), size), "by_id")
+    by_key = scratch.table(facts.groupBy("__key").agg(F.min("__n").alias("__k"), size), "by_key")
+    hot_ids, hot = hot_of(by_id, ["__own"], "n", hot_rows), hot_of(by_key, ["__key"], "n", hot_rows)
+    with_id = salted_left_join(facts, by_id.filter(F.col("__own").isNotNull()).drop("n"), ["__own"], ["__n"], hot_ids)
+    with_key = salted_left_join(with_id, by_key.drop("n"), ["__key"], ["__n"], hot)
     undecided = scratch.table(with_key.select("__n", "__i", "__k"), "undecided")
     # The same groups by number. They only shrink from round to round, so the heavy ones are looked up once.
     hot_ids = None if hot_ids is None else hot_keys(undecided, ["__i"], hot_rows)

@@ -15,9 +15,17 @@ def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFr
 
     The counts are combined on the map side. There are at most (rows / ``hot_rows``) hot keys, a few bytes each.
     """
-    counts = df.groupBy(F.xxhash64(*keys).alias("__h")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= hot_rows)
-    found = [(r["__h"], -(-r["n"] // hot_rows)) for r in counts.collect()]
-    return df.sparkSession.createDataFrame(found, "__h long, __salts long") if found else None
+    return _told(df.groupBy(F.xxhash64(*keys).alias("__h")).agg(F.count(F.lit(1)).alias("n")), hot_rows)
+
+
+def hot_of(counts: DataFrame, keys: list[str], rows: str, hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """The same from a table that has the number of rows of each key."""
+    return _told(counts.select(F.xxhash64(*keys).alias("__h"), F.col(rows).alias("n")), hot_rows)
+
+
+def _told(counts: DataFrame, hot_rows: int) -> DataFrame | None:
+    found = [(r["__h"], -(-r["n"] // hot_rows)) for r in counts.filter(F.col("n") >= hot_rows).collect()]
+    return counts.sparkSession.createDataFrame(found, "__h long, __salts long") if found else None
 
 
 def salted_left_join(left: DataFrame, right: DataFrame, keys: list[str], spread_by: list[str],

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hirelake import fixed_values as V
@@ -10,7 +10,6 @@ from hirelake.functions.text import text_of
 from hirelake.functions.salary import has_salary
 from hirelake.operators.merge import best_snapshots, with_id
 from hirelake.operators.ranking import counts_by_dimension, top_per_group, value_counts
-from hirelake.operators.skew import HOT_ROWS, hot_keys, salted_left_join
 
 
 def percent(part: Column, whole: Column, digits: int = 1) -> Column:
@@ -93,32 +92,6 @@ def merge_distributions(rows: DataFrame) -> DataFrame:
     return totals.unionByName(counts.select(F.col("dim").alias("section"), "name", F.col("value").cast("double").alias("value")))
 
 
-def described_ids(*sources: DataFrame) -> DataFrame:
-    """Distinct ids with a description in any source (``job_id, jd``). Only ids are moved, no texts."""
-    every = None
-    for source in sources:
-        ids = with_id(source.select("job_id", (text_of(F.col("jd")) != "").alias("described")).filter("described"))
-        every = ids.select("job_id") if every is None else every.unionByName(ids.select("job_id"))
-    return every.distinct()
-
-
-def consolidation_manifest(source_files: int, listings: DataFrame, records: DataFrame, standard: DataFrame,
-                           final: DataFrame, described: DataFrame) -> DataFrame:
-    """One row: files, raw rows with id, distinct ids, standard rows after the key pass, all ids with a description (also
-    those that only detail files have; ``described``), and priced rows with a description before the key pass."""
-    raw = with_id(listings).agg(F.count(F.lit(1)).alias("raw_records"))
-    priced = standard.agg(F.count_if(F.col("jd") != "").alias("rows_with_jd"))
-
-    def size(rows: DataFrame) -> Column:
-        return rows.agg(F.count(F.lit(1)).alias("n")).scalar()
-
-    return raw.select(
-        F.lit(source_files).cast("bigint").alias("source_files"), "raw_records",
-        size(records).alias("unique_jobs"), size(final).alias("valid_rows"), size(described).alias("jobs_with_jd"),
-        priced.scalar().alias("rows_with_jd"),
-    )
-
-
 def duplicate_profile(listings: DataFrame) -> DataFrame:
     """One row: postings, those without id, distinct ids, distinct four-field keys, those without a salary."""
     job_id = text_of(F.col("job_id"))
@@ -144,15 +117,18 @@ def repeat_histogram(listings: DataFrame, limit: int = 12) -> DataFrame:
     return per_id.groupBy("times").agg(F.count(F.lit(1)).alias("ids")).orderBy("times").limit(limit)
 
 
-def field_drift(listings: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``field, rows``: rows of repeated ids whose value differs from the id's first snapshot."""
-    rows = with_id(listings).select("job_id", "pos", *[text_of(F.col(c)).alias(c) for c in V.DRIFT_FIELDS])
-    first = rows.groupBy("job_id").agg(
-        F.min_by(F.struct(*V.DRIFT_FIELDS), F.col("pos")).alias("first"), F.count(F.lit(1)).alias("n")
-    ).filter(F.col("n") > 1).drop("n")
-    compared = salted_left_join(rows, first, ["job_id"], ["pos"], hot_keys(rows, ["job_id"], hot_rows))
-    totals = compared.agg(*[F.count_if(F.col(c) != F.col(f"first.{c}")).alias(c) for c in V.DRIFT_FIELDS])
-    entries = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("rows")) for c in V.DRIFT_FIELDS])
+def field_drift(listings: DataFrame) -> DataFrame:
+    """``field, rows``: rows of repeated ids whose value differs from the id's first snapshot.
+
+    Rows shrink to the distinct versions of each id first, so an id with very many snapshots costs its versions only.
+    """
+    fields = V.DRIFT_FIELDS
+    versions = with_id(listings).select("job_id", "pos", *[text_of(F.col(c)).alias(c) for c in fields]).groupBy(
+        "job_id", *fields).agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos"))
+    first = F.first(F.struct(*fields)).over(Window.partitionBy("job_id").orderBy("pos"))
+    compared = versions.select("n", *fields, first.alias("first"))
+    totals = compared.agg(*[F.sum(F.when(F.col(c) != F.col(f"first.{c}"), F.col("n"))).alias(c) for c in fields])
+    entries = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("rows")) for c in fields])
     return totals.select(F.inline(entries)).filter(F.col("rows") > 0).orderBy(F.desc("rows"), "field")
 
 

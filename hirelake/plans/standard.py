@@ -10,9 +10,8 @@ from hirelake.functions import labels as L
 from hirelake.functions import text as X
 from hirelake.functions.salary import has_pair, has_salary, monthly_salary, salary_pair
 from hirelake.operators.dedupe import dedupe_business, dedupe_greedy
-from hirelake.operators.merge import best_snapshots, join_details, longest_descriptions, provenance
+from hirelake.operators.merge import best_snapshots, join_details
 from hirelake.operators.ranking import number_rows
-from hirelake.operators.skew import HOT_ROWS, hot_keys, salted_left_join
 from hirelake.session import stored
 from hirelake.sources import archive, tables
 
@@ -41,13 +40,13 @@ def import_rows(listings: DataFrame, details: DataFrame | None = None,
                 keys: list[str] = ("batch_path", "job_id")) -> DataFrame:
     """Standard rows of all listings, joined with their batch's detail record when there is one.
 
-    ``details`` has one row per key with ``detail_company`` and ``jd``. The batch city stands in for a missing place.
+    ``details`` has one row per key with ``detail_company`` and ``jd``. The batch city stands in for a missing place. Pass listings
+    that have been written: heavy keys are counted before the join, which reads their source twice.
     """
     if details is None:
         joined = listings.drop("jd").withColumns({"detail_company": F.lit(""), "jd": F.lit("")})
     else:
-        # Written first: heavy keys are counted before the join, which would read the listings' source twice.
-        joined = join_details(stored(listings.drop("jd"), "listings"), details, list(keys))
+        joined = join_details(listings.drop("jd"), details, list(keys))
     return standardize(
         joined,
         company=X.first_present(F.col("detail_company"), F.col("boss_name")),
@@ -57,9 +56,9 @@ def import_rows(listings: DataFrame, details: DataFrame | None = None,
     )
 
 
-def with_detail_path(listings: DataFrame, pairs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Listings with the detail file of their batch; postings of a large batch are spread."""
-    return salted_left_join(listings, pairs, ["batch_path"], ["pos"], hot_keys(listings, ["batch_path"], hot_rows))
+def with_detail_path(listings: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Listings with the detail file of their batch. A batch is one file of bounded length, so no batch needs to be spread."""
+    return listings.join(pairs, "batch_path", "left")
 
 
 def import_filter(rows: DataFrame, city: str | None = None, keyword: str | None = None) -> DataFrame:
@@ -115,48 +114,11 @@ def merge_archive(spark: SparkSession, path: str, out: str | None = None,
     return rows, merge_overview(listings, batches), merge_distributions(rows)
 
 
-def consolidate(listings: DataFrame, details: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Merged records with their longest description, provenance rows, and the standard table before the key pass."""
-    merged = best_snapshots(listings.drop("jd") if "jd" in listings.columns else listings)
-    own = listings if "jd" in listings.columns else listings.withColumn("jd", F.lit(""))
-    descriptions = longest_descriptions(own.select("job_id", "jd", "pos"), details.select("job_id", "jd", "pos"))
-    records = merged.join(descriptions, "job_id", "left").withColumn("jd", F.coalesce("jd", F.lit("")))
-    standard = standardize(records, description=F.col("jd"), keep=["pos", "jd"])
-    return records, provenance(listings), standard
-
-
 def publish_consolidated(spark: SparkSession, path: str, root: str) -> dict[str, str]:
-    """Consolidate an archive and publish records, provenance, standard table and manifest as new table versions.
+    """Consolidate what is new in an archive; see :func:`hirelake.plans.consolidation.publish`."""
+    from hirelake.plans.consolidation import publish
 
-    The previous records, if any, are one more input: those that the newest manifest names. Nothing is replaced before
-    everything is written; versions that belong together are listed in the manifest, which is published last, so what a
-    broken run left behind counts for nothing.
-    """
-    from hirelake.plans.quality import consolidation_manifest, described_ids
-
-    files = archive.read_files(spark, path)
-    batches = stored(archive.analysed(files), "batches")
-    listings = stored(archive.postings(files, batches), "postings")
-    details = stored(archive.read_details(spark, path), "details")
-    newest = tables.latest(spark, root, "manifest")
-    if newest:
-        old = spark.read.parquet(spark.read.parquet(newest).first()["records_path"])
-        folder = F.lit("records")
-        listings = listings.unionByName(old.select(*[
-            c for c in listings.columns if c in old.columns
-        ]).withColumns({"batch_dir": folder, "keyword": F.lit(""), "batch_city": F.lit("")}), allowMissingColumns=True)
-    records, sources, _standard = consolidate(listings, details)
-    written = {"records": tables.publish(records, root, "records"),
-               "provenance": tables.publish(sources, root, "provenance")}
-    kept = spark.read.parquet(written["records"])
-    standard = standardize(kept, description=F.col("jd"), keep=["pos", "jd"])
-    final = dedupe_business(standard)
-    written["standard"] = tables.publish(final.drop("pos", "jd"), root, "standard")
-    manifest = consolidation_manifest(batches.count(), listings, kept, standard, spark.read.parquet(written["standard"]),
-                                      described_ids(listings, details))
-    written["manifest"] = tables.publish(
-        manifest.withColumns({f"{k}_path": F.lit(v) for k, v in written.items()}), root, "manifest")
-    return written
+    return publish(spark, path, root)
 
 
 def alias_headers(df: DataFrame) -> DataFrame:
