@@ -120,6 +120,9 @@ oracle("archive_files", """SELECT keyword, batch_city, row_number() OVER (PARTIT
     ORDER BY pos) - 1 AS idx, job_id, title, salary, location FROM raw""", "raw")
 LATEST = ("latest AS (SELECT * FROM details QUALIFY row_number() OVER (PARTITION BY detail_path, job_id "
           "ORDER BY pos DESC) = 1)")
+oracle("stream_changed", """SELECT keyword, batch_city, count(*) AS rows, count(DISTINCT job_id) AS ids,
+    (SELECT count(DISTINCT batch_path) + count(DISTINCT CASE WHEN batch_path LIKE '%_0003.json' THEN batch_path END) FROM raw) AS reads
+    FROM raw WHERE NOT (batch_path LIKE '%_0003.json' AND l_orderkey % 2 = 1) GROUP BY 1, 2""", "raw")
 oracle("details_latest", "SELECT detail_path, job_id, company, md5(jd) AS jd_md5 FROM latest", "details", LATEST)
 PAIRS = r"""pairs AS (SELECT j.batch_path, coalesce(
     (SELECT min(d.detail_path) FROM (SELECT DISTINCT detail_path FROM details) d WHERE
@@ -199,6 +202,7 @@ CLEAN = ", ".join(V.CLEAN_COLUMNS)
 SHOWN = ", ".join(c for c in V.CLEAN_COLUMNS if c != "job_id")
 oracle("clean", f"SELECT {CLEAN} FROM served", *SERVED)
 oracle("csv_ingest", f"SELECT {CLEAN} FROM served", *SERVED)
+oracle("csv_split", "SELECT doc_id, source, lang, length(coalesce(text, '')) AS chars, md5(coalesce(text, '')) AS text_md5 FROM documents")
 oracle("export_rows", "SELECT " + ", ".join(f'{c} AS "{h}"' for c, h in V.EXPORT_HEADERS.items())
        + " FROM served WHERE city = '杭州·西湖·N'", *SERVED)
 oracle("export_raw", "SELECT " + ", ".join(V.LIST_EXPORT_COLUMNS) + " FROM raw", "raw")
@@ -209,7 +213,10 @@ oracle("job_page", f"SELECT {CLEAN} FROM served WHERE job_id <= 50", *SERVED)
 oracle("job_by_id", f"SELECT {CLEAN} FROM served WHERE job_id = 1234", *SERVED)
 oracle("filter_dims", f"SELECT {SHOWN} FROM served WHERE education = '大专' AND experience = '1-3年' AND category = '金融'",
        *SERVED)
-oracle("filter_keyword", f"""SELECT {SHOWN} FROM served WHERE concat_ws(chr(10), upper(job_name), upper(company),
+oracle("filter_layout", f"""SELECT {SHOWN} FROM served WHERE education = '大专' AND experience = '1-3年' AND category = '金融'
+    AND avg_salary >= 5000""", *SERVED)
+for _name in ("filter_keyword", "search_keyword"):
+    oracle(_name, f"""SELECT {SHOWN} FROM served WHERE concat_ws(chr(10), upper(job_name), upper(company),
     upper(category), upper(skills), upper(description)) LIKE '%C++%'""", *SERVED)
 oracle("filter_salary", f"SELECT {SHOWN} FROM served WHERE avg_salary BETWEEN 10000 AND 15000", *SERVED)
 SKILL_ROWS = ("skill_rows AS (SELECT trim(s) AS name FROM (SELECT unnest(string_split(skills, ',')) AS s FROM served) "
@@ -439,6 +446,12 @@ oracle("jd_global", """SELECT job_id, length(trim(jd)) AS chars, md5(trim(jd)) A
     SELECT job_id, job_labels AS jd, 0 AS src, pos FROM raw UNION ALL SELECT job_id, jd, 1, pos FROM details)
     WHERE job_id <> '' AND trim(jd) <> ''
     QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY length(trim(jd)) DESC, src, pos) = 1""", "raw", "details")
+oracle("consolidate_incremental", f"""SELECT job_id, {', '.join(f'merged.{f}' for f in BEST_FIELDS)}, boss_name, batch_path, snapshots,
+    length(coalesce(l.jd, '')) AS chars, md5(coalesce(l.jd, '')) AS jd_md5 FROM merged LEFT JOIN (
+    SELECT job_id, trim(jd) AS jd FROM (
+    SELECT job_id, job_labels AS jd, 0 AS src, pos FROM raw UNION ALL SELECT job_id, jd, 1, pos FROM details)
+    WHERE job_id <> '' AND trim(jd) <> ''
+    QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY length(trim(jd)) DESC, src, pos) = 1) l USING (job_id)""", *MERGE, "details")
 oracle("upsert_keep", """SELECT job_id, title, salary, batch_dir FROM raw WHERE batch_dir < '1998' UNION ALL
     SELECT job_id, title, salary, batch_dir FROM (SELECT * FROM raw WHERE batch_dir >= '1998'
     QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY pos) = 1)
@@ -500,15 +513,22 @@ oracle("batch_dims", f"""SELECT 'city' AS dim, * FROM ({counts('b', 'batch_city'
        f"THEN '?' ELSE batch_city END AS batch_city FROM raw WHERE {BATCH_KIND} NOT IN (1, 4, 5, 8, 9))")
 oracle("batch_quality", """SELECT batch_path, bool_or(title <> '' AND salary <> '' AND job_link <> '' AND salary_source = 'api')
     AS usable FROM raw GROUP BY batch_path""", "raw")
-oracle("yield_total", """SELECT count(*) AS records, count(DISTINCT job_id) AS distinct_ids,
-    round(100.0::DOUBLE * count(DISTINCT job_id) / count(*), 1) AS yield_pct FROM raw WHERE job_id <> ''""", "raw")
-for _name, _column in (("yield_city", "batch_city"), ("yield_keyword", "keyword")):
-    oracle(_name, f"""SELECT {_column} AS name, count(*) AS records, count(DISTINCT nullif(job_id, '')) AS distinct_ids,
-        round(100.0::DOUBLE * count(DISTINCT nullif(job_id, '')) / count(*), 1) AS yield_pct FROM raw GROUP BY 1""", "raw")
-oracle("yield_overlap", """SELECT count(*) AS ids, round(avg(k), 2) AS mean_keywords, round(avg(c), 2) AS mean_cities,
+YIELDS = {name: f"""SELECT {column} AS name, count(*) AS records, count(DISTINCT nullif(job_id, '')) AS distinct_ids,
+    round(100.0::DOUBLE * count(DISTINCT nullif(job_id, '')) / count(*), 1) AS yield_pct FROM raw GROUP BY 1"""
+          for name, column in (("yield_city", "batch_city"), ("yield_keyword", "keyword"))}
+TOTAL = """SELECT count(*) AS records, count(DISTINCT job_id) AS distinct_ids,
+    round(100.0::DOUBLE * count(DISTINCT job_id) / count(*), 1) AS yield_pct FROM raw WHERE job_id <> ''"""
+OVERLAP = """SELECT count(*) AS ids, round(avg(k), 2) AS mean_keywords, round(avg(c), 2) AS mean_cities,
     count(*) FILTER (k > 1) AS multi_keyword_ids, round(100.0::DOUBLE * count(*) FILTER (k > 1) / count(*), 0)
     AS multi_keyword_pct FROM (SELECT count(DISTINCT keyword) AS k, count(DISTINCT batch_city) AS c FROM raw
-    WHERE job_id <> '' GROUP BY job_id)""", "raw")
+    WHERE job_id <> '' GROUP BY job_id)"""
+oracle("yield_total", TOTAL, "raw")
+for _name, _query in YIELDS.items():
+    oracle(_name, _query, "raw")
+for _name in ("yield_overlap", "yield_bitmap_overlap"):
+    oracle(_name, OVERLAP, "raw")
+oracle("yield_bitmaps", f"""SELECT 'total' AS dim, '' AS name, * FROM ({TOTAL}) UNION ALL SELECT 'keyword', *
+    FROM ({YIELDS['yield_keyword']}) UNION ALL SELECT 'batch_city', * FROM ({YIELDS['yield_city']})""", "raw")
 oracle("new_ids", """SELECT DISTINCT job_id FROM raw WHERE batch_dir = '2001' AND job_id <> ''
     AND job_id NOT IN (SELECT job_id FROM raw WHERE batch_dir < '2001')""", "raw")
 BATCH_YIELD = """ids AS (SELECT DISTINCT batch_no, job_id, batch_no % 13 = 0 AS lost FROM raw WHERE job_id <> ''),

@@ -12,20 +12,27 @@ from hirelake.functions import labels as L
 from hirelake.functions import pages as P
 from hirelake.functions import text as X
 from hirelake.functions.salary import monthly_salary, salary_pair, single_salary
-from hirelake.functions.tokens import tokens
+from hirelake.functions.segment import learn, segmenter
+from hirelake.functions.tokens import keyword_rows, tokens
 from hirelake.operators import dedupe as D
 from hirelake.operators import merge as M
 from hirelake.operators.ranking import value_counts
+from hirelake.plans import bitmaps as N
+from hirelake.plans import consolidation as K
 from hirelake.plans import coverage as C
 from hirelake.plans import dashboard as B
+from hirelake.plans import layout as Y
 from hirelake.plans import quality as Q
 from hirelake.plans import report as R
+from hirelake.plans import search as W
 from hirelake.plans import standard as S
 from hirelake.registry import bindings as I
 from hirelake.schema import STANDARD_POSTING
 from hirelake.session import shared_path, stored, tuned
 from hirelake.sources import archive as A
 from hirelake.sources import tables as T
+from hirelake.sources.csv_split import read_split
+from hirelake.streaming import changed as H
 from hirelake.streaming import ingest as G
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,6 +137,17 @@ def csv_ingest(spark, sf):
     return S.ingest_csv(spark, path)
 
 
+@query("csv_split")
+def csv_split(spark, sf):
+    """Texts with line breaks, commas and quotes as CSV cells, read back by splits."""
+    path = shared_path(spark, "text_csv")
+    kept = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    I.table(spark, sf, "documents").select("doc_id", "source", "lang", "text").write.options(**kept).csv(path)
+    text = F.coalesce("text", F.lit(""))
+    return read_split(spark, path).select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "lang",
+                                          F.length(text).cast("bigint").alias("chars"), F.md5(text).alias("text_md5"))
+
+
 @query("write_std")
 def write_std(spark, sf):
     path = shared_path(spark, "standard_csv")
@@ -138,16 +156,33 @@ def write_std(spark, sf):
     return back.na.fill("")
 
 
+def consolidated(spark: SparkSession, sf: str) -> DataFrame:
+    """State of all postings and details, written."""
+    listings = raw(spark, sf, *[c for c in I.RAW if c not in ("batch_no", "batch_folder")])
+    return stored(K.state_of(listings, I.raw_details(spark, sf)), "state")
+
+
 @query("consolidate_manifest")
 def consolidate_manifest(spark, sf):
-    listings = raw(spark, sf, *[c for c in I.RAW if c != "batch_no"])
-    # Figures only ask whether there is a description, so a mark stands for its text.
-    marked = I.raw_details(spark, sf).select("job_id", F.when(X.text_of(F.col("jd")) != "", "x").otherwise("").alias("jd"), "pos")
-    records, _sources, _standard = S.consolidate(listings, marked)
-    records = stored(records, "records")
-    standard = S.standardize(records, description=F.col("jd"), keep=["pos", "jd"])
-    files = listings.agg(F.count_distinct("batch_path").alias("n")).first()["n"]
-    return Q.consolidation_manifest(files, listings, records, standard, D.dedupe_business(standard), Q.described_ids(marked))
+    state = consolidated(spark, sf)
+    files = raw(spark, sf, "batch_path").agg(F.count_distinct("batch_path").alias("n")).first()["n"]
+    return K.manifest_of(files, state)
+
+
+@query("consolidate_incremental")
+def consolidate_incremental(spark, sf):
+    """Later batches and half of the details merged into the stored state of the earlier ones: the records of all."""
+    listings = raw(spark, sf, "batch_dir", *BEST, "job_labels").withColumnRenamed("job_labels", "jd")
+    details = I.raw_details(spark, sf).select("job_id", "jd", "pos")
+    late, half = F.col("batch_dir") >= "1996", F.col("pos.doc_id") % 2 == 0
+    path = shared_path(spark, "state")
+    K.write_bucketed(K.state_of(listings.filter(~late), details.filter(~half)).repartition(16, "job_id"), path, 16)
+    new = K.state_of(listings.filter(late), details.filter(half))
+    with K.bucketed(spark, path, 16) as old:
+        state = stored(K.merged(old, new.hint("merge")), "merged")
+    rows = K.records_of(state, [c for c in BEST if c != "job_id"])
+    return rows.select(*[c for c in rows.columns if c not in ("pos", "jd")], F.length("jd").cast("bigint").alias("chars"),
+                       F.md5("jd").alias("jd_md5"))
 
 
 @query("export_rows")
@@ -347,11 +382,26 @@ def filter_dims(spark, sf):
     return B.apply_filters(served(spark, sf), params).select(*SHOWN)
 
 
+@query("filter_layout")
+def filter_layout(spark, sf):
+    """The same on a published table that lies along the curve."""
+    path = Y.publish(served(spark, sf), shared_path(spark, "curve"), "served")
+    params = {"education": "大专", "experience": "1-3年", "category": "金融", "min_salary": "5k"}
+    return B.apply_filters(spark.read.parquet(path), params).select(*SHOWN)
+
+
 @query("filter_keyword")
 def filter_keyword(spark, sf):
     return B.apply_filters(served(spark, sf), {"keyword": "c++"}).select(*SHOWN)
 
 
+@query("search_keyword")
+def search_keyword(spark, sf):
+    """The same by the index of a published table."""
+    version = W.publish(S.clean(I.served_input(spark, sf)), shared_path(spark, "searchable"), "served")
+    return W.search(spark, version, {"keyword": "c++"}).select(*SHOWN)
+
+
 @query("filter_salary")
 def filter_salary(spark, sf):
     return B.apply_filters(served(spark, sf), {"min_salary": "10k", "max_salary": "15000"}).select(*SHOWN)
@@ -359,11 +409,10 @@ def filter_salary(spark, sf):
 
 @query("import_stats")
 def import_stats(spark, sf):
-    listings = raw(spark, sf, "batch_path", "batch_folder", "job_id", "title", "salary", "location", "tags",
-                   "job_labels", "boss_name", "company_industry", "skills", "batch_city", "keyword")
-    rows = imported(spark, sf, listings, texts=False)
+    listings = stored(raw(spark, sf, "batch_path", "batch_folder", "job_id", "title", "salary", "location", "tags",
+                          "job_labels", "boss_name", "company_industry", "skills", "batch_city", "keyword"), "listings")
     batch_table = listings.select("batch_path", "keyword", "batch_city").distinct()
-    return Q.import_stats(listings, rows, batch_table)
+    return Q.import_stats(listings, imported(spark, sf, listings), batch_table)
 
 
 @query("import_archive")
@@ -413,14 +462,12 @@ def scope_depth(spark, sf):
 
 # --- joins --------------------------------------------------------------------------------------------------------
 
-def imported(spark: SparkSession, sf: str, listings: DataFrame, texts: bool = True) -> DataFrame:
-    """Standard rows of listings joined with the latest detail of the detail file paired with their batch. Without
-    ``texts`` a mark stands for each description that is not blank."""
+def imported(spark: SparkSession, sf: str, listings: DataFrame) -> DataFrame:
+    """Standard rows of written listings, joined with the latest detail of the detail file paired with their batch."""
     details = I.raw_details(spark, sf)
-    pairs = A.pair_details(listings.select(F.col("batch_path").alias("path")).distinct(),
-                           details.select(F.col("detail_path").alias("path")).distinct())
-    if not texts:
-        details = details.withColumn("jd", F.when(X.flat_text(F.col("jd")) != "", "x").otherwise(""))
+    paths = I.table(spark, sf, "documents").selectExpr(f"{I.detail_columns(0)['detail_path']} AS path").union(
+        I.table(spark, sf, "documents").selectExpr(f"{I.detail_columns(1)['detail_path']} AS path"))
+    pairs = A.pair_details(listings.select(F.col("batch_path").alias("path")).distinct(), paths.distinct())
     latest = A.latest_details(details, ["detail_path", "job_id"]).select(
         "detail_path", "job_id", F.col("company").alias("detail_company"), "jd")
     return S.import_rows(S.with_detail_path(listings, pairs), latest, ["detail_path", "job_id"])
@@ -428,8 +475,8 @@ def imported(spark: SparkSession, sf: str, listings: DataFrame, texts: bool = Tr
 
 @query("import_join")
 def import_join(spark, sf):
-    listings = raw(spark, sf, "batch_path", "job_id", "title", "salary", "location", "tags", "job_labels", "boss_name",
-                   "company_industry", "skills", "batch_city")
+    listings = stored(raw(spark, sf, "batch_path", "job_id", "title", "salary", "location", "tags", "job_labels", "boss_name",
+                          "company_industry", "skills", "batch_city"), "listings")
     rows = imported(spark, sf, listings)
     return rows.select("batch_path", "job_id", *[c for c in V.STANDARD_COLUMNS if c != "description"],
                        F.md5("description").alias("description_md5"))
@@ -527,6 +574,14 @@ def keyword_counts(spark, sf):
     return B.keyword_counts(served(spark, sf), 20)
 
 
+@query("keyword_counts_segmented")
+def keyword_counts_segmented(spark, sf):
+    """Keyword counts with words of a lexicon learned from the descriptions."""
+    rows = stored(served(spark, sf).select("skills", "description"), "served")
+    words = segmenter(learn(rows, "description"))
+    return value_counts(keyword_rows(rows, segmenter=words), F.col("name"), 20)
+
+
 @query("dashboard_counts")
 def dashboard_counts(spark, sf):
     return B.distributions(B.apply_filters(served(spark, sf), {"min_salary": "5k"}))
@@ -616,6 +671,29 @@ def yield_overlap(spark, sf):
     return Q.yield_overlap(raw(spark, sf, "job_id", "keyword", "batch_city"))
 
 
+def stored_yields(spark: SparkSession, sf: str) -> str:
+    """Folder of bitmaps: batches of the earlier years first, those of the later ones added."""
+    root, late = shared_path(spark, "yields"), F.col("batch_path") >= "archive/1996"
+    listings = raw(spark, sf, "batch_path", "keyword", "batch_city", "job_id")
+    for part in (~late, late):
+        N.add_batches(spark, root, listings.filter(part))
+    return root
+
+
+@query("yield_bitmaps")
+def yield_bitmaps(spark, sf):
+    root = stored_yields(spark, sf)
+    total = N.yield_total(spark, root).select(F.lit("total").alias("dim"), F.lit("").alias("name"), "*")
+    for name in N.DIMENSIONS:
+        total = total.unionByName(N.yield_by(spark, root, name).withColumn("dim", F.lit(name)))
+    return total
+
+
+@query("yield_bitmap_overlap")
+def yield_bitmap_overlap(spark, sf):
+    return N.yield_overlap(spark, stored_yields(spark, sf))
+
+
 @query("unpriced")
 def unpriced(spark, sf):
     return Q.unpriced(raw(spark, sf, "salary"))
@@ -901,6 +979,45 @@ def stream_postings(spark, sf):
     return spark.read.parquet(ledger).agg(*[F.sum(c).alias(c) for c in ("raw", "new", "dup")])
 
 
+def _replace_files(spark: SparkSession, changed: str, root: str) -> None:
+    """Give the files of a few partition folders the content of those in the same folders of ``changed``."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for folder in system.listStatus(path(changed)):
+        if folder.isDirectory():
+            name = folder.getPath().getName()
+            (new,) = [f.getPath() for f in system.listStatus(folder.getPath()) if f.getPath().getName().endswith(".txt")]
+            (old,) = [f.getPath() for f in system.listStatus(path(f"{root}/{name}")) if f.getPath().getName().endswith(".txt")]
+            system.delete(old, False)
+            system.rename(new, old)
+
+
+@query("stream_changed")
+def stream_changed(spark, sf):
+    """Batch files as a stream that follows changes: the third batch of each year is edited between two runs."""
+    rows = raw(spark, sf, "batch_path", "job_id", "title", "keyword", "batch_city")
+    batches = rows.groupBy("batch_path", "keyword", "batch_city").agg(
+        F.collect_list(F.struct("job_id", "title", F.col("pos.l_orderkey").alias("l_orderkey"))).alias("jobs"))
+    name = F.regexp_extract("batch_path", r"(\d+_\d+)\.json$", 1).alias("batch")
+
+    def write(kept, path: str) -> str:
+        listed = F.transform(kept, lambda j: F.struct(j["job_id"].alias("job_id"), j["title"].alias("title")))
+        text = F.to_json(F.struct("keyword", F.col("batch_city").alias("city"), listed.alias("jobs")))
+        chosen.select(name, text.alias("value")).write.partitionBy("batch").text(path)
+        return path
+
+    chosen = batches
+    folder, target, state = write(F.col("jobs"), shared_path(spark, "changed_files")), shared_path(spark, "changed"), shared_path(spark, "state")
+    H.follow(H.changed_files(spark, folder, "*.txt"), target, state).awaitTermination()
+    chosen = batches.filter(F.col("batch_path").endswith("_0003.json"))
+    edited = write(F.filter("jobs", lambda j: j["l_orderkey"] % 2 == 0), shared_path(spark, "edited_files"))
+    _replace_files(spark, edited, folder)
+    H.follow(H.changed_files(spark, folder, "*.txt"), target, state).awaitTermination()
+    reads = H.files_read(spark, target).agg(F.count(F.lit(1)).alias("n")).scalar()
+    return H.current(spark, target).groupBy("keyword", "batch_city").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("job_id").alias("ids")).withColumn("reads", reads)
+
+
 @query("stream_first_seen_within")
 def stream_first_seen_within(spark, sf):
     target, state = shared_path(spark, "stream_rows"), shared_path(spark, "stream_state")
