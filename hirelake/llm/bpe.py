@@ -2,7 +2,8 @@
 
 A text is cut into pieces by the vocabulary's published pattern ('s|'t|'re|'ve|'m|'ll|'d, an optional blank before letters,
 numbers or other signs, white space), here with array operations over a block of texts. Ids of a piece depend on nothing
-else, so each worker keeps those of the pieces it has met, found by a 64-bit hash; only new pieces are encoded.
+else, so each worker keeps those of the pieces it has met, found by a 64-bit hash; only new pieces are encoded. Pieces are not
+compared beyond their hash. The vocabulary's added tokens are cut out of a text first, as the library does.
 """
 
 from __future__ import annotations
@@ -75,15 +76,21 @@ class Encoder:
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
-            vocabulary = json.load(file)["model"]["vocab"]
+            content = json.load(file)
+        vocabulary, added = content["model"]["vocab"], content.get("added_tokens") or []
+        if any(t[flag] for t in added for flag in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that take in what stands beside them")
+        self.added = {t["content"]: t["id"] for t in added}
+        longest = sorted(self.added, key=len, reverse=True)
+        self.cuts = regex.compile("(" + "|".join(map(regex.escape, longest)) + ")") if longest else None
         # The file writes each byte as a printable sign: those that are printable in Latin-1 as themselves, the others
         # by the signs from U+0100 on, in order.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         signs = {chr(b): b for b in plain}
         signs |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
         ranks = {bytes(signs[c] for c in token): i for token, i in vocabulary.items() if all(c in signs for c in token)
-                 and not token.startswith("<|")}
-        self.size = max(vocabulary.values()) + 1
+                 and token not in self.added}
+        self.size = max([*vocabulary.values(), *self.added.values()]) + 1
         self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
         self.coder = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._clear()
@@ -173,16 +180,23 @@ class Encoder:
         parts = iter(np.split(ids, cuts))
         return [next(parts) if t else np.zeros(0, dtype=self.kind) for t in texts]
 
+    def _segments(self, text: str) -> list[str | int]:
+        """The parts of a text, and the ids of added tokens between them."""
+        if not any(t in text for t in self.added):
+            return list(_parts(text))
+        found = self.cuts.split(text)
+        return [x for k, own in enumerate(found) for x in ([self.added[own]] if k % 2 else _parts(own))]
+
     def encode(self, texts: Iterator[str | None]) -> Iterator[np.ndarray]:
         """Ids of each text in turn; null like empty."""
         block, size = [], 0
         for text in texts:
-            parts = list(_parts(text or ""))
+            parts = self._segments(text or "")
             if len(parts) > 1:
                 if block:
                     yield from self._block(block)
                     block, size = [], 0
-                yield np.concatenate([self._block([p])[0] for p in parts])
+                yield np.concatenate([np.array([p], dtype=self.kind) if isinstance(p, int) else self._block([p])[0] for p in parts])
                 continue
             block.append(text or "")
             size += len(block[-1])

@@ -13,9 +13,7 @@ SIGNS = ["'", "'s", "'re", "'ll", "'ve", "'tis", " ", "  ", "\n", "\t", " ", "
 
 @pytest.fixture(scope="module")
 def reference():
-    made = tokenizers.Tokenizer.from_file(PATH)
-    made.encode_special_tokens = True
-    return made
+    return tokenizers.Tokenizer.from_file(PATH)
 
 
 def check(reference, texts):
@@ -41,5 +39,11 @@ def test_long_texts_small_blocks_and_full_cache(reference, monkeypatch):
     check(reference, ["".join(draw.choices(SIGNS, k=draw.choice([5, 400]))) for _ in range(60)] + ["", "x" * 500])
 
 
+def test_added_token(reference):
+    end = "<|endoftext|>"
+    check(reference, [f"a {end} b", end, end * 3, f" {end}", f"x  {end}\n", f"{end}'s", f"<|{end}|>", f"long text {end} " * 300])
+    assert next(bpe.Encoder(PATH).encode([f"a {end} b"])).tolist() == [64, 220, 50256, 275]
+
+
 def test_null_is_empty():
     assert [len(x) for x in bpe.Encoder(PATH).encode([None, "", "a"])] == [0, 0, 1]
