@@ -253,6 +253,15 @@ def contaminated(coverage: float = COVERAGE):
     return (covered() > 0) & (parts * covered() >= F.col("n_words"))
 
 
+def cut(automaton: Automaton, text: str, spans: list[tuple[int, int]], longest: int) -> str:
+    """The text without spans of more than ``longest`` words; again while the words that now stand together make new ones."""
+    while long := [(a, b) for a, b in spans if b - a > longest]:
+        text = without(text, long)
+        words = letter_words(text.encode())
+        spans = automaton.matches(words)[0] if words else []
+    return text
+
+
 def _clean(shared, number: str, width: int, parts: int, longest: int | None, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if number not in _BUILT:
@@ -266,21 +275,35 @@ def _clean(shared, number: str, width: int, parts: int, longest: int | None, at:
                 spans = automaton.matches(words)[0] if words else []
                 count = sum(b - a for a, b in spans)
                 kept.append(not count or parts * count < len(words))
-                cut = [(a, b) for a, b in spans if longest is not None and b - a > longest]
-                texts.append(without(text, cut) if cut else text)
+                texts.append(cut(automaton, text, spans, longest) if spans and longest is not None else text)
             whole = batch.set_column(at, batch.schema.field(at), pa.array(texts, pa.string()))
             yield whole.filter(pa.array(kept, pa.bool_()))
 
     return run
 
 
+def _cut_rows(at: int, longest: int):
+    """Cuts the spans in the last column out of the texts in column ``at``; drops that column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [without(t, [(s["start"], s["end"]) for s in found if s["end"] - s["start"] > longest])
+                     for t, found in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
+            whole = batch.set_column(at, batch.schema.field(at), pa.array(texts, pa.string()))
+            yield whole.select(range(batch.num_columns - 1))
+
+    return run
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, text_col: str = "text", item_col: str = "item_id",
           item_text_col: str = "text", width: int = WIDTH, coverage: float = COVERAGE, longest: int | None = None,
           shard_words: int = SHARD_WORDS) -> DataFrame:
     """``docs`` without rows of which at least the share ``coverage`` of the words is covered, all columns kept.
 
-    From the other rows, spans of more than ``longest`` words are cut out; None leaves their texts as they are. Null and
-    empty texts stay.
+    From the other rows, spans of more than ``longest`` words are cut out, until none is left; None leaves their texts as they
+    are. Rows are judged by their texts as given, each by itself, so repeated rows are treated alike. Null and empty texts stay.
+    Repeated items count once; without items or items with words all rows stay; an empty table stays empty. Other columns may
+    have any names.
     """
     named = F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("name")
     pieces = scratch.table(benchmark.select(named, F.col(item_text_col).cast("binary").alias("text")).mapInArrow(
@@ -293,10 +316,20 @@ def clean(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, text_col: str
         return docs.mapInArrow(_clean(shared, uuid.uuid4().hex, width, parts, longest, docs.columns.index(text_col)), docs.schema)
     number, spans = free(docs.columns, "number", "spans")
     numbered = scratch.table(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
-    found = find_passages(numbered, benchmark, scratch, number, text_col, item_col, item_text_col, width, shard_words)
-    clean_rows = found.filter(~contaminated(coverage)).select(F.col("id").alias(number), F.col("spans").alias(spans))
-    kept = numbered.join(clean_rows, number)
-    if longest is not None:
-        cut = F.udf(lambda t, found: without(t, [(s["start"], s["end"]) for s in found]) if found else t, "string")
-        kept = kept.withColumn(text_col, cut(text_col, F.filter(spans, lambda s: s["end"] - s["start"] > longest)))
-    return kept.select(*docs.columns)
+    scanned, kept, made = numbered, ~contaminated(coverage), []
+    while True:
+        found = find_passages(scanned, benchmark, scratch, number, text_col, item_col, item_text_col, width, shard_words)
+        rows = scratch.table(scanned.join(found.filter(kept).select(
+            F.col("id").alias(number), F.col("spans").alias(spans)).hint("merge"), number).select(*scanned.columns, spans), "kept")
+        over = F.exists(spans, lambda s: s["end"] - s["start"] > (longest if longest is not None else 1 << 62))
+        made.append(rows.filter(~over).select(*docs.columns))
+        left = rows.filter(over)
+        if left.isEmpty():
+            break
+        # Only texts that were cut are searched again, for passages that came together.
+        at = scanned.columns.index(text_col)
+        scanned, kept = scratch.table(left.mapInArrow(_cut_rows(at, longest), scanned.schema), "cut"), F.lit(True)
+    every = made[0]
+    for other in made[1:]:
+        every = every.unionByName(other)
+    return every

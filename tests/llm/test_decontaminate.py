@@ -98,3 +98,40 @@ def test_clean(spark, shard_words):
     cut = decontaminate.clean(frame, bench, scratch, longest=13, shard_words=shard_words).collect()
     assert sorted(tuple(r) for r in cut)[0] == (2, f"{filler}\n. {filler}", "k")
     scratch.drop()
+
+
+def brute_cut(text, items, width, longest):
+    """The text without runs of more than ``longest`` covered words, until there is none."""
+    while True:
+        spans = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)]
+        hit, runs = brute([(0, text)], items, width)[0][2], []
+        for k in hit:
+            if runs and runs[-1][1] == k:
+                runs[-1][1] = k + 1
+            else:
+                runs.append([k, k + 1])
+        runs = [r for r in runs if r[1] - r[0] > longest]
+        if not runs:
+            return text
+        for first, last in reversed(runs):
+            text = text[:spans[first][0]] + text[spans[last - 1][1]:]
+
+
+@pytest.mark.parametrize("shard_words", [200_000, 40])
+def test_cutting_goes_on_until_no_passage_is_left(spark, shard_words):
+    draw, filler = random.Random(5), " ".join(f"f{i}" for i in range(400))
+    p = [f"P{i}é" for i in range(13)]
+    nested = " ".join([*p[:6], *p, *p[6:]])  # without the passage inside, the same passage stands there again
+    docs = [(1, f"{filler} {nested}, {filler}"), (2, f"{filler} {' '.join([*p[:3], *p[:6], *p, *p[6:], *p[3:]])}. {filler}"),
+            (3, filler + " " + " ".join(p[:12])), (4, None), (5, f"{filler}\n{'; '.join(p)}"), (5, f"{filler}\n{'; '.join(p)}")]
+    docs += [(i, filler + " " + " ".join(draw.choice(["é", "b", "é", *p[:2]]) for _ in range(20))) for i in range(6, 12)]
+    items = [(1, " ".join(p)), (2, "é b é"), (2, "é b é"), (3, None), *((k, f"item {k} of no text") for k in range(10, 20))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS Number", "2 AS kept")
+    scratch = Scratch(spark, "t")
+    left = decontaminate.clean(frame, spark.createDataFrame(items, "item_id long, text string"), scratch, longest=12,
+                               shard_words=shard_words).select("doc_id", "text").collect()
+    scratch.drop()
+    hits = {(i, t): h for (i, t), (_, _, h, _) in ((d, brute([d], items, 13)[0]) for d in docs)}
+    wanted = [(i, t and brute_cut(t, items, 13, 12)) for i, t in docs if 20 * len(hits[i, t]) < max(1, len(words_of(t)))]
+    assert sorted(map(tuple, left), key=str) == sorted(wanted, key=str) and len(wanted) > 6
+    assert not any(len(w) >= 13 and p[0].lower() in w for w in (brute([(0, t)], items, 13)[0][2] for _, t in wanted))
