@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -95,3 +96,52 @@ def test_query_accuracy_on_held_out(spark):
     langs = spark.read.parquet(f"{docs}/documents.parquet").select("doc_id", "lang")
     rows = found.join(langs, "doc_id").filter("held_out").collect()
     assert np.mean([r["lang_pred"] == r["lang"] for r in rows]) > 0.9
+
+
+def plain_ftrl(examples, targets, classes):
+    """Per-coordinate FTRL-proximal with an elastic net, coordinate by coordinate."""
+    z, n = {}, {}
+
+    def weight(i, c):
+        total = z.get((i, c), 0.0)
+        if abs(total) <= langid.L1:
+            return 0.0
+        sign = 1.0 if total > 0 else -1.0
+        return -(total - sign * langid.L1) / ((langid.BETA + math.sqrt(n.get((i, c), 0.0))) / langid.ALPHA + langid.L2)
+
+    for _ in range(langid.EPOCHS):
+        for (at, values), target in zip(examples, targets, strict=True):
+            old = {(i, c): weight(i, c) for i in at for c in range(classes)}
+            scores = [sum(v * old[i, c] for i, v in zip(at, values, strict=True)) for c in range(classes)]
+            total = sum(math.exp(s) for s in scores)
+            for i, v in zip(at, values, strict=True):
+                for c in range(classes):
+                    g = v * (math.exp(scores[c]) / total - (c == target))
+                    before = n.get((i, c), 0.0)
+                    sigma = (math.sqrt(before + g * g) - math.sqrt(before)) / langid.ALPHA
+                    z[i, c] = z.get((i, c), 0.0) + g - sigma * old[i, c]
+                    n[i, c] = before + g * g
+    return {k: weight(*k) for k in z}
+
+
+def test_training_equals_plain_ftrl():
+    draw = np.random.default_rng(6)
+    examples, targets = [], draw.integers(0, 3, 25)
+    for t in targets:
+        at = np.sort(draw.choice(40, draw.integers(1, 8), replace=False)) + 5 * t
+        values = draw.random(len(at))
+        examples.append((at, values / np.sqrt((values * values).sum())))
+    found, wanted = langid.train(examples, targets, 3), plain_ftrl(examples, targets, 3)
+    assert all(abs(found[k] - w) < 1e-12 for k, w in wanted.items())
+    assert np.count_nonzero(found) == sum(w != 0 for w in wanted.values()) and 0.0 in wanted.values()
+
+
+def test_temperature_has_the_least_loss():
+    draw = np.random.default_rng(7)
+    logits, targets = draw.normal(size=(60, 3)) * 4, draw.integers(0, 3, 60)
+
+    def loss(t):
+        return -sum(logits[k][c] / t - math.log(np.exp(logits[k] / t).sum()) for k, c in enumerate(targets))
+
+    best = langid.temperature(logits, targets)
+    assert 1 / 32 <= best <= 32 and all(loss(best) <= loss(best * f) + 1e-9 for f in (0.5, 0.9, 1.1, 2))
