@@ -47,7 +47,7 @@ def run(spark, rows, **options):
     return sorted(((r["kept"]["doc_id"], r["leaf"], r["subroot"], r["root"], tuple(map(tuple, r["proof"]))) for r in made), key=repr)
 
 
-@pytest.mark.parametrize("fanout, height", [(3, 1), (2, 1), (3, 2), (4, 0), (3, 7)])
+@pytest.mark.parametrize("fanout, height", [(3, 1), (2, 2), (4, 0)])
 def test_equals_brute_force(spark, fanout, height):
     draw = random.Random(fanout * 10 + height)
     sizes = {None: 1, "": 2, "hot": 83, "é": 3, "z": 4, "a": 27, "Ω": 28, "b": 10, "c": 1}

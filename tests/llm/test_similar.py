@@ -76,6 +76,32 @@ def test_stage_drops_planted_near_copies(spark):
     draw.shuffle(docs)
     assert {c for _, c in brute(docs)} == first
     kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(docs, SCHEMA), "")
-    found = {r["doc_id"] for r in kept.collect()}
-    corpus_pipeline._drop()
-    assert found == first
+    assert {r["doc_id"] for r in kept.collect()} == first
+
+
+def test_one_passage_in_a_third_of_all_documents(spark):
+    """Texts of a common passage and little else: all share prefix shingles, only some are alike; compared in many small blocks."""
+    draw, docs = random.Random(8), []
+    passage = [f"common{k}" for k in range(60)]
+    for i in range(240):
+        if i % 3:
+            words = [f"d{i}w{draw.randrange(200)}" for _ in range(60)]
+        else:
+            tail = draw.choice([2, 5, 8, 11, 14])
+            words = passage + [f"t{i if draw.random() < 0.8 else 1}x{k}" for k in range(tail)]
+        docs.append((i, " ".join(words)))
+    docs += [(1000 + i, " ".join(passage[k:k + 30])) for i, k in enumerate(range(0, 30, 2))]
+    wanted = brute(docs)
+    assert 100 < len({c for _, c in wanted}) < 240
+    assert run(spark, docs, grid=4) == wanted
+
+
+def test_odd_rows_and_columns(spark):
+    long_text = " ".join(f"w{k % 7000}" for k in range(40_000))
+    docs = [(1, None), (2, ""), (3, " \n"), (4, "A b"), (5, "a B"), (6, long_text), (7, long_text + " end"), (8, "x" * 2_000_000),
+            *((i, "same text in very many rows") for i in range(20, 60))]
+    frame = spark.createDataFrame(docs, SCHEMA).selectExpr("*", "1 AS id", "'n' AS node", "0 AS Gram", "2 AS component")
+    scratch = Scratch(spark, "t")
+    found = sorted(map(tuple, similar.near_duplicates(frame, scratch).collect()))
+    scratch.drop()
+    assert found == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6), (7, 6), (8, 8), *((i, 20) for i in range(20, 60))]
