@@ -6,6 +6,8 @@ stages but the last return the columns of ``documents``. Rows with null texts go
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,25 +32,29 @@ LEAST_SCORE = least_score(4)
 # Texts per bucket in which the near-duplicate stage keeps its rows.
 BUCKET_BYTES = 16 << 20
 
-# Folders that the results of stages are still read from.
-_OPEN: list[Scratch] = []
+# From documents that stay, benchmark passages of more words than this are cut out.
+LONGEST = decontaminate.WIDTH - 1
 
 
-def _scratch(spark: SparkSession, name: str) -> Scratch:
-    """The scratch folder of a stage. The folders of the stages before it go: their results are written by now."""
-    _drop()
-    _OPEN.append(Scratch(spark, name))
-    return _OPEN[-1]
+def _release(scratch: Scratch) -> None:
+    if scratch.spark.sparkContext._jsc is not None:
+        scratch.drop()
 
 
-def _drop() -> None:
-    """Remove the scratch folders of the stages so far; only when their results are written."""
-    while _OPEN:
-        _OPEN.pop().drop()
+def _held(result: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``result``, still read from ``scratch``: the folder goes when no one holds the frame any more. A frame holds the one it was
+    made from, so stages may be chained without writing; hold the last stage's frame until it is written."""
+    result.made_from = docs
+    weakref.finalize(result, _release, scratch).atexit = False
+    return result
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those whose best language has a score below ``least_score``."""
+    """Drops documents without a letter and those whose best language has a score below ``least_score``.
+
+    Null, empty and letterless texts go. Rows without an id, or with a repeated one, are judged by their texts like any other; a
+    score equal to the bound stays. Without learnable rows no language is known and no row is left, as in an empty table.
+    """
     learnable = docs.filter(~langid.held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
     lang, score = free(docs.columns, "lang_pred", "score")
     model = langid.fit(learnable)
@@ -58,8 +64,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row with the smallest ``doc_id`` of each group linked by similarity (null ids last; one of equal ids)."""
-    scratch = _scratch(spark, "stage-neardup")
+    """Keeps the row with the smallest ``doc_id`` of each group linked by similarity (null ids last; one of equal ids).
+
+    Groups are linked by SimHash fingerprints and completed by an exact filter, see ``similar``. Texts without a word, null ones
+    among them, are one group. An empty table stays empty.
+    """
+    scratch = Scratch(spark, "stage-neardup")
     (row,) = free(docs.columns, "row")
     size = docs.agg(F.sum(F.octet_length("text") + 16).alias("n")).first()["n"] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
@@ -72,33 +82,50 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("id"))).alias("first"))
     kept = scratch.table(first.select(F.col("first.id").alias(row)), "kept")
     # The kept numbers grow with the documents, so they are never broadcast, whatever their size is now.
-    return rows.join(kept.hint("merge"), row, "left_semi").drop(row)
+    return _held(rows.join(kept.hint("merge"), row, "left_semi").drop(row), docs, scratch)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes words of passages that an earlier document has; a document of which nothing is left goes."""
+    """Removes words of passages that an earlier document has; a document of which nothing is left goes.
+
+    Rows of equal ids do not take words from each other, a null id comes after all others. Texts without a repeated passage stay
+    as they are, null and empty ones too. An empty table stays empty.
+    """
     others = [c for c in docs.columns if c != "text"]
     words, removed, left = free(docs.columns, "words", "removed", "left")
-    found = substring.keep_first_passages(docs, _scratch(spark, "stage-passages"), others,
+    scratch = Scratch(spark, "stage-passages")
+    found = substring.keep_first_passages(docs, scratch, others,
                                           names=(words, removed, left), as_is=True)
     found = found.filter((F.col(removed) == 0) | (F.col(removed) < F.col(words)))
     changed = {"text": F.col(left)}
     if "n_chars" in others:
         length = F.length(left).cast(docs.schema["n_chars"].dataType)
         changed["n_chars"] = F.when(F.col(removed) > 0, length).otherwise(F.col("n_chars"))
-    return found.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
+    return _held(found.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns]), docs, scratch)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops contaminated documents: one word in twenty or more lies in a benchmark window."""
+    """Drops contaminated documents: one word in twenty or more lies in a benchmark window. Passages of more than ``LONGEST``
+    words are cut out of the others, so that no text that stays holds a whole window of that length.
+
+    Rows are judged by their texts alone; null and empty texts stay. An empty table, or benchmark, changes nothing.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.clean(docs, items, _scratch(spark, "stage-benchmark"))
+    scratch, (before,) = Scratch(spark, "stage-benchmark"), free(docs.columns, "before")
+    found = decontaminate.clean(docs.withColumn(before, F.length("text")), items, scratch, longest=LONGEST)
+    changed = {}
+    if "n_chars" in docs.columns:
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(F.length("text") != F.col(before), length).otherwise(F.col("n_chars"))
+    return _held(found.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns]), docs, scratch)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces in training sequences."""
-    pieces = packing.pack(docs, _scratch(spark, "stage-packing"), vocabulary())
-    return pieces.withColumnRenamed("id", "doc_id").drop("ids")
+    """The documents' pieces in training sequences. A null text is an empty one: its only token is the end. Repeated rows and rows
+    without an id are documents of their own. An empty table gives no rows."""
+    scratch = Scratch(spark, "stage-packing")
+    pieces = packing.pack(docs, scratch, vocabulary())
+    return _held(pieces.withColumnRenamed("id", "doc_id").drop("ids"), docs, scratch)
 
 
 STAGES = [
@@ -119,7 +146,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_path(spark, "pipeline")
     for number, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{number}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        _drop()
+        made = stage(spark, docs, sf_dir)
+        made.write.parquet(path)
+        del made  # and with it the stage's scratch folder
         docs = spark.read.parquet(path)
     return docs
