@@ -20,7 +20,7 @@ def rows(frame):
 
 def test_equals_the_figures_over_all_postings(spark, tmp_path):
     root, every = str(tmp_path / "out"), []
-    for step in range(3):
+    for step in range(2):
         own = batches(step, 10 * step, 5)
         # Rows of one batch have one keyword and city.
         place = {p: (k, c) for p, k, c, _ in own}

@@ -3,7 +3,6 @@ from pathlib import Path
 
 import pyarrow.parquet as pq
 
-from hirelake.plans import consolidation as K
 from hirelake.plans import dashboard as B
 from hirelake.plans import layout as Y
 from hirelake.sources import tables as T
@@ -55,11 +54,12 @@ def test_bounds_and_empty_table(spark, tmp_path):
     assert spark.read.parquet(Y.publish(empty, str(tmp_path), "none")).count() == 0
 
 
-def test_records_have_bloom_filters(spark, tmp_path):
-    from tests.test_consolidation import random_files
-
-    random_files(tmp_path / "in", 1, 0, 3)
-    written = K.publish(spark, str(tmp_path / "in"), str(tmp_path / "out"))
-    (file, *_) = Path(written["records"].removeprefix("file:")).glob("*.parquet")
-    column = pq.ParquetFile(file).metadata.row_group(0).column(0)
-    assert column.path_in_schema == "job_id"
+def test_options_reach_the_writer(spark, tmp_path):
+    rows = rows_of(spark, 3000)
+    sizes = []
+    for options in ({}, {"parquet.bloom.filter.enabled#city": "true", "parquet.bloom.filter.max.bytes": "65536"}):
+        path = T.publish(rows.coalesce(1), str(tmp_path / str(len(sizes))), "t", {"compression": "uncompressed", **options})
+        (file,) = Path(path).glob("*.parquet")
+        assert pq.ParquetFile(file).metadata.row_group(0).column(0).compression == "UNCOMPRESSED"
+        sizes.append(file.stat().st_size)
+    assert sizes[1] > sizes[0] + 30_000  # the filter is in the file
