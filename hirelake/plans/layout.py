@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hirelake.plans.dashboard import DIMENSIONS
+from hirelake.session import stored
 from hirelake.sources import tables
 
 COLUMNS = (*DIMENSIONS, "avg_salary")
@@ -49,6 +50,7 @@ def curve(bounds: dict[str, list], levels: int = LEVELS) -> Column:
 def publish(rows: DataFrame, root: str, name: str, columns: tuple[str, ...] = COLUMNS, files: int | None = None,
             group_bytes: int = GROUP_BYTES) -> str:
     """A new version of the table, its rows along the curve; returns its path. Filters read it like any other table."""
+    rows = stored(rows, "unordered")  # counted, sampled and dealt out from there
     bounds = bounds_of(rows, columns)
     files = files or max(1, -(-rows.count() // FILE_ROWS))
     place = "__place"
