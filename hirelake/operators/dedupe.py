@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from hirelake import fixed_values as V
 from hirelake.operators.components import components
-from hirelake.operators.ranking import number_rows
+from hirelake.operators.ranking import number_rows, top_per_group
 from hirelake.operators.skew import HOT_ROWS, grouped, hot_keys, hot_of, salted_left_join
 from hirelake.session import Scratch, stored
 
@@ -22,16 +22,15 @@ def first_per_key(df: DataFrame, keys: list[str], pos: str = "pos", counted: lis
                   hot_rows: int = HOT_ROWS) -> DataFrame:
     """First row of each key.
 
-    An aggregate with a map-side combine, not a window: a hot key costs one row per task after the combine. With ``counted``, keys
-    that are cheap to compute, only hot keys are combined; see :func:`hirelake.operators.skew.grouped`.
+    A rank with a limit, which Spark applies before the shuffle, too: a hot key costs one row per task. Rows are moved as they are; an
+    aggregate that keeps them in a struct sorts as often, moves ``pos`` twice and is not compiled. With ``counted``, keys that are
+    cheap to compute, only hot keys are combined; see :func:`hirelake.operators.skew.grouped`.
     """
-    rest = [c for c in df.columns if c not in keys]
 
     def reduce(part: DataFrame) -> DataFrame:
-        return part.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(pos)).alias("__first"))
+        return top_per_group(part, keys, [F.col(pos).asc_nulls_last()], 1, "__rank").drop("__rank")
 
-    best = reduce(df) if counted is None else grouped(df, keys, reduce, counted, hot_rows)
-    return best.select(*[F.col(c) if c in keys else F.col(f"__first.`{c}`").alias(c) for c in df.columns])
+    return reduce(df) if counted is None else grouped(df, keys, reduce, counted, hot_rows)
 
 
 def dedupe_business(df: DataFrame, pos: str = "pos", keys: list[str] = V.BUSINESS_KEY) -> DataFrame:

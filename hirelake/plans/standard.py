@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hirelake import fixed_values as V
 from hirelake.functions import labels as L
 from hirelake.functions import text as X
-from hirelake.functions.salary import has_pair, has_salary, monthly_salary, salary_pair
+from hirelake.functions.salary import has_salary, monthly_salary, salary_pair
 from hirelake.operators.dedupe import dedupe_business, dedupe_greedy
 from hirelake.operators.merge import best_snapshots, join_details
 from hirelake.operators.ranking import number_rows
@@ -141,8 +141,8 @@ def alias_headers(df: DataFrame) -> DataFrame:
 def clean_unnumbered(raw: DataFrame) -> DataFrame:
     """Served rows without ``job_id``: aliases, salary numbers, safe texts, first row per business key."""
     rows = alias_headers(raw)
-    usable = has_pair(columns=rows.columns) & (X.safe_text(F.col("job_name"), "") != "")
-    rows = rows.filter(usable).transform(salary_pair())
+    # Rows without a salary are told by what the parser found, not by a test before it that would read all three cells again.
+    rows = rows.filter(X.safe_text(F.col("job_name"), "") != "").transform(salary_pair()).filter(F.col("salary_low").isNotNull())
     empty = {"job_name", "skills", "description"}
     texts = [c for c in V.STANDARD_COLUMNS if not c.startswith("salary_")]
     safe = {c: X.safe_text(F.col(c), "" if c in empty else V.UNKNOWN) for c in texts}
