@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from hirelake.llm import decontaminate, langid, packing, similar, substring
 from hirelake.llm.columns import free
 from hirelake.llm.registry import vocabulary
-from hirelake.session import Scratch, bounded_batches, shared_path, shuffles_removed
+from hirelake.session import Scratch, bounded_batches, freeing_workers, shared_path, shuffles_removed
 
 # A document goes only if its language cannot be told at all, or hardly better than by chance: the best score must exceed
 # chance by this share of what is left up to 1.
@@ -31,11 +31,19 @@ def least_score(languages: int) -> float:
 LEAST_SCORE = least_score(4)
 # Texts per bucket in which the near-duplicate stage keeps its rows.
 BUCKET_BYTES = 16 << 20
+# Texts that one task of the passages stage takes apart at a time. A chunk's words and windows take some thirty times their bytes.
+CHUNK_BYTES = 2 << 20
 
 # From documents that stay, benchmark passages of more words than this are cut out.
 LONGEST = decontaminate.WIDTH - 1
 
 
+def _small_workers(spark: SparkSession) -> None:
+    """All stages share an executor's Python workers, so that each must be small when the next stage begins."""
+    bounded_batches(spark)
+    freeing_workers(spark)
+
+
 def _release(scratch: Scratch) -> None:
     if scratch.spark.sparkContext._jsc is not None:
         scratch.drop()
@@ -55,7 +63,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null, empty and letterless texts go. Rows without an id, or with a repeated one, are judged by their texts like any other; a
     score equal to the bound stays. Without learnable rows no language is known and no row is left, as in an empty table.
     """
-    bounded_batches(spark)
+    _small_workers(spark)
     learnable = docs.filter(~langid.held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
     lang, score = free(docs.columns, "lang_pred", "score")
     model = langid.fit(learnable)
@@ -70,7 +78,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Groups are linked by SimHash fingerprints and completed by an exact filter, see ``similar``. Texts without a word, null ones
     among them, are one group. An empty table stays empty.
     """
-    bounded_batches(spark)
+    _small_workers(spark)
     scratch = Scratch(spark, "stage-neardup")
     (row,) = free(docs.columns, "row")
     size = docs.agg(F.sum(F.octet_length("text") + 16).alias("n")).first()["n"] or 0
@@ -93,11 +101,11 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows of equal ids do not take words from each other, a null id comes after all others. Texts without a repeated passage stay
     as they are, null and empty ones too. An empty table stays empty.
     """
-    bounded_batches(spark)
+    _small_workers(spark)
     others = [c for c in docs.columns if c != "text"]
     words, removed, left = free(docs.columns, "words", "removed", "left")
     scratch = Scratch(spark, "stage-passages")
-    found = substring.keep_first_passages(docs, scratch, others,
+    found = substring.keep_first_passages(docs, scratch, others, chunk_bytes=CHUNK_BYTES,
                                           names=(words, removed, left), as_is=True)
     found = found.filter((F.col(removed) == 0) | (F.col(removed) < F.col(words)))
     changed = {"text": F.col(left)}
@@ -113,7 +121,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows are judged by their texts alone; null and empty texts stay. An empty table, or benchmark, changes nothing.
     """
-    bounded_batches(spark)
+    _small_workers(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     scratch, (before,) = Scratch(spark, "stage-benchmark"), free(docs.columns, "before")
     found = decontaminate.clean(docs.withColumn(before, F.length("text")), items, scratch, longest=LONGEST)
@@ -127,7 +135,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces in training sequences. A null text is an empty one: its only token is the end. Repeated rows and rows
     without an id are documents of their own. An empty table gives no rows."""
-    bounded_batches(spark)
+    _small_workers(spark)
     scratch = Scratch(spark, "stage-packing")
     pieces = packing.pack(docs, scratch, vocabulary())
     return _held(pieces.withColumnRenamed("id", "doc_id").drop("ids"), docs, scratch)
