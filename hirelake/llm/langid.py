@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
+from hirelake.session import trimmed
+
 UNKNOWN = "und"
 FEATURE_BITS = 16
 FEATURES = 1 << FEATURE_BITS
@@ -175,6 +177,9 @@ def _fit(languages: list[str], idf: np.ndarray):
         weights = train([e for e, a in zip(examples, aside, strict=True) if not a], targets[~aside], len(languages))
         logits = np.array([values @ weights[at] for (at, values), a in zip(examples, aside, strict=True) if a])
         heat = temperature(logits, targets[aside])
+        # The texts' features are many small blocks, which the worker would keep for all later tasks.
+        del group, examples, at, counts, values
+        trimmed()
         return pd.DataFrame({"weights": [weights.astype(np.float32).tobytes()], "temperature": [heat]})
 
     return run
@@ -215,6 +220,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lan
 
 def _predictions(broadcast, at: int, names: tuple[str, str], dropped: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trimmed()  # in the worker of the fit, its input has been freed only now
         model = broadcast.value
         for batch in batches:
             told = [model.predict(t.as_py()) for t in batch.column(at)]

@@ -1,11 +1,12 @@
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from hirelake.llm import substring
+from hirelake.llm import langid, substring
 
 FOLDER = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -48,3 +49,12 @@ def test_passages_takes_small_chunks(spark, monkeypatch):
     docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(20)), "en", "s", 1) for i in range(3)], SCHEMA)
     found = corpus_pipeline.passages(spark, docs, FOLDER)
     assert most == [2 << 20] and found.count() == 3
+
+
+def test_the_fit_leaves_a_small_worker(monkeypatch):
+    calls = []
+    monkeypatch.setattr(langid, "trimmed", lambda: calls.append(1))
+    at, counts = (np.array(x, dtype=np.uint32).tobytes() for x in ([1, 2, 3], [1, 1, 2]))
+    group = pd.DataFrame({"lang": ["a", "b"] * 5, "mark": range(10), "at": [at] * 10, "counts": [counts] * 10})
+    made = langid._fit(["a", "b"], np.ones(langid.FEATURES))(group)
+    assert len(made) == 1 and calls == [1]
